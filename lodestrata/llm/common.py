@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +57,20 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
 def packed(df: DataFrame, name: str = "__row") -> Column:
     """All columns as one struct, so that working columns cannot clash with theirs."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's code, once per application: Python workers import it by name."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="lodestrata-code-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent).as_posix())
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact_dedup, mixing, quality
+from . import exact_dedup, lm_score, mixing, packing, quality
 
 QUERIES: dict[str, Callable] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_packing": packing.op3_packing,
     "op5_quality": quality.op5_quality,
+    "op7_lm_score": lm_score.op7_lm_score,
     "op10_mixing": mixing.op10_mixing,
 }
 
