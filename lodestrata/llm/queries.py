@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact_dedup, lm_score, mixing, near_dup, packing, quality, substring
+from . import exact_dedup, langid, lm_score, mixing, near_dup, packing, quality, substring
 
 QUERIES: dict[str, Callable] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_packing": packing.op3_packing,
+    "op4_langid": langid.op4_langid,
     "op5_quality": quality.op5_quality,
     "op7_lm_score": lm_score.op7_lm_score,
     "op8_substring": substring.op8_substring,
