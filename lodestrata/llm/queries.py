@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact_dedup, langid, lm_score, mixing, near_dup, packing, quality, substring
+from . import exact_dedup, langid, lm_score, mixing, near_dup, packing, quality, substring, warc
 
 QUERIES: dict[str, Callable] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_warc_revisit": warc.op2_warc_revisit,
     "op3_packing": packing.op3_packing,
     "op4_langid": langid.op4_langid,
     "op5_quality": quality.op5_quality,
@@ -19,5 +20,6 @@ QUERIES: dict[str, Callable] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op2_warc_revisit": warc.OP2_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
