@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact_dedup, langid, lm_score, mixing, near_dup, packing, quality, substring, warc
+from . import exact_dedup, langid, licenses, lm_score, mixing, near_dup, packing, quality, substring, warc
 
 QUERIES: dict[str, Callable] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -12,6 +12,7 @@ QUERIES: dict[str, Callable] = {
     "op3_packing": packing.op3_packing,
     "op4_langid": langid.op4_langid,
     "op5_quality": quality.op5_quality,
+    "op6_licenses": licenses.op6_licenses,
     "op7_lm_score": lm_score.op7_lm_score,
     "op8_substring": substring.op8_substring,
     "op9_near_dup": near_dup.op9_near_dup,
