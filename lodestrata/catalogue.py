@@ -1,24 +1,468 @@
-"""Queries of the engine, by name, and their DuckDB SQL."""
+"""Queries of the engine, by name, and their DuckDB SQL. All run over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable] = {}
+from .functions import metrics, numeric, text
+from .operators import aggregates as agg
+from .operators import chunking, evaluation, search
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers by nation, the ten largest."""
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    return (
-        customer.join(nation, customer.c_nationkey == nation.n_nationkey)
-        .groupBy("n_name")
-        .agg(F.count(F.lit(1)).alias("n_customers"))
-        .orderBy(F.desc("n_customers"), "n_name")
-        .limit(10)
+    return nunique_topn(spark, sf_dir)
+
+
+# Aggregates
+
+
+@query("SELECT count(*) AS total FROM orders")
+def total_count(spark, d):
+    return read(spark, d, "orders").agg(F.count(F.lit(1)).alias("total"))
+
+
+@query("SELECT count(*) FILTER (o_orderstatus = 'F') AS n, count(*) AS total, round(100.0::DOUBLE * count(*) FILTER (o_orderstatus = 'F') / count(*), 6) AS pct FROM orders")
+def filtered_count_ratio(spark, d):
+    return agg.ratio(read(spark, d, "orders"), F.col("o_orderstatus") == "F", 6)
+
+
+@query("SELECT min(p_size)::INTEGER AS low, max(p_size)::INTEGER AS high FROM part")
+def min_max_value(spark, d):
+    return read(spark, d, "part").agg(F.min("p_size").cast("int").alias("low"), F.max("p_size").cast("int").alias("high"))
+
+
+@query("SELECT round(avg(p_retailprice::DECIMAL(18,4))::DOUBLE, 6) AS mean FROM part")
+def mean_value(spark, d):
+    p = F.col("p_retailprice").cast("decimal(18,4)")
+    return read(spark, d, "part").agg(F.round(F.sum(p).cast("double") / F.count(p), 6).alias("mean"))
+
+
+@query("SELECT c_mktsegment AS value, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1")
+def value_counts(spark, d):
+    return agg.value_counts(read(spark, d, "customer"), "c_mktsegment")
+
+
+WORDS_SQL = "SELECT doc_id, source, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS token FROM documents"
+
+
+@query(f"SELECT token AS value, count(*) AS n FROM ({WORDS_SQL}) GROUP BY 1")
+def explode_value_counts(spark, d):
+    return agg.exploded_counts(read(spark, d, "documents").select(text.plain_words(F.col("text")).alias("w")), "w")
+
+
+@query(f"SELECT token AS value, count(*) AS n FROM ({WORDS_SQL}) WHERE token <> 'the' GROUP BY 1 ORDER BY n DESC, value LIMIT 2")
+def explode_excluding_top2(spark, d):
+    counts = agg.exploded_counts(read(spark, d, "documents").select(text.plain_words(F.col("text")).alias("w")), "w")
+    return agg.top_excluding(counts, "the")
+
+
+@query("""WITH c AS (SELECT n_name AS value, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT value, n, (SELECT count(*) FROM c) AS n_distinct FROM c ORDER BY n DESC, value LIMIT 5""")
+def nunique_topn(spark, d):
+    j = read(spark, d, "customer").join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return agg.distinct_and_top(j, "n_name", 5)
+
+
+@query("SELECT count(DISTINCT c_mktsegment) AS segments, count(DISTINCT c_nationkey) AS nations FROM customer")
+def nunique(spark, d):
+    return read(spark, d, "customer").agg(F.count_distinct("c_mktsegment").alias("segments"), F.count_distinct("c_nationkey").alias("nations"))
+
+
+@query("""WITH c AS (SELECT n_name AS value, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), t AS (SELECT min(n) AS m FROM c)
+SELECT 'match' AS kind, value AS name, n FROM c, t WHERE n = m UNION ALL SELECT 'other', n::VARCHAR, count(*) FROM c, t WHERE n <> m GROUP BY n""")
+def distribution_filter(spark, d):
+    j = read(spark, d, "customer").join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    counts = j.groupBy(F.col("n_name").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return agg.distribution_filter(counts, F.lit(counts.agg(F.min("n")).first()[0]))
+
+
+def _vocabulary_sql() -> str:
+    norm = lambda c: f"translate(lower(translate(trim({c}), 'İI', 'iı')), 'çğıöşü', 'cgiosu')"
+    parts = []
+    for table, columns in (("part", ("p_name", "p_brand", "p_type")), ("customer", ("c_name", "c_mktsegment"))):
+        for c in columns:
+            parts.append(f"SELECT DISTINCT '{table}' AS dataset, '{c}' AS \"column\", {norm(c)} AS value FROM {table} WHERE {c} IS NOT NULL AND (SELECT count(DISTINCT {c}) FROM {table}) BETWEEN 1 AND 60 AND length({norm(c)}) >= 4")
+    return " UNION ALL ".join(parts)
+
+
+@query(_vocabulary_sql())
+def vocabulary_lowcard(spark, d):
+    return agg.vocabulary(read(spark, d, "part"), "part").unionByName(agg.vocabulary(read(spark, d, "customer"), "customer"))
+
+
+@query("SELECT coalesce(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice::DECIMAL(18,4) ELSE -l_extendedprice::DECIMAL(18,4) END), 0)::DOUBLE AS net FROM lineitem")
+def signed_sum(spark, d):
+    return agg.signed_sum(read(spark, d, "lineitem"), F.col("l_extendedprice"), F.col("l_returnflag") == "R")
+
+
+@query("""WITH s AS (SELECT coalesce(sum(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN l_extendedprice::DECIMAL(18,4) END), 0) AS a, coalesce(sum(CASE WHEN l_linestatus = 'F' THEN l_extendedprice::DECIMAL(18,4) END), 0) AS b FROM lineitem)
+SELECT a::DOUBLE AS narrow, b::DOUBLE AS wide, (b - a)::DOUBLE AS delta FROM s""")
+def scenario_delta(spark, d):
+    wide = F.col("l_linestatus") == "F"
+    return agg.scenario_delta(read(spark, d, "lineitem"), F.col("l_extendedprice"), wide & (F.col("l_returnflag") == "R"), wide)
+
+
+@query("""SELECT 'none' AS question, count(*)::DOUBLE AS value, count(*) AS matched, 'empty' AS status FROM orders WHERE o_orderstatus = 'X'
+UNION ALL SELECT 'zero', sum(0)::DOUBLE, count(*), 'ok' FROM orders WHERE o_orderstatus = 'F'""")
+def empty_filter_guard(spark, d):
+    orders = read(spark, d, "orders")
+    none = agg.guarded(orders, F.col("o_orderstatus") == "X", F.count(F.lit(1)).cast("double"))
+    zero = agg.guarded(orders, F.col("o_orderstatus") == "F", F.sum(F.lit(0.0)))
+    return none.select(F.lit("none").alias("question"), "*").unionByName(zero.select(F.lit("zero").alias("question"), "*"))
+
+
+PLACE_SQL = "SELECT vec_id, 90 * greatest(-1, least(1, embedding[1]::DOUBLE)) AS lat, 180 * greatest(-1, least(1, embedding[2]::DOUBLE)) AS lon FROM embeddings"
+
+
+@query(f"""WITH p AS ({PLACE_SQL}), a AS (SELECT vec_id, pow(sin(radians(lat - 41.0) / 2), 2) + cos(radians(41.0)) * cos(radians(lat)) * pow(sin(radians(lon - 29.0) / 2), 2) AS a FROM p)
+SELECT vec_id, round(2 * 6371.0 * asin(sqrt(least(1.0, greatest(0.0, a)))), 6) AS km FROM a ORDER BY km, vec_id LIMIT 10""")
+def distance_topk(spark, d):
+    lim = lambda i: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.get("embedding", F.lit(i)).cast("double")))
+    p = read(spark, d, "embeddings").select("vec_id", (90 * lim(0)).alias("lat"), (180 * lim(1)).alias("lon"))
+    km = numeric.haversine(F.lit(41.0), F.lit(29.0), F.col("lat"), F.col("lon"))
+    return p.select("vec_id", F.round(km, 6).alias("km")).orderBy("km", "vec_id").limit(10)
+
+
+@query("""WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1), l AS (SELECT month, n, lag(n) OVER (ORDER BY month) AS before FROM m)
+SELECT month, n, round(CASE WHEN before <> 0 THEN (n - before)::DOUBLE / before * 100 END, 6) AS pct FROM l""")
+def percent_change_monthly(spark, d):
+    m = read(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.lag("n").over(Window.orderBy("month"))  # one row a month
+    return m.select("month", "n", F.round(numeric.percent_change(before, F.col("n")), 6).alias("pct"))
+
+
+NUMBERS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, count(DISTINCT {c}) AS n_distinct FROM lineitem" for c in NUMBERS))
+def column_profile(spark, d):
+    return agg.profile(read(spark, d, "lineitem"), NUMBERS)
+
+
+@query("SELECT json_extract_string(props, '$.k')::BIGINT AS value, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1")
+def json_extract_counts(spark, d):
+    return agg.value_counts(read(spark, d, "events").select(F.get_json_object("props", "$.k").cast("long").alias("k")), "k")
+
+
+@query("SELECT '$.' || k AS path, count(*) AS n, count(DISTINCT v) AS n_values FROM (SELECT unnest(json_keys(props)) AS k, json_extract_string(props, '$.k') AS v FROM events) WHERE v IS NOT NULL AND trim(v) <> '' GROUP BY 1")
+def json_flatten_paths(spark, d):
+    leaves = read(spark, d, "events").select(F.explode(F.from_json("props", "map<string,string>")).alias("k", "v")).where("v is not null and trim(v) <> ''")
+    return leaves.groupBy(F.concat(F.lit("$."), F.col("k")).alias("path")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("n_values"))
+
+
+@query("SELECT event_type AS value, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM events GROUP BY 1")
+def ratio_by_group(spark, d):
+    e = read(spark, d, "events").groupBy(F.col("event_type").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return e.select("value", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("pct"))
+
+
+# Text
+
+
+@query("SELECT doc_id, md5(translate(lower(translate(text, 'İI', 'iı')), 'çğıöşü', 'cgiosu')) AS digest FROM documents")
+def text_normalize(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(text.normalize(F.col("text"))).alias("digest"))
+
+
+@query("""SELECT doc_id, len(w)::INTEGER AS n_words, len(i)::INTEGER AS n_identifiers, len(list_distinct(w || i))::INTEGER AS n_distinct FROM (
+SELECT doc_id, regexp_extract_all(t, '[\\p{L}\\p{N}_]+') AS w, regexp_extract_all(t, '[\\p{L}]+[0-9]+(?:\\.[0-9]+)+') AS i FROM (SELECT doc_id, lower(translate(text, 'İI', 'iı')) AS t FROM documents))""")
+def tokenize_counts(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"), F.size(F.regexp_extract_all(text.tr_lower(F.col("text")), F.lit(f"({text.WORD})"), 1)).alias("n_words"))
+    return docs.select("doc_id", "n_words", (F.size("t") - F.col("n_words")).alias("n_identifiers"), F.size(F.array_distinct("t")).alias("n_distinct"))
+
+
+@query("""WITH f AS (SELECT doc_id, 'lang' AS field, lang AS value FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents UNION ALL SELECT doc_id, 'text', text FROM documents)
+SELECT doc_id, field, CASE WHEN length(value) <= 60 THEN 'KEY' WHEN length(value) <= 400 THEN 'CONTEXT' ELSE 'NARRATIVE' END AS band,
+       md5(CASE WHEN length(value) > 400 THEN regexp_replace(value[1:350], ' [^ ]*$', '') || '…' ELSE value END) AS digest FROM f WHERE value IS NOT NULL""")
+def key_field_bands(spark, d):
+    f = read(spark, d, "documents").select("doc_id", "lang", "source", "text").unpivot(["doc_id"], ["lang", "source", "text"], "field", "value").where("value is not null")
+    return f.select("doc_id", "field", text.field_band(F.col("value")).alias("band"), F.md5(text.narrative(F.col("value"))).alias("digest"))
+
+
+@query()
+def chunk_merge(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), F.col("text").alias("value"))
+    return chunking.text_chunks(docs, "\n").select("source", "seq", F.length("content").alias("n"), "page_info", F.md5("content").alias("digest"))
+
+
+@query("""WITH f AS (SELECT conv_id, turn, role, text, CASE WHEN role = lag(role) OVER w AND turn = lag(turn) OVER w + 1 THEN 0 ELSE 1 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM f)
+SELECT conv_id, run::BIGINT AS run, min(turn) AS first, max(turn) AS last, sum(length(text))::BIGINT AS n_chars FROM g GROUP BY 1, 2""")
+def continuation_merge(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    same = (F.col("role") == F.lag("role").over(w)) & (F.col("turn") == F.lag("turn").over(w) + 1)
+    runs = agg.runs(read(spark, d, "conversations"), "conv_id", "turn", same)
+    return runs.groupBy("conv_id", F.col("run").cast("long").alias("run")).agg(F.min("turn").alias("first"), F.max("turn").alias("last"), F.sum(F.length("text")).alias("n_chars"))
+
+
+# Catalogue and ingestion
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY 1")
+def source_catalog(spark, d):
+    return read(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy("source")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def ingest_antijoin(spark, d):
+    return read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+# Retrieval
+
+NORM_SQL = """v AS (SELECT vec_id AS chunk_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+q AS (SELECT chunk_id AS qid, label AS qlabel, e FROM v WHERE chunk_id % 50 = 0),
+dense AS (SELECT qid, chunk_id, qlabel, label, list_dot_product(q.e, v.e) / (CASE WHEN list_dot_product(q.e, q.e) = 0 THEN 1 ELSE sqrt(list_dot_product(q.e, q.e)) END * CASE WHEN list_dot_product(v.e, v.e) = 0 THEN 1 ELSE sqrt(list_dot_product(v.e, v.e)) END) AS score FROM q, v)"""
+
+
+def _query_vectors(spark, d) -> list[tuple[int, list[float]]]:
+    """Every vector whose id is divisible by 50 is a query."""
+    rows = read(spark, d, "embeddings").where("vec_id % 50 = 0 and embedding is not null").select("vec_id", "embedding").collect()
+    return sorted((r[0], [float(x) for x in r[1]]) for r in rows)
+
+
+def _vectors(spark, d) -> DataFrame:
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+
+
+def _dense(spark, d, k: int | None) -> DataFrame:
+    return search.cosine_scores(_vectors(spark, d), _query_vectors(spark, d), k)
+
+
+@query(f"WITH {NORM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dense) SELECT qid, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 8")
+def cosine_topk(spark, d):
+    s = _dense(spark, d, search.TOP_K).withColumn("score", F.round("score", 9))
+    return search.top_k(s, search.TOP_K).select("qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {NORM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dense WHERE chunk_id <> qid) SELECT qid, chunk_id, rank, label FROM r WHERE rank <= 3")
+def topk_per_query(spark, d):
+    s = _dense(spark, d, 4).where("chunk_id <> qid").withColumn("score", F.round("score", 9))
+    labels = _vectors(spark, d).select("chunk_id", "label")
+    return search.top_k(s, 3).join(labels, "chunk_id").select("qid", "chunk_id", "rank", "label")
+
+
+@query(f"""WITH {NORM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dense WHERE chunk_id <> qid),
+h AS (SELECT qid, coalesce(min(rank) FILTER (label = qlabel AND rank <= 3), 0) AS hit FROM r GROUP BY qid)
+SELECT round(100 * avg(CASE WHEN hit > 0 THEN 1.0::DOUBLE / hit ELSE 0 END), 6) AS mrr, round(100 * avg(CASE WHEN hit = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_1, count(*) AS n FROM h""")
+def mrr_recall(spark, d):
+    own = _vectors(spark, d).where("chunk_id % 50 = 0 and embedding is not null").select(F.col("chunk_id").alias("qid"), F.col("label").alias("own"))
+    found = own.join(topk_per_query(spark, d), "qid", "left")
+    return evaluation.mrr(found.groupBy("qid").agg(F.coalesce(F.min(F.when(F.col("label") == F.col("own"), F.col("rank"))), F.lit(0)).alias("hit_rank")))
+
+
+def _bm25_sql(scope: bool) -> str:
+    s, sj, on = ("lang, ", "lang, ", "USING (lang, token)") if scope else ("", "", "USING (token)")
+    size_on = "USING (lang)" if scope else "ON true"
+    group = "GROUP BY lang" if scope else ""
+    return f"""t AS ({WORDS_SQL}), p AS (SELECT {s}doc_id AS chunk_id, token, count(*) AS tf FROM t GROUP BY ALL),
+l AS (SELECT {s}doc_id AS chunk_id, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS dl FROM documents),
+z AS (SELECT {s}count(*) AS n, avg(dl) AS avgdl FROM l {group}), f AS (SELECT {s}token, count(*) AS df FROM p GROUP BY ALL),
+i0 AS (SELECT {sj}token, avgdl, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM f JOIN z {size_on}), m AS (SELECT {s}avg(raw) AS mean FROM i0 {group}),
+i AS (SELECT {sj}token, avgdl, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM i0 JOIN m {size_on}),
+a AS (SELECT qid, token, count(*) AS times FROM (SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS token FROM benchmark) GROUP BY ALL),
+bm AS (SELECT {sj}qid, chunk_id, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25 + 0.75::DOUBLE * dl / avgdl))) AS score FROM a JOIN p USING (token) JOIN i {on} JOIN l USING ({s}chunk_id) GROUP BY ALL)"""
+
+
+def _documents(spark, d) -> DataFrame:
+    return read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source", text.plain_words(F.coalesce("text", F.lit(""))).alias("tokens"))
+
+
+def _questions(spark, d) -> DataFrame:
+    """Every benchmark passage is a query."""
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), text.plain_words(F.col("text")).alias("tokens"))
+
+
+@query(f"WITH {_bm25_sql(False)}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) SELECT qid, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 8")
+def bm25_topk(spark, d):
+    s = search.bm25(_documents(spark, d), _questions(spark, d)).withColumn("score", F.round("score", 9))
+    return search.top_k(s, search.TOP_K).select("qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_bm25_sql(True)}, r AS (SELECT *, row_number() OVER (PARTITION BY lang, qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) SELECT lang, qid, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 4")
+def bm25_scoped(spark, d):
+    s = search.bm25(_documents(spark, d), _questions(spark, d), ["lang"]).withColumn("score", F.round("score", 9))
+    return search.top_k(s, 4, keys=["lang", "qid"]).select("lang", "qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+# Hybrid queries: a benchmark passage searches documents that have a vector; its own vector has its number.
+HYBRID_SQL = f"""v AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS e FROM embeddings JOIN benchmark ON vec_id = item_id),
+dense AS (SELECT qid, chunk_id, round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)), 9) AS score FROM q, v WHERE chunk_id IN (SELECT doc_id FROM documents)),
+{_bm25_sql(False)}, dr AS (SELECT qid, chunk_id, score AS dense, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS dense_rank FROM dense),
+br AS (SELECT qid, chunk_id, score AS bm25, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS bm25_rank FROM (SELECT qid, chunk_id, round(score, 9) AS score FROM bm WHERE chunk_id IN (SELECT chunk_id FROM v)) WHERE score > 0),
+fused AS (SELECT dr.qid, dr.chunk_id, dense, dense_rank, bm25, bm25_rank, round((1 / (60::DOUBLE + dense_rank) + coalesce(1 / (60::DOUBLE + bm25_rank), 0)) / (2 / 60::DOUBLE), 12) AS rrf FROM dr LEFT JOIN br USING (qid, chunk_id))"""
+
+
+def _hybrid(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(fused, documents): both rankings of every benchmark passage over the documents with a vector."""
+    docs = _documents(spark, d)
+    ids = read(spark, d, "benchmark").select(F.col("item_id").alias("vec_id"))
+    asked = read(spark, d, "embeddings").join(ids, "vec_id").select("vec_id", "embedding").collect()
+    vectors = _vectors(spark, d).join(docs.select("chunk_id"), "chunk_id", "left_semi")
+    dense = search.cosine_scores(vectors, sorted((r[0], list(r[1])) for r in asked)).withColumn("score", F.round("score", 9))
+    lexical = search.bm25(docs, _questions(spark, d)).join(_vectors(spark, d).select("chunk_id"), "chunk_id", "left_semi").withColumn("score", F.round("score", 9))
+    return search.rrf(dense, lexical).withColumn("rrf", F.round("rrf", 12)), docs
+
+
+@query(f"WITH {HYBRID_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, chunk_id) AS rank FROM fused) SELECT qid, chunk_id, rank, dense_rank, bm25_rank, round(rrf, 6) AS rrf FROM r WHERE rank <= 8")
+def rrf_fusion(spark, d):
+    fused, _ = _hybrid(spark, d)
+    return search.top_k(fused, search.TOP_K, "rrf").select("qid", "chunk_id", "rank", F.col("dense_rank").cast("long").alias("dense_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"), F.round("rrf", 6).alias("rrf"))
+
+
+BOOST_SQL = f"""{HYBRID_SQL}, k AS (SELECT doc_id AS chunk_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS key, source FROM documents), qt AS (SELECT item_id AS qid, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS qtok FROM benchmark),
+bo AS (SELECT fused.qid, chunk_id, dense, bm25, rrf, round(rrf + CASE WHEN bm25 > 0 THEN 0.08::DOUBLE * (bm25 / max(bm25) OVER (PARTITION BY fused.qid)) * (len(list_intersect(qtok, key))::DOUBLE / len(qtok)) ELSE 0 END + CASE WHEN source = 'src0' THEN 0.5::DOUBLE ELSE 0 END, 9) AS score FROM fused JOIN k USING (chunk_id) JOIN qt USING (qid)),
+bk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM bo)"""
+
+
+def _boosted(spark, d) -> DataFrame:
+    fused, docs = _hybrid(spark, d)
+    j = fused.join(docs, "chunk_id").join(F.broadcast(_questions(spark, d).select("qid", F.col("tokens").alias("asked"))), "qid")
+    j = j.withColumn("coverage", search.coverage(F.col("asked"), F.col("tokens")))
+    return search.boosted(j, hint_gate=F.col("source") == "src0").withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH {BOOST_SQL} SELECT qid, chunk_id, rank, round(score, 6) AS score FROM bk WHERE rank <= 8")
+def hybrid_boosted(spark, d):
+    return search.top_k(_boosted(spark, d), search.TOP_K).select("qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {BOOST_SQL}, pool AS (SELECT qid, chunk_id, rank FROM bk WHERE rank <= 8), x AS (SELECT qid, chunk_id, dense_rank FROM dr WHERE dense_rank < 3 AND (qid, chunk_id) NOT IN (SELECT (qid, chunk_id) FROM pool))
+SELECT * FROM pool UNION ALL SELECT qid, chunk_id, 8 + row_number() OVER (PARTITION BY qid ORDER BY dense_rank) FROM x""")
+def dense_force_pool(spark, d):
+    b = _boosted(spark, d)
+    pool = search.top_k(b, search.TOP_K).select("qid", "chunk_id", "rank")
+    return search.with_dense_slot(pool, b.select("qid", "chunk_id", F.col("dense").alias("score")), 3)
+
+
+@query(f"""WITH {BOOST_SQL}, o AS (SELECT qid, chunk_id FROM dr WHERE dense_rank < 8), n AS (SELECT qid, chunk_id FROM bk WHERE rank <= 8)
+SELECT qid, count(*) FILTER (o.chunk_id IS NULL) AS entered, count(*) FILTER (n.chunk_id IS NULL) AS gone FROM o FULL JOIN n USING (qid, chunk_id) GROUP BY 1""")
+def rank_diff(spark, d):
+    b = _boosted(spark, d)
+    old = search.top_k(b, search.TOP_K, "dense").select("qid", "chunk_id", "rank")
+    new = search.top_k(b, search.TOP_K).select("qid", "chunk_id", "rank")
+    return evaluation.rank_changes(old, new).select("qid", F.size("entered").cast("long").alias("entered"), F.size("gone").cast("long").alias("gone"))
+
+
+@query(f"""WITH {_bm25_sql(False)}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm), j AS (SELECT qid, rank, '[' || rank || '] Kaynak: ' || source || ', ' || lang || chr(10) || text AS line FROM r JOIN documents ON chunk_id = doc_id WHERE rank <= 4)
+SELECT qid, md5(string_agg(line, chr(10) || chr(10) ORDER BY rank)[1:6000]) AS digest FROM j GROUP BY 1""")
+def context_assembly(spark, d):
+    s = search.bm25(_documents(spark, d), _questions(spark, d)).withColumn("score", F.round("score", 9))
+    top = search.top_k(s, search.RERANK_TOP_N)
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.col("lang").alias("locator"), F.col("text").alias("content"))
+    return search.context(top.join(docs, "chunk_id")).select("qid", F.md5("context").alias("digest"))
+
+
+# Metrics: the document with a passage's number answers it.
+
+
+def _answers(spark, d) -> DataFrame:
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("answer"))
+    return docs.join(read(spark, d, "benchmark").select("item_id", F.col("text").alias("reference")), "item_id")
+
+
+ANSWER_SQL = "trim(regexp_replace(regexp_replace(lower(translate({0}, 'İI', 'iı')), '[^\\p{{L}}\\p{{N}}\\s+\\-*/=<>%]', ' ', 'g'), '\\s+', ' ', 'g'))"
+PAIRS_SQL = f"p AS (SELECT item_id, {ANSWER_SQL.format('d.text')} AS a, {ANSWER_SQL.format('b.text')} AS r FROM documents d JOIN benchmark b ON doc_id = item_id)"
+
+
+@query(f"""WITH {PAIRS_SQL}, w AS (SELECT item_id, list_filter(string_split(a, ' '), lambda x: x <> '') AS aw, list_filter(string_split(r, ' '), lambda x: x <> '') AS rt FROM p),
+ca AS (SELECT item_id, t, count(*) AS n FROM (SELECT item_id, unnest(aw) AS t FROM w) GROUP BY ALL), cr AS (SELECT item_id, t, count(*) AS n FROM (SELECT item_id, unnest(rt) AS t FROM w) GROUP BY ALL),
+c AS (SELECT item_id, coalesce(sum(least(ca.n, cr.n)), 0) AS both FROM w LEFT JOIN ca USING (item_id) LEFT JOIN cr USING (item_id, t) GROUP BY 1),
+s AS (SELECT item_id, both::DOUBLE / greatest(len(aw), 1) AS p, both::DOUBLE / greatest(len(rt), 1) AS r FROM c JOIN w USING (item_id))
+SELECT item_id, round(CASE WHEN p > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, round(p, 6) AS "precision", round(r, 6) AS recall FROM s""")
+def token_f1(spark, d):
+    a = _answers(spark, d).select("item_id", metrics.token_f1(metrics.answer_tokens(F.col("answer")), metrics.answer_tokens(F.col("reference"))).alias("m"))
+    return a.select("item_id", *[F.round(f"m.{c}", 6).alias(c) for c in ("f1", "precision", "recall")])
+
+
+@query(f"""WITH {PAIRS_SQL}, w AS (SELECT item_id, a, r, string_split(r, ' ') AS rt, string_split(a, ' ') AS aw FROM p)
+SELECT item_id, a = r OR (len(rt) <= 3 AND r <> '' AND contains(' ' || a || ' ', ' ' || r || ' ')) AS em, r <> '' AND (contains(a, r) OR (len(rt) <= 12 AND list_has_all(aw, rt))) AS soft FROM w""")
+def exact_soft_match(spark, d):
+    return _answers(spark, d).select("item_id", metrics.exact_match(F.col("answer"), F.col("reference")).alias("em"), metrics.soft_match(F.col("answer"), F.col("reference")).alias("soft"))
+
+
+@query()
+def rouge_l(spark, d):
+    a = _answers(spark, d)
+    return a.select("item_id", F.round(metrics.rouge_l(metrics.answer_tokens(F.col("answer")), metrics.answer_tokens(F.col("reference"))), 6).alias("rouge_l"))
+
+
+# Roll-ups: a document counts as refused if it is short, and as negative by its label.
+
+
+def _judged(spark, d) -> DataFrame:
+    j = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id")
+    return j.withColumn("outcome", metrics.outcome(F.col("quality") == 0, F.col("n_chars") < 1000))
+
+
+JUDGED_SQL = "j AS (SELECT *, CASE WHEN quality = 0 AND n_chars < 1000 THEN 'TN' WHEN quality = 0 THEN 'FP' WHEN n_chars < 1000 THEN 'FN' ELSE 'TP' END AS outcome FROM documents JOIN labels USING (doc_id))"
+COUNTS_SQL = ", ".join(f"count(*) FILTER (outcome = '{k}') AS {k.lower()}" for k in ("TP", "TN", "FP", "FN"))
+
+
+@query(f"WITH {JUDGED_SQL} SELECT lang, {COUNTS_SQL}, round(100.0::DOUBLE * count(*) FILTER (outcome IN ('TP', 'TN')) / count(*), 6) AS accuracy FROM j GROUP BY 1")
+def confusion_matrix(spark, d):
+    return evaluation.confusion(_judged(spark, d), ["lang"])
+
+
+@query(f"""WITH {JUDGED_SQL} SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS lang, CASE WHEN grouping(source) = 1 THEN 'all' ELSE source END AS source, count(*) AS n,
+count(*) FILTER (outcome IN ('TP', 'TN')) AS n_right, round(avg(n_chars), 6) AS mean_chars FROM j GROUP BY ROLLUP (lang, source)""")
+def metrics_rollup(spark, d):
+    return evaluation.rollup(
+        _judged(spark, d), ["lang", "source"], {"n": F.count(F.lit(1)), "n_right": F.count_if(F.col("outcome").isin("TP", "TN")), "mean_chars": F.round(F.avg("n_chars"), 6)}
     )
+
+
+@query("SELECT event_type, round(avg(value::DECIMAL(28,10))::DOUBLE, 4) AS mean, round(median(value), 6) AS median, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
+def latency_summary(spark, d):
+    out = evaluation.latency(read(spark, d, "events"), "value", ["event_type"])
+    return out.withColumn("mean", F.round("mean", 4))
+
+
+@query("""WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events), b AS (SELECT CASE WHEN hi = lo THEN 0 ELSE least(7, floor((value - lo) / ((hi - lo) / 8))) END::INTEGER AS bin FROM events, e WHERE value IS NOT NULL)
+SELECT r.bin::INTEGER AS bin, count(b.bin) AS n FROM (SELECT unnest(range(8)) AS bin) r LEFT JOIN b ON b.bin = r.bin GROUP BY 1""")
+def latency_histogram(spark, d):
+    return agg.histogram(read(spark, d, "events"), "value")
+
+
+@query("""WITH s AS (SELECT p_size % 5 + 1 AS size_score, length(p_name) % 5 + 1 AS name_score FROM part), u AS (SELECT 'size_score' AS metric, size_score AS score FROM s UNION ALL SELECT 'name_score', name_score FROM s)
+SELECT metric, round(avg(score), 6) AS mean, min(score)::INTEGER AS low, max(score)::INTEGER AS high, count(score) AS valid, count(*) FILTER (score = 1) AS s1, count(*) FILTER (score = 2) AS s2, count(*) FILTER (score = 3) AS s3, count(*) FILTER (score = 4) AS s4, count(*) FILTER (score = 5) AS s5 FROM u GROUP BY 1""")
+def score_distribution(spark, d):
+    p = read(spark, d, "part").select((F.col("p_size") % 5 + 1).alias("size_score"), (F.length("p_name") % 5 + 1).alias("name_score"))
+    return evaluation.score_distribution(p, ["size_score", "name_score"])
+
+
+@query(f"SELECT token AS word, count(*) AS n, count(DISTINCT doc_id) AS n_chunks, count(DISTINCT source) AS n_sources FROM ({WORDS_SQL}) GROUP BY 1")
+def collision_report(spark, d):
+    return agg.collisions(_documents(spark, d).select("chunk_id", "source", F.explode("tokens").alias("token")))
+
+
+@query("""WITH c AS (SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1)
+SELECT value AS category, n AS value, (SELECT sum(n) FROM c)::BIGINT AS total, (SELECT count(*) FROM c) AS n_categories, (SELECT value FROM c ORDER BY n DESC, value LIMIT 1) AS top, (SELECT max(n) FROM c) AS highest, (SELECT avg(n) FROM c) AS mean, 'donut' AS kind FROM c""")
+def chart_data(spark, d):
+    return agg.chart(agg.value_counts(read(spark, d, "orders"), "o_orderpriority"), unit="orders")
+
+
+@query(f"SELECT doc_id, len(list_distinct(w))::INTEGER AS n FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents) WHERE len(w) >= 2")
+def meaningful_documents(spark, d):
+    docs = _documents(spark, d)
+    return docs.where(F.size("tokens") >= 2).select(F.col("chunk_id").alias("doc_id"), F.size(F.array_distinct("tokens")).alias("n"))

@@ -1 +1 @@
-
+"""Operators over DataFrames: aggregates, retrieval, chunking, rules, evaluation."""
