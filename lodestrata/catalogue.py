@@ -249,10 +249,10 @@ def _dense(spark, d, k: int | None) -> DataFrame:
     return search.cosine_scores(_vectors(spark, d), _query_vectors(spark, d), k)
 
 
-@query(f"WITH {NORM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dense) SELECT qid, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 8")
+@query(f"WITH {NORM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dense) SELECT qid, chunk_id, rank, round(score, 9) AS score FROM r WHERE rank <= 8")
 def cosine_topk(spark, d):
     s = _dense(spark, d, search.TOP_K).withColumn("score", F.round("score", 9))
-    return search.top_k(s, search.TOP_K).select("qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return search.top_k(s, search.TOP_K).select("qid", "chunk_id", "rank", "score")
 
 
 @query(f"WITH {NORM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dense WHERE chunk_id <> qid) SELECT qid, chunk_id, rank, label FROM r WHERE rank <= 3")
@@ -293,16 +293,16 @@ def _questions(spark, d) -> DataFrame:
     return read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), text.plain_words(F.col("text")).alias("tokens"))
 
 
-@query(f"WITH {_bm25_sql(False)}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) SELECT qid, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 8")
+@query(f"WITH {_bm25_sql(False)}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) SELECT qid, chunk_id, rank, round(score, 9) AS score FROM r WHERE rank <= 8")
 def bm25_topk(spark, d):
     s = search.bm25(_documents(spark, d), _questions(spark, d)).withColumn("score", F.round("score", 9))
-    return search.top_k(s, search.TOP_K).select("qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return search.top_k(s, search.TOP_K).select("qid", "chunk_id", "rank", "score")
 
 
-@query(f"WITH {_bm25_sql(True)}, r AS (SELECT *, row_number() OVER (PARTITION BY lang, qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) SELECT lang, qid, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 4")
+@query(f"WITH {_bm25_sql(True)}, r AS (SELECT *, row_number() OVER (PARTITION BY lang, qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) SELECT lang, qid, chunk_id, rank, round(score, 9) AS score FROM r WHERE rank <= 4")
 def bm25_scoped(spark, d):
     s = search.bm25(_documents(spark, d), _questions(spark, d), ["lang"]).withColumn("score", F.round("score", 9))
-    return search.top_k(s, 4, keys=["lang", "qid"]).select("lang", "qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return search.top_k(s, 4, keys=["lang", "qid"]).select("lang", "qid", "chunk_id", "rank", "score")
 
 
 # Hybrid queries: a benchmark passage searches documents that have a vector; its own vector has its number.
@@ -342,9 +342,9 @@ def _boosted(spark, d) -> DataFrame:
     return search.boosted(j, hint_gate=F.col("source") == "src0").withColumn("score", F.round("score", 9))
 
 
-@query(f"WITH {BOOST_SQL} SELECT qid, chunk_id, rank, round(score, 6) AS score FROM bk WHERE rank <= 8")
+@query(f"WITH {BOOST_SQL} SELECT qid, chunk_id, rank, round(score, 9) AS score FROM bk WHERE rank <= 8")
 def hybrid_boosted(spark, d):
-    return search.top_k(_boosted(spark, d), search.TOP_K).select("qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return search.top_k(_boosted(spark, d), search.TOP_K).select("qid", "chunk_id", "rank", "score")
 
 
 @query(f"""WITH {BOOST_SQL}, pool AS (SELECT qid, chunk_id, rank FROM bk WHERE rank <= 8), x AS (SELECT qid, chunk_id, dense_rank FROM dr WHERE dense_rank < 3 AND (qid, chunk_id) NOT IN (SELECT (qid, chunk_id) FROM pool))
@@ -387,8 +387,8 @@ PAIRS_SQL = f"p AS (SELECT item_id, {ANSWER_SQL.format('d.text')} AS a, {ANSWER_
 
 @query(f"""WITH {PAIRS_SQL}, w AS (SELECT item_id, list_filter(string_split(a, ' '), lambda x: x <> '') AS aw, list_filter(string_split(r, ' '), lambda x: x <> '') AS rt FROM p),
 ca AS (SELECT item_id, t, count(*) AS n FROM (SELECT item_id, unnest(aw) AS t FROM w) GROUP BY ALL), cr AS (SELECT item_id, t, count(*) AS n FROM (SELECT item_id, unnest(rt) AS t FROM w) GROUP BY ALL),
-c AS (SELECT item_id, coalesce(sum(least(ca.n, cr.n)), 0) AS both FROM w LEFT JOIN ca USING (item_id) LEFT JOIN cr USING (item_id, t) GROUP BY 1),
-s AS (SELECT item_id, both::DOUBLE / greatest(len(aw), 1) AS p, both::DOUBLE / greatest(len(rt), 1) AS r FROM c JOIN w USING (item_id))
+c AS (SELECT item_id, coalesce(sum(CASE WHEN cr.n IS NOT NULL THEN least(ca.n, cr.n) END), 0) AS shared FROM w LEFT JOIN ca USING (item_id) LEFT JOIN cr USING (item_id, t) GROUP BY 1),
+s AS (SELECT item_id, shared::DOUBLE / greatest(len(aw), 1) AS p, shared::DOUBLE / greatest(len(rt), 1) AS r FROM c JOIN w USING (item_id))
 SELECT item_id, round(CASE WHEN p > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, round(p, 6) AS "precision", round(r, 6) AS recall FROM s""")
 def token_f1(spark, d):
     a = _answers(spark, d).select("item_id", metrics.token_f1(metrics.answer_tokens(F.col("answer")), metrics.answer_tokens(F.col("reference"))).alias("m"))

@@ -160,7 +160,7 @@ def code_form(code: Column) -> Column:
 def unfence(text: Column) -> Column:
     """The content of the first code fence; the trimmed text if there is none."""
     inner = F.regexp_extract(text, "(?s)```(?:[a-zA-Z]*\\n)?(.*?)```", 1)
-    return F.trim(F.when(inner != "", inner).otherwise(text))
+    return F.btrim(F.when(inner != "", inner).otherwise(text), F.lit(" \n\t\r"))
 
 
 def distribution(text: Column) -> Column:

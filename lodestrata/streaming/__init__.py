@@ -1 +1 @@
-
+"""Structured Streaming: continuous ingestion into the chunk store."""
