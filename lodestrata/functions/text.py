@@ -177,3 +177,69 @@ def keep_script(text: Column, share: float = 0.4) -> Column:
     cut = lambda line: F.regexp_replace(line, "[\\p{L}&&[^\\p{IsLatin}\\p{IsGreek}]].*$", "")
     lines = F.transform(F.split(text, "\n"), lambda x: F.when(F.length(cut(x)) >= share * F.length(x), F.rtrim(cut(x))).otherwise(x))
     return F.array_join(lines, "\n")
+
+
+# Function words and query phrases that ranking leaves out, and synonyms.
+STOPWORDS = [
+    "acaba", "ama", "ancak", "bana", "bazı", "belki", "ben", "beni", "benim", "bir", "biraz", "biz", "bize", "bu",
+    "buna", "bunu", "bunun", "da", "daha", "de", "değil", "diye", "en", "gibi", "hem", "her", "için", "ile", "ise",
+    "kadar", "ki", "mi", "mı", "mu", "mü", "ne", "neden", "nasıl", "o", "ona", "onu", "onun", "olan", "olarak",
+    "sen", "siz", "şu", "ve", "veya", "ya", "yani", "çok", "iyi", "var", "arıyorum", "istiyorum", "lazım", "bul",
+    "bulur", "öner", "önerir", "musun", "misin", "müsün", "mısın", "nedir", "nelerdir", "neler", "neyi", "nasıldır",
+    "kadardır", "midir", "mıdır", "mudur", "müdür", "içinde", "içindeki", "bazında", "önce", "vardı", "biri",
+    "birinde", "birini", "birden",
+]
+SYNONYMS = {
+    "dişçi": "diş hekimi",
+    "göz doktoru": "göz hekimi",
+    "çocuk doktoru": "çocuk sağlığı uzmanı",
+    "kbb": "kulak burun boğaz",
+    "cildiye": "dermatoloji",
+}
+
+
+def with_synonyms(low: Column) -> Column:
+    """A lower-case text with each known term as its canonical one; the last word may carry a suffix.
+    Longer terms come first."""
+    out = low
+    for term in sorted(SYNONYMS, key=len, reverse=True):
+        out = F.regexp_replace(out, f"(?U)(?<!\\w){term}\\w*", SYNONYMS[term])
+    return out
+
+
+def content_tokens(c: Column, stem=None) -> Column:
+    """Tokens for ranking: synonyms replaced, function words left out by their surface form, then folded.
+    stem: an injected function of a column to a column for single tokens; a stem that would be a function
+    word is not used."""
+    stop = F.array(*[F.lit(w) for w in dict.fromkeys(w.translate(str.maketrans(FOLD_FROM, FOLD_TO)) for w in STOPWORDS)])
+    kept = F.filter(tokens(with_synonyms(tr_lower(c))), lambda t: ~F.array_contains(stop, fold(t)))
+    if stem is None:
+        return F.transform(kept, fold)
+    return F.transform(kept, lambda t: F.when(F.array_contains(stop, fold(stem(t))), fold(t)).otherwise(fold(stem(t))))
+
+
+def candidate_word(word: Column) -> Column:
+    """Not a number, at least two characters, not a function word."""
+    stop = F.array(*[F.lit(w.translate(str.maketrans(FOLD_FROM, FOLD_TO))) for w in STOPWORDS])
+    return ~word.rlike("^\\d+$") & (F.length(word) >= 2) & ~F.array_contains(stop, normalize(word))
+
+
+def related_words(a: Column, b: Column, least: int = 4) -> Column:
+    """Whether one word starts the other, or both share a start of the given length."""
+    return a.startswith(b) | b.startswith(a) | ((F.length(a) >= least) & (F.substring(a, 1, least) == F.substring(b, 1, least)))
+
+
+def score_band(score: Column) -> Column:
+    """A score held to [0, 1] as high (from 0.66), middle (from 0.33) or low."""
+    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+    return F.when(s >= 0.66, "high").when(s >= 0.33, "middle").otherwise("low")
+
+
+def set_name(path: Column) -> Column:
+    """The name of a file without folders and ending."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), "\\.[^.]*$", "")
+
+
+def meaningful(question: Column) -> Column:
+    """At least two word characters."""
+    return F.length(F.regexp_replace(question, "(?U)[^\\w]", "")) >= 2

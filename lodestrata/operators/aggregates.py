@@ -146,3 +146,35 @@ def runs(df: DataFrame, key: str, order: str, same: Column) -> DataFrame:
     w = Window.partitionBy(key).orderBy(order)
     flagged = df.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
     return flagged.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+
+
+#: Names of coordinate columns and the range of their values (fixed values).
+COORDINATES = {"lat": (["lat", "latitude", "enlem"], 90.0), "lon": (["lon", "lng", "longitude", "boylam"], 180.0)}
+
+
+def coordinate_pair(df: DataFrame) -> tuple[str, str] | None:
+    """(latitude, longitude) columns: a name that says so, numbers within range and at least two values."""
+    numeric = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "float", "int", "bigint") or f.dataType.simpleString().startswith("decimal")]
+    named = {kind: [c for c in numeric if set(c.lower().replace(".", "_").split("_")) & set(names)] for kind, (names, _) in COORDINATES.items()}
+    asked = named["lat"] + named["lon"]
+    if not named["lat"] or not named["lon"]:
+        return None
+    one = df.agg(*[f(F.col(f"`{c}`")).alias(f"{i}_{c}") for c in asked for i, f in enumerate((F.min, F.max, F.count))]).first()
+    fits = lambda c, most: one[f"2_{c}"] >= 2 and -most <= one[f"0_{c}"] and one[f"1_{c}"] <= most
+    found = [next((c for c in named[kind] if fits(c, most)), None) for kind, (_, most) in COORDINATES.items()]
+    return tuple(found) if all(found) else None
+
+
+#: Names of amount columns, the most telling first (fixed values).
+AMOUNTS = ["amount", "tutar", "miktar", "price", "fiyat", "total", "toplam", "balance", "bakiye"]
+
+
+def amount_column(df: DataFrame) -> str | None:
+    """The amount column by name, else the first numeric one."""
+    numeric = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "float", "int", "bigint")]
+    return next((c for n in AMOUNTS for c in numeric if n in c.lower()), numeric[0] if numeric else None)
+
+
+def first_values(df: DataFrame, column: str, order: str, n: int = 5) -> DataFrame:
+    """The first n distinct values of a column in order of another one."""
+    return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(order).alias("at")).orderBy("at", "value").limit(n).select("value")

@@ -111,3 +111,45 @@ def error_streaks(df: DataFrame, limit: int = 3) -> DataFrame:
     w = Window.partitionBy("set_name").orderBy("pos")
     back = df.withColumn("k", F.sum(F.col("failed").cast("int")).over(w.rowsBetween(-(limit - 1), 0)))
     return back.where(F.col("k") == limit).groupBy("set_name").agg((F.min("pos") - (limit - 1)).alias("first_pos"))
+
+
+def truth_skeleton(questions: DataFrame, old: DataFrame) -> DataFrame:
+    """(id, question, refs, keywords) for every question; what was filled in before stays only where the
+    question's text is the same."""
+    o = old.select("id", F.col("question").alias("was"), F.col("refs").alias("r"), F.col("keywords").alias("k"))
+    same, none = F.col("was") == F.col("question"), F.array().cast("array<string>")
+    j = questions.select("id", "question").join(o, "id", "left")
+    return j.select("id", "question", F.when(same, F.coalesce("r", none)).otherwise(none).alias("refs"), F.when(same, F.coalesce("k", none)).otherwise(none).alias("keywords"))
+
+
+def fill_status(truth: DataFrame) -> DataFrame:
+    """(set_name, total, negatives, filled, needed, pct) by set and for all; negatives need no reference."""
+    filled = F.size("refs") > 0
+    out = truth.rollup("set_name").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("negative").alias("negatives"), F.count_if(filled & ~F.col("negative")).alias("filled"), F.count_if(~F.col("negative")).alias("needed"), F.grouping("set_name").alias("g")
+    )
+    return out.select(F.when(F.col("g") == 1, "all").otherwise(F.col("set_name")).alias("set_name"), "total", "negatives", "filled", "needed", F.when(F.col("needed") == 0, 100.0).otherwise(F.round(100.0 * F.col("filled") / F.col("needed"), 1)).alias("pct"))
+
+
+def judge_scores(text: Column, names: list[str]) -> Column:
+    """struct of scores from JSON in prose: rounded, held to 1 to 5, null for anything but a number."""
+    body = F.regexp_extract(text, "(?s)(\\{.*\\})", 1)
+    parts = []
+    for n in names:
+        value = F.get_json_object(body, f"$.{n}").try_cast("double")
+        parts.append(F.when(value.isNotNull() & ~F.isnan(value), F.greatest(F.lit(1), F.least(F.lit(5), F.round(value).cast("int")))).alias(n))
+    return F.struct(*parts)
+
+
+def ranks_of_targets(ranking: DataFrame, targets: DataFrame, confusers: DataFrame) -> DataFrame:
+    """(qid, first, ahead): rank of the first target of a ranking (qid, chunk_id, rank), and how many
+    confusers stand before it; a question without a found target has null and all its confusers."""
+    marked = ranking.join(targets.select("qid", "chunk_id", F.lit(True).alias("target")), ["qid", "chunk_id"], "left").join(confusers.select("qid", "chunk_id", F.lit(True).alias("confuser")), ["qid", "chunk_id"], "left")
+    first = F.min(F.when(F.col("target"), F.col("rank"))).over(Window.partitionBy("qid"))
+    return marked.withColumn("first", first).groupBy("qid", "first").agg(F.count_if(F.col("confuser") & (F.col("first").isNull() | (F.col("rank") < F.col("first")))).alias("ahead"))
+
+
+def run_report(rows: DataFrame) -> DataFrame:
+    """(label, n, ids) of a run's validation labels (id, status): the first word of the status tells the group."""
+    label = F.element_at(F.split("status", " "), 1)
+    return rows.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))

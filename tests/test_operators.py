@@ -209,3 +209,31 @@ def test_evaluation(spark):
     new = spark.createDataFrame([(0, 2, 1), (0, 3, 2)], "qid long, chunk_id long, rank int")
     r = evaluation.rank_changes(old, new).first()
     assert (r["same_set"], r["entered"], r["gone"]) == (False, [3], [1])
+
+
+def test_truth_and_judging(spark):
+    q = spark.createDataFrame([(1, "a"), (2, "b")], "id long, question string")
+    old = spark.createDataFrame([(1, "a", ["x"], []), (2, "other", ["y"], [])], "id long, question string, refs array<string>, keywords array<string>")
+    assert {r["id"]: r["refs"] for r in evaluation.truth_skeleton(q, old).collect()} == {1: ["x"], 2: []}
+    t = spark.createDataFrame([("s", False, ["x"]), ("s", True, []), ("s", False, [])], "set_name string, negative boolean, refs array<string>")
+    assert {r["set_name"]: (r["total"], r["negatives"], r["filled"], r["needed"], r["pct"]) for r in evaluation.fill_status(t).collect()} == {"s": (3, 1, 1, 2, 50.0), "all": (3, 1, 1, 2, 50.0)}
+    s = spark.createDataFrame([('so: {"a": 7, "b": "x", "c": 2.6}',)], "t string").select(evaluation.judge_scores(F.col("t"), ["a", "b", "c"]).alias("s")).first()["s"]
+    assert (s["a"], s["b"], s["c"]) == (5, None, 3)
+    ranking = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (0, 3, 3)], "qid long, chunk_id long, rank int")
+    target, confuser = (spark.createDataFrame([(0, k)], "qid long, chunk_id long") for k in (2, 1))
+    assert tuple(evaluation.ranks_of_targets(ranking, target, confuser).first()) == (0, 2, 1)
+
+
+def test_column_roles(spark):
+    df = spark.createDataFrame([("x", 41.0, 29.0, 5), ("y", 38.0, 27.0, 6)], "city string, geo_lat double, geo_lon double, total int")
+    assert aggregates.coordinate_pair(df) == ("geo_lat", "geo_lon") and aggregates.amount_column(df) == "total"
+    assert aggregates.coordinate_pair(df.drop("geo_lat")) is None
+    assert [r["value"] for r in aggregates.first_values(df, "city", "total", 1).collect()] == ["x"]
+
+
+def test_ranking_tokens(spark):
+    from lodestrata.functions import text
+
+    df = spark.createDataFrame([("Ankara'da iyi bir dişçi arıyorum",)], "t string")
+    assert df.select(text.content_tokens(F.col("t")).alias("y")).first()[0] == ["ankara", "dis", "hekimi"]
+    assert df.select(text.candidate_word(F.lit("12")).alias("a"), text.candidate_word(F.lit("için")).alias("b"), text.candidate_word(F.lit("deniz")).alias("c")).first()[0:3] == (False, False, True)
