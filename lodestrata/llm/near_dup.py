@@ -3,14 +3,17 @@
 1. One pass over the texts: distinct five-word shingles, a 128-bit digest of the set, 126 min-hashes.
    Documents with equal sets form a class; all further work is on classes.
 2. Classes that share one of 21 bands (six values each) are candidates. A bucket compares its members
-   with its smallest only, so a bucket of any size makes one pair a member.
+   with one of them only, so a bucket of any size makes one pair a member; which one it is follows one
+   of five random orders, by band, so that a large group meets several.
 3. A pair's signatures are compared 21 values at a time. With m of n equal, similarity has the
    posterior Beta(m + 1, n - m + 1); the pair is dropped once P(similarity >= threshold) is below
    ``miss``. What survives is verified on the full sets.
 4. Connected components of the links. In buckets whose members are still in several components, the
-   members outside the smallest one's component are compared with all others, in blocks of at most
-   about a thousand rows a side, and step 3 repeats for those pairs. So a bucket is compared in full
-   wherever a link could still join two components, and never where it could not.
+   members outside the compared one's component meet all others, in blocks of about a thousand rows a
+   side. Rows with a partner in another component whose signature passes step 3 are looked at again
+   together with their full sets: their pairs are verified in the block, which skips pairs that its own
+   links have joined meanwhile. So a bucket is compared in full wherever a link could still join two
+   components, and no list of all its pairs is ever made.
 
 Bands miss a pair at similarity 0.85 with probability 5e-5 (0.8: 2e-3); ``miss`` adds 1e-5 a batch.
 
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, ship
 from .wordhash import U64, hash_words, mix, shingles
 
-K, BANDS, ROWS = 5, 21, 6
+K, BANDS, ROWS, ORDERS = 5, 21, 6, 5
 N_HASH = BANDS * ROWS
 BATCH = 21
 BLOCK = 1000
@@ -112,9 +115,11 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = np.zeros(rows.shape[:2], U64) + np.arange(1, BANDS + 1, dtype=U64)
             for i in range(ROWS):
                 key = mix(key * U64(0x9E3779B97F4A7C13) + rows[:, :, i])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.repeat(batch.column(1).to_numpy(), BANDS))], ["bh", "node", "n"]
-        )
+        node = np.repeat(batch.column(0).to_numpy(), BANDS)
+        with np.errstate(over="ignore"):
+            turn = mix(node.view(U64) + np.tile(np.arange(BANDS, dtype=U64) % U64(ORDERS), batch.num_rows) * U64(0xD6E8FEB86659FD93)).view(np.int64)
+        columns = [key.ravel().view(np.int64), node, np.repeat(batch.column(1).to_numpy(), BANDS), turn]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bh", "node", "n", "turn"])
 
 
 def p_at_least(m: int, n: int, t: float) -> float:
@@ -167,29 +172,59 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def _across(limits: list[tuple[int, int]], sure: int, percent: int):
-    """Pairs of a block's rows (kind 1: outside the main component, kind 0: any member) in different
-    components. Two components of which a pair is as good as certain need no second pair."""
+def _partners(i: int, members: np.ndarray, part: np.ndarray, n: np.ndarray, sig: np.ndarray, limits: list[tuple[int, int]], percent: int) -> np.ndarray:
+    """Members in another component than row i that it may link with, by size and signature."""
+    to = members[(part[members] != part[i]) & (100 * np.minimum(n[members], n[i]) >= percent * np.maximum(n[members], n[i]))]
+    keep, _ = _surviving(np.broadcast_to(sig[i], (len(to), N_HASH)), sig[to], limits)
+    return to[keep]
+
+
+BLOCK_SCHEMA = "bh long, c int, d int, kind int, node long, n int, comp long"
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _open_rows(limits: list[tuple[int, int]], percent: int):
+    """Rows of a block (kind 1: outside the main component, kind 0: any member) with a possible partner."""
+
+    def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _groups(batches, 3):
-            kind, node, part, n = (block.column(c).to_numpy() for c in ("kind", "node", "comp", "n"))
+            kind, part, n = (block.column(c).to_numpy() for c in ("kind", "comp", "n"))
             sig = _matrix(block.column("sig").combine_chunks())
-            members = np.flatnonzero(kind == 0)
-            pairs, joined = [], set()
+            members, used = np.flatnonzero(kind == 0), np.zeros(len(kind), bool)
+            for i in np.flatnonzero(kind == 1):
+                found = _partners(i, members, part, n, sig, limits, percent)
+                used[found] = True
+                used[i] |= len(found) > 0
+            for batch in block.drop_columns(["sig"]).filter(pa.array(used)).to_batches():
+                yield batch
+
+    return open_rows
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _join_blocks(limits: list[tuple[int, int]], percent: int):
+    """Verified links between components of a block; those that its own links have joined are skipped."""
+
+    def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _groups(batches, 3):
+            kind, node, part, n = (block.column(c).to_numpy() for c in ("kind", "node", "comp", "n"))
+            part, sig = part.copy(), _matrix(block.column("sig").combine_chunks())
+            sets = [np.frombuffer(x.as_buffer(), "<u8") for x in block.column("set")]
+            members, links = np.flatnonzero(kind == 0), []
             for i in np.flatnonzero(kind == 1):
-                done = np.array([(min(part[i], c), max(part[i], c)) in joined for c in part[members]], bool) if joined else np.zeros(len(members), bool)
-                to = members[(part[members] != part[i]) & ~done & (100 * np.minimum(n[members], n[i]) >= percent * np.maximum(n[members], n[i]))]
-                keep, same = _surviving(np.broadcast_to(sig[i], (len(to), N_HASH)), sig[to], limits)
-                for j, s in zip(to[keep], same):
-                    link = (min(part[i], part[j]), max(part[i], part[j]))
-                    if link not in joined:
-                        pairs.append((min(node[i], node[j]), max(node[i], node[j])))
-                        if s >= sure:
-                            joined.add(link)
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+                for j in _partners(i, members, part, n, sig, limits, percent):
+                    if part[i] != part[j] and _similar(sets[i], sets[j], percent):
+                        links.append((node[i], node[j]))
+                        part[part == part[j]] = part[i]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return across
+    return join_blocks
 
 
 def _verify(percent: int):
@@ -202,10 +237,7 @@ def _verify(percent: int):
                 if kind.as_py() == 0:
                     key, one = (x, salt), own
                 elif key == (x, salt):
-                    small, large = (own, one) if len(own) < len(one) else (one, own)
-                    at = np.searchsorted(large, small)
-                    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                    if 100 * both >= percent * (len(own) + len(one) - both):
+                    if _similar(one, own, percent):
                         a.append(x)
                         b.append(node.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -264,21 +296,22 @@ def near_groups(docs: DataFrame, threshold: int = 80, miss: float = 1e-5, id_col
         signed.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes"
     )
     sigs = classes.select("node", "n", "sig")
-    bands = classes.select("node", "n", "sig").mapInArrow(_bands, "bh long, node long, n int")
-    buckets = bands.groupBy("bh").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    bands = classes.select("node", "n", "sig").mapInArrow(_bands, "bh long, node long, n int, turn long")
+    buckets = bands.groupBy("bh").agg(F.min(F.struct("turn", "node", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
     member = materialize(bands.join(buckets, "bh").select("bh", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), "m"), "members")
 
     t, limits = threshold / 100, bounds(threshold / 100, miss)
     near = F.expr(f"100 * least(n, pivot_n) >= {threshold} * greatest(n, pivot_n)")
-    star = member.where("node <> pivot").where(near).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    star = member.where("node <> pivot").where(near).select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
     sa, sb = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
     pairs = materialize(star.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_prune(limits), "a long, b long").distinct(), "pairs")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        ids = materialize(nodes.select(F.col("node").alias("id")).distinct(), "ids")
         return materialize(_with_ids(rows, ids, "left_semi").mapInArrow(_sets, "node long, set binary"), "sets")
 
-    links = materialize(verified(pairs, sets_of(pairs), threshold), "links")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    links = materialize(verified(pairs, sets_of(ends), threshold), "links")
     comps = materialize(connected_components(links), "components")
 
     known = member.join(comps, "node", "left").select("bh", "node", "n", "pivot", F.coalesce("comp", "node").alias("comp"))
@@ -293,11 +326,12 @@ def near_groups(docs: DataFrame, threshold: int = 80, miss: float = 1e-5, id_col
     any_member = told.select("bh", cut("C").alias("c"), F.explode(F.sequence(F.lit(0), F.col("D") - 1)).alias("d"), F.lit(0).alias("kind"), "node", "n", "comp", "sig")
     outsiders = told.where("comp <> main").select("bh", F.explode(F.sequence(F.lit(0), F.col("C") - 1)).alias("c"), cut("D").alias("d"), F.lit(1).alias("kind"), "node", "n", "comp", "sig")
     blocks = any_member.unionByName(outsiders).repartition(parts, "bh", "c", "d").sortWithinPartitions("bh", "c", "d", "kind")
-    sure = next((m for m in range(N_HASH + 1) if p_at_least(m, N_HASH, t) >= 0.999), N_HASH + 1)
-    more = blocks.mapInArrow(_across(limits, sure, threshold), "a long, b long").distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    if not more.isEmpty():
-        extra = materialize(verified(more, sets_of(more), threshold), "links")
+    open_rows = materialize(blocks.mapInArrow(_open_rows(limits, threshold), BLOCK_SCHEMA), "open-rows")
+    if not open_rows.isEmpty():
+        full = sets_of(open_rows.select("node")).join(sigs.select("node", "sig"), "node")
+        again = open_rows.join(full, "node").select("bh", "c", "d", "kind", "node", "n", "comp", "sig", "set")
+        again = again.repartition(parts, "bh", "c", "d").sortWithinPartitions("bh", "c", "d", "kind")
+        extra = materialize(again.mapInArrow(_join_blocks(limits, threshold), "a long, b long").distinct(), "links")
         if not extra.isEmpty():
             comps = materialize(connected_components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(extra)), "components")
     by_class = classes.join(comps, "node", "left").select("k1", "k2", F.coalesce("comp", "node").alias("component"))
