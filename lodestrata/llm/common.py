@@ -39,7 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = "file://" + os.path.join(tempfile.gettempdir(), "lodestrata-shared")
-    return f"{root.rstrip('/')}/lodestrata"
+    return f"{root.rstrip('/')}/lodestrata/{spark.sparkContext.applicationId}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder. Results that still have to be read
+    come from there, so call it when they have been."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
