@@ -1,4 +1,4 @@
-"""Chunking: paragraphs, greedy merging, continued pages, record rendering, JSON leaves."""
+"""Chunking: paragraphs, greedy merging, continued pages, record rendering."""
 
 from __future__ import annotations
 
@@ -80,18 +80,3 @@ def record_text(fields: Column) -> Column:
     show = lambda xs: F.transform(xs, lambda f: F.concat(f["name"], F.lit(": "), narrative(f["value"])))
     key = show(band(0, KEY_MAX))
     return F.array_join(F.concat(key, key, show(band(KEY_MAX, CONTEXT_MAX)), show(band(CONTEXT_MAX, 1 << 30))), "\n")
-
-
-def json_leaves(text: str = "json", path: str = "$") -> str:
-    """SQL that lists (id, path, value) of the leaves of a view ``json_input`` (id, json variant), depth by
-    depth, without null and blank leaves."""
-    return f"""
-    WITH RECURSIVE walk(id, path, v) AS (
-      SELECT id, '{path}', {text} FROM json_input
-      UNION ALL
-      SELECT w.id, CASE WHEN e.key IS NULL THEN concat(w.path, '[', e.pos, ']') ELSE concat(w.path, '.', e.key) END, e.value
-      FROM walk w, LATERAL variant_explode(w.v) e
-      WHERE schema_of_variant(w.v) LIKE 'OBJECT%' OR schema_of_variant(w.v) LIKE 'ARRAY%')
-    SELECT id, path, CAST(v AS STRING) AS value FROM walk
-    WHERE NOT (schema_of_variant(v) LIKE 'OBJECT%' OR schema_of_variant(v) LIKE 'ARRAY%') AND NOT is_variant_null(v) AND trim(CAST(v AS STRING)) <> ''
-    """
