@@ -10,6 +10,11 @@ from ..functions.text import normalize
 VOCABULARY_MAX, VOCABULARY_MIN_LENGTH = 60, 4
 
 
+def _c(name: str) -> Column:
+    """A column by its name, which may hold dots."""
+    return F.col("`" + name.strip("`") + "`")
+
+
 def ratio(df: DataFrame, predicate: Column, digits: int = 1) -> DataFrame:
     """(n, total, pct) of rows that fulfil a predicate; pct is 0 for an empty table."""
     one = df.agg(F.count_if(predicate).alias("n"), F.count(F.lit(1)).alias("total"))
@@ -18,12 +23,12 @@ def ratio(df: DataFrame, predicate: Column, digits: int = 1) -> DataFrame:
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, n) without nulls, most frequent first."""
-    return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value")
+    return df.where(_c(column).isNotNull()).groupBy(_c(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value")
 
 
 def exploded_counts(df: DataFrame, column: str) -> DataFrame:
     """value_counts over the entries of an array column; repeats within an array count."""
-    return value_counts(df.select(F.explode(column).alias("value")), "value")
+    return value_counts(df.select(F.explode(_c(column)).alias("value")), "value")
 
 
 def top_excluding(counts: DataFrame, excluded: str | None, n: int = 2) -> DataFrame:
@@ -34,7 +39,7 @@ def top_excluding(counts: DataFrame, excluded: str | None, n: int = 2) -> DataFr
 
 def distinct_and_top(df: DataFrame, column: str, n: int) -> DataFrame:
     """(value, n, n_distinct): the n most frequent values, each with the number of distinct ones."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(_c(column).isNotNull()).groupBy(_c(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.count(F.lit(1)).alias("n_distinct"))
     return counts.orderBy(F.desc("n"), "value").limit(n).crossJoin(total)
 
@@ -52,11 +57,11 @@ def vocabulary(df: DataFrame, name: str) -> DataFrame:
     strings = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     if not strings:
         return df.sparkSession.createDataFrame([], "dataset string, column string, value string")
-    sizes = df.agg(*[F.count_distinct(c).alias(c) for c in strings]).first()
+    sizes = df.agg(*[F.count_distinct(_c(c)).alias(c) for c in strings]).first()
     small = [c for c in strings if 0 < sizes[c] <= VOCABULARY_MAX]
     out = df.sparkSession.createDataFrame([], "dataset string, column string, value string")
     for c in small:
-        part = df.where(F.col(c).isNotNull()).select(F.lit(name).alias("dataset"), F.lit(c).alias("column"), normalize(F.trim(F.col(c))).alias("value")).distinct()
+        part = df.where(_c(c).isNotNull()).select(F.lit(name).alias("dataset"), F.lit(c).alias("column"), normalize(F.trim(_c(c))).alias("value")).distinct()
         out = out.unionByName(part.where(F.length("value") >= VOCABULARY_MIN_LENGTH))
     return out
 
@@ -102,7 +107,7 @@ def sign_columns(df: DataFrame) -> list[tuple[str, str, str]]:
     strings = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     if not strings:
         return []
-    low = lambda c: F.lower(F.trim(F.col(c)))
+    low = lambda c: F.lower(F.trim(_c(c)))
     size = df.agg(*[F.count_distinct(low(c)).alias(c) for c in strings]).first()
     few = [c for c in strings if 0 < size[c] <= 6]
     if not few:
@@ -177,4 +182,4 @@ def amount_column(df: DataFrame) -> str | None:
 
 def first_values(df: DataFrame, column: str, order: str, n: int = 5) -> DataFrame:
     """The first n distinct values of a column in order of another one."""
-    return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(order).alias("at")).orderBy("at", "value").limit(n).select("value")
+    return df.where(_c(column).isNotNull()).groupBy(_c(column).alias("value")).agg(F.min(order).alias("at")).orderBy("at", "value").limit(n).select("value")

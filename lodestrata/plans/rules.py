@@ -121,10 +121,10 @@ def _distinct(q: str, df: DataFrame, r: Roles) -> DataFrame | None:
     for words, column, code in ((("sehir", "city", "iller"), r.city, "nunique_city_topn"), (("sektor", "sector"), r.sector, "nunique_sector"), (("meslek", "occupation"), r.occupation, "nunique_occupation")):
         if column and (_start(q, *words) or (code == "nunique_city_topn" and " il " in q)):
             if code == "nunique_city_topn":
-                top = aggregates.distinct_and_top(df, f"`{column}`", top_n(q))
-                total = _scalar(df, code, n_distinct=F.count_distinct(f"`{column}`"))
+                top = aggregates.distinct_and_top(df, column, top_n(q))
+                total = _scalar(df, code, n_distinct=F.count_distinct(F.col(f"`{column}`")))
                 return total.unionByName(_rows(top, code, F.col("value"), F.col("n")))
-            return _scalar(df, code, n_distinct=F.count_distinct(f"`{column}`"))
+            return _scalar(df, code, n_distinct=F.count_distinct(F.col(f"`{column}`")))
     return None
 
 
