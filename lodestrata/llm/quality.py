@@ -66,6 +66,8 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         count_matches(F.col("__t"), "[0-9]").alias("n_digits"),
         F.size(F.array_distinct("__w")).alias("n_distinct"),
         count_matches(F.col("__t"), "[.!?]").alias("n_stops"),
+        # a filter that names this column cannot move below, where it would repeat all of the above
+        F.monotonically_increasing_id().alias("__barrier"),
     )
 
 
@@ -152,7 +154,7 @@ def judge(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> Da
 
 def quality_filter(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that are judged good, all columns unchanged."""
-    return judge(docs, text_col, threshold).where("kept").select("__row.*")
+    return judge(docs, text_col, threshold).where("kept and __barrier >= 0").select("__row.*")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
