@@ -6,7 +6,7 @@ replacement. A target holds as many complete epochs of its source as fit, and th
 key order that fit into the rest; one more document, the one nearest in size, may close the gap.
 
 No source is sorted as a whole: keys fall into fixed buckets, sizes are summed by (source, bucket),
-and only the bucket in which the budget ends is sorted. So a source with a third of all rows costs no
+and only the bucket in which the budget ends is sorted (it is found in two steps of 256). So a source with a third of all rows costs no
 single task more than any other, and the choice is one comparison per document.
 
 Edge cases: null and blank texts have size 0 and are taken 0 words; a null source is a source, the
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import count_matches, documents, materialize, packed, words
 
 EPOCHS = 3
-BUCKETS = 65536
+BUCKETS, STEP = 65536, 256
 SYMBOLS = "[#*$%&|<>]"
 BROADCAST_SOURCES = 100_000
 
@@ -72,15 +72,19 @@ def budgets(rows: DataFrame, goal: DataFrame, epochs: int = EPOCHS) -> DataFrame
     """
     goal = goal.select("*", F.least(F.lit(epochs), F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))).cast("long").alias("e"))
     goal = goal.select("*", F.when(F.col("e") >= epochs, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.col("target") - F.col("e") * F.col("source_size"))).alias("rest"))
-    by_source = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = rows.groupBy("source", "b").agg(F.sum("size").alias("s"))
-    before = buckets.select("source", "b", "s", F.coalesce(F.sum("s").over(by_source), F.lit(0)).alias("before"))
-    g = goal.alias("g")
-    # the bucket in which the rest ends
-    end = before.alias("x").join(g, F.col("x.source").eqNullSafe(F.col("g.source"))).where("before < rest and before + s >= rest")
-    end = materialize(end.select(F.col("g.source").alias("source"), "b", "before", "rest"), "mix-end")
     n_sources = goal.count()
     small = (lambda d: F.broadcast(d)) if n_sources <= BROADCAST_SOURCES else (lambda d: d)
+    # the bucket in which the rest ends: first among 256 coarse ones, then among the 256 within
+    fine = materialize(rows.groupBy("source", "b").agg(F.sum("size").alias("s")), "mix-buckets")
+    coarse = fine.groupBy("source", F.floor(F.col("b") / STEP).cast("int").alias("c")).agg(F.sum("s").alias("s"))
+    before = F.coalesce(F.sum("s").over(Window.partitionBy("source").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = coarse.select("source", "c", "s", before.alias("before")).alias("x").join(small(goal.alias("g")), F.col("x.source").eqNullSafe(F.col("g.source")))
+    first = materialize(first.where("before < rest and before + s >= rest").select(F.col("g.source").alias("source"), "c", "before", "rest"), "mix-coarse")
+    near = fine.alias("x").join(small(first.alias("f")), F.col("x.source").eqNullSafe(F.col("f.source")) & (F.floor(F.col("b") / STEP) == F.col("c")))
+    near = near.select(F.col("f.source").alias("source"), "b", "s", "before", "rest")
+    more = F.coalesce(F.sum("s").over(Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    end = near.select("source", "b", "s", "rest", (F.col("before") + more).alias("before")).where("before < rest and before + s >= rest")
+    end = materialize(end.select("source", "b", "before", "rest"), "mix-end")
     inside = rows.alias("r").join(small(end.alias("n")), (F.col("r.source").eqNullSafe(F.col("n.source"))) & (F.col("r.b") == F.col("n.b")))
     inside = inside.select(F.col("r.source").alias("source"), "r.id", "r.size", "r.k", "before", "rest")
     order = Window.partitionBy("source").orderBy("k", F.col("id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
