@@ -150,11 +150,17 @@ def _words(text: Column) -> Column:
 
 
 def counter_examples(docs: DataFrame, text_col: str = "text", n: int = SAMPLE) -> list[str]:
-    """One paragraph each of the n documents with the least hash of their text."""
+    """One paragraph of each of the n distinct texts with the least hashes. The hashes are found first, so
+    that tasks send no texts but those."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.xxhash64(text).alias("h"), text.alias("t")).where("t <> ''").orderBy("h").limit(n)
+    rows = docs.select(F.xxhash64(text).alias("h"), text.alias("t")).where("t <> ''")
+    last = rows.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike("\\S"))
-    return sorted(r[0] for r in rows.select(F.substring(F.get(lines, F.pmod("h", F.greatest(F.size(lines), F.lit(1)))), 1, 2000)).collect() if r[0])
+    line = F.substring(F.get(lines, F.pmod("h", F.greatest(F.size(lines), F.lit(1)))), 1, 2000)
+    chosen = rows.where(F.col("h") <= last).select("h", line.alias("p")).groupBy("h").agg(F.first("p").alias("p"))
+    return sorted(r[0] for r in chosen.select("p").collect() if r[0])
 
 
 def scan(docs: DataFrame, least: float = 0.8, share: float = 0.6, id_col: str = "doc_id", text_col: str = "text", model: dict | None = None) -> DataFrame:
