@@ -1,6 +1,6 @@
 """Interpolated modified Kneser-Ney bigram model: counted in Spark, scored from memory-mapped arrays.
 
-Counting: tasks turn texts into word hashes, sum unigrams and bigrams of about a million tokens at a
+Counting: tasks turn texts into word hashes, sum unigrams and bigrams of about half a million tokens at a
 time and send them, as sorted arrays, to shards of the hash space. A shard merges what it gets and
 writes its bigrams as sorted hash arrays to the shared folder. Continuation counts are dealt again by
 the second word, which gives the unigram arrays. Discounts come from sums over shards. Scoring maps
@@ -27,7 +27,7 @@ from .sharedfiles import local_path, map_arrays, write_arrays
 from .wordhash import U64, hash_words
 
 END, BEGIN = U64(0x6A09E667F3BCC909), U64(0xBB67AE8584CAA73B)
-SLICE = 1 << 20
+SLICE = 1 << 19
 SHARD_BYTES = 16 << 20
 
 
