@@ -6,6 +6,8 @@ templates below, on cut and reworded forms of them, and on a bounded sample of p
 corpus as counter-examples. Every feature holds a cue word (a template word that is rare in the
 sample), so a paragraph without cue words has no feature and cannot be a licence: Spark finds those
 with a cue word while it reads, and only they are scored, by a join of their n-grams with the weights.
+Sampled paragraphs that resemble a template are no counter-examples and do not count for the cue words:
+a notice may be as common in the corpus as it likes.
 A temperature fitted on forms kept back calibrates the probabilities; below ``least`` the family is
 unknown. The template whose words the paragraph shares must agree with the prediction to confirm it.
 
@@ -83,6 +85,22 @@ def ngrams(ws: list[str], cues: set[str]) -> set[str]:
     return {" ".join(ws[i : i + n]) for n in (1, 2, 3) for i in range(len(ws) - n + 1) if cues & set(ws[i : i + n])}
 
 
+def resembles(text: str, share: float = 0.6) -> bool:
+    """Whether a paragraph holds a template's notice or is a piece of one: ``share`` of a template's words
+    (three at least) stand within twice its length, or a run of four words and ``share`` of the
+    paragraph's words are a template's."""
+    ws = tokens(text)
+    has = set(ws)
+    for t in (tokens(t) for ts in TEMPLATES.values() for t in ts):
+        own = set(t)
+        need = max(3, share * len(own))
+        if len(own & has) >= need and any(len(own & set(ws[i : i + 2 * len(t)])) >= need for i in range(0, len(ws), len(t))):
+            return True
+        if len(own & has) >= max(4, share * len(has)) and {tuple(t[i : i + 4]) for i in range(len(t) - 3)} & {tuple(ws[i : i + 4]) for i in range(len(ws) - 3)}:
+            return True
+    return False
+
+
 def train(others: list[str], rounds: int = 200, rate: float = 0.5, decay: float = 1e-4, seed: int = 3) -> dict:
     """Cue words, families, weights by n-gram, intercepts (divided by the temperature)."""
     rng = np.random.default_rng(seed)
@@ -167,7 +185,7 @@ def scan(docs: DataFrame, least: float = 0.8, share: float = 0.6, id_col: str =
     """One row per document: id, licenses (sorted families), n_paragraphs (licence paragraphs), best
     (the most probable family), probability, confirmed (its paragraph agrees with a template)."""
     spark = docs.sparkSession
-    model = model or train([t for t in counter_examples(docs, text_col) if not set(tokens(t)) >= {"license"}])
+    model = model or train([t for t in counter_examples(docs, text_col) if "license" not in tokens(t) and not resembles(t)])
     cues = F.array(*[F.lit(w) for w in model["cues"]])
     lines = F.filter(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n"), lambda x: F.arrays_overlap(F.split(F.lower(x), "[^a-z0-9]+"), cues))
     rows = materialize(docs.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("rid"), lines.alias("hits")), "licence-lines")

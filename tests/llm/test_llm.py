@@ -264,6 +264,23 @@ def test_license_scan(spark, none):
     assert len(got) == len(rows) and licenses.scan(none, model=model).count() == 0
 
 
+@pytest.mark.parametrize("family, k", [("proprietary", 0), ("cc-by", 1), ("mit", 1), ("bsd", 0)])
+def test_common_notice_is_found(spark, family, k):
+    rng = np.random.default_rng(2)
+    vocab = [f"w{i}" for i in range(200)] + ["the", "this", "all", "is", "of", "to", "and", "in", "by", "under"] * 8
+    say = lambda: " ".join(rng.choice(vocab, 40))
+    notice = licenses.TEMPLATES[family][k]
+    rows = [(i, f"{say()}\n{notice}" if i % 3 == 0 else say()) for i in range(300)]
+    got = {r["doc_id"]: (r["licenses"], r["confirmed"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).withColumnRenamed("id", "doc_id").collect()}
+    assert got == {i: ([family], True) if i % 3 == 0 else ([], False) for i in range(300)}
+
+
+def test_resembles_a_template():
+    assert all(licenses.resembles(t) and licenses.resembles(f"some words before {t} and after") for ts in licenses.TEMPLATES.values() for t in ts)
+    assert licenses.resembles("Permission is hereby granted, free of charge, to any person obtaining a copy")
+    assert not any(licenses.resembles(t) for t in ("all people have rights", "", "the use of this software is by no means the rule in this work", "all of the tables were reserved " + "and more words " * 9 + "rights"))
+
+
 # Language model
 
 
