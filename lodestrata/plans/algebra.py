@@ -15,6 +15,9 @@ from ..functions import numeric
 from ..operators import aggregates
 
 
+LIMIT = 1000  # rows of an answer that reach the driver
+
+
 class PlanError(ValueError):
     """A specification that the algebra does not allow; its text is feedback for whoever wrote it."""
 
@@ -116,9 +119,23 @@ def compile_plan(df: DataFrame, steps: list[dict]) -> DataFrame:
     return df
 
 
-def run_plan(df: DataFrame, steps: list[dict], timeout: float = 60.0, limit: int = 1000) -> dict:
-    """{"rows", "columns", "status", "empty_filter"} or {"error"}. At most ``limit`` rows reach the driver.
+def bounded(df: DataFrame, limit: int = LIMIT) -> tuple[list[dict], int]:
+    """The first ``limit`` rows and the number of all rows, which are counted only where there are more."""
+    rows = [r.asDict(recursive=True) for r in df.limit(limit + 1).collect()]
+    return (rows, len(rows)) if len(rows) <= limit else (rows[:limit], df.count())
+
+
+def _filled(df: DataFrame) -> Column:
+    out = F.lit(False)
+    for c in df.columns:
+        out = out | F.col(f"`{c}`").isNotNull()
+    return out
+
+
+def run_plan(df: DataFrame, steps: list[dict], timeout: float = 60.0, limit: int = LIMIT) -> dict:
+    """{"rows", "n_rows", "truncated", "columns", "status", "empty_filter"} or {"error"}.
 
+    At most ``limit`` rows reach the driver; n_rows counts all, truncated tells whether rows were cut.
     empty_filter lists the filter steps that no row passed. A run over its time is cancelled by its tag.
     """
     spark = df.sparkSession
@@ -133,7 +150,9 @@ def run_plan(df: DataFrame, steps: list[dict], timeout: float = 60.0, limit: int
         timer = threading.Timer(timeout, lambda: spark.interruptTag(tag))
         timer.start()
         try:
-            rows = [r.asDict(recursive=True) for r in current.limit(limit).collect()]
+            rows, n_rows = bounded(current, limit)
+            # an empty answer is one without any value, also beyond the rows that came
+            blank = all(v is None for r in rows for v in r.values()) and (n_rows <= limit or current.where(_filled(current)).isEmpty())
             empty = [i for i, f in counts if f.isEmpty()]
         finally:
             timer.cancel()
@@ -142,8 +161,7 @@ def run_plan(df: DataFrame, steps: list[dict], timeout: float = 60.0, limit: int
         return {"error": str(e)}
     except Exception as e:  # reported to the caller, who may correct the plan
         return {"error": f"{type(e).__name__}: {str(e)[:400]}"}
-    blank = not rows or all(v is None for r in rows for v in r.values())
-    return {"rows": rows, "columns": current.columns, "empty_filter": empty, "status": "empty" if empty or blank else "ok"}
+    return {"rows": rows, "n_rows": n_rows, "truncated": n_rows > len(rows), "columns": current.columns, "empty_filter": empty, "status": "empty" if empty or blank else "ok"}
 
 
 def answer_loop(write_plan, df: DataFrame, question: str, attempts: int = 3, **options) -> dict:

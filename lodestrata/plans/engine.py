@@ -13,7 +13,7 @@ from ..sources.store import ChunkStore
 from . import algebra, routing, rules
 
 # Labels of a computed result, the first that applies.
-FAILED, EMPTY, UNVERIFIED, EXACT = "service_failure", "empty", "unverified", "exact"
+FAILED, EMPTY, UNVERIFIED, TRUNCATED, EXACT = "service_failure", "empty", "unverified", "truncated", "exact"
 
 
 class Engine:
@@ -64,7 +64,10 @@ class Engine:
         return search.rerank(pairs, self.score_pairs, final).select("qid", "rank", "chunk_id", "source", "page_info", "content", "score")
 
     def answer_table(self, question: str, dataset: str | None = None) -> dict:
-        """{"route", "dataset", "reason", "label", "rows"}: by the rules, else by a written plan."""
+        """{"route", "dataset", "reason", "label", "rows"}: by the rules, else by a written plan.
+
+        A computed answer has n_rows, too, the number of all its rows; where "rows" holds only the first of
+        them, truncated is true and the label is not exact."""
         name, reason = (dataset, "selected") if dataset else self.catalog.choose(question)
         q = self.spark.createDataFrame([(0, question)], "qid long, question string")
         route = routing.route(q, self.catalog.columns(), F.lit(dataset is not None)).first()
@@ -77,13 +80,14 @@ class Engine:
         if route["target"] in (routing.RULES, routing.META):
             result = rules.execute(question, table, roles)
             if result is not None:
-                rows = [r.asDict() for r in result.limit(1000).collect()]
-                return out | {"label": EXACT if rows else EMPTY, "rows": rows}
+                rows, n_rows = algebra.bounded(result)
+                cut = n_rows > len(rows)
+                return out | {"label": TRUNCATED if cut else EXACT if rows else EMPTY, "rows": rows, "n_rows": n_rows, "truncated": cut}
         if self.write_plan is None:
             return out | {"label": FAILED}
         ran = algebra.answer_loop(self.write_plan, table, question)
         if "error" in ran:
             return out | {"label": FAILED, "error": ran["error"]}
         objection = self.check(question, ran["rows"]) if self.check else None
-        label = EMPTY if ran["status"] == "empty" else UNVERIFIED if objection else EXACT
-        return out | {"label": label, "rows": ran["rows"], "objection": objection}
+        label = EMPTY if ran["status"] == "empty" else UNVERIFIED if objection else TRUNCATED if ran["truncated"] else EXACT
+        return out | {"label": label, "rows": ran["rows"], "n_rows": ran["n_rows"], "truncated": ran["truncated"], "objection": objection}

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import aggregates
 from . import signals
 from .routing import plain
@@ -98,11 +99,12 @@ def _years(q: str, df: DataFrame, r: Roles) -> DataFrame | None:
 def _sector(q: str, df: DataFrame, r: Roles) -> DataFrame | None:
     if not r.sector or not _start(q, "sektor", "alan", "kategori") or _start(q, *signals.SECTOR_COMPLEX) or re.search(r"(?<![a-z0-9])\d+\s*dk(?![a-z0-9])", q):
         return None
-    values = [x[0] for x in df.select(f"`{r.sector}`").where(F.col(f"`{r.sector}`").isNotNull()).distinct().limit(1000).collect()]
-    named = mentioned(q, values)
+    sector = F.col(f"`{r.sector}`")
+    values = df.select(sector).where(F.lit(q).contains(text.normalize(sector))).distinct().collect()  # parts of the question
+    named = mentioned(q, [x[0] for x in values])
     if len(named) != 1:
         return None
-    return _scalar(df, "filtered_count_sector", n=F.count_if(F.col(f"`{r.sector}`") == named[0]))
+    return _scalar(df, "filtered_count_sector", n=F.count_if(sector == named[0]))
 
 
 def _lists(q: str, df: DataFrame, r: Roles) -> DataFrame | None:

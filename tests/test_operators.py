@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import aggregates, chunking, evaluation, search
 from lodestrata.plans import algebra, routing, rules
+from lodestrata.plans.engine import Engine
 from lodestrata.sources import readers
+from lodestrata.sources.catalog import Catalog
 from lodestrata.sources.providers import hash_embedder, overlap_scorer
 from lodestrata.sources.store import ChunkStore
 from lodestrata.streaming.ingest import ingest_stream
@@ -132,6 +134,31 @@ def test_rules_without_match(people):
     assert rules.execute("hava nasıl", people) is None
 
 
+def test_sector_among_many(spark):
+    many = spark.range(1200).select(F.concat(F.lit("dal"), F.lpad("id", 4, "0")).alias("sector"))
+    df = many.unionByName(spark.createDataFrame([("Sağlık",), ("Beslenme ve Sağlıklı Yaşam",), ("Beslenme ve Sağlıklı Yaşam",), (None,)], "sector string")).repartition(4)
+    # each of the values is known, and the longer name displaces the one within it
+    assert rules.execute("Beslenme ve Sağlıklı Yaşam sektöründe kaç kişi var", df).first()["value"] == 2
+    for i in range(0, 1200, 97):
+        assert rules.execute(f"dal{i:04} sektöründe kaç kişi var", df).first()["value"] == 1
+
+
+def test_cut_answers_are_marked(spark, tmp_path):
+    df = spark.range(1500).select(F.concat(F.lit("t"), "id").alias("profileType"), F.when(F.col("id") >= 1400, 1).alias("late"))
+    group = [{"step": "group", "keys": ["profileType"], "aggs": {"n": ["count", "profileType"]}}]
+    out = algebra.run_plan(df, group)
+    assert (len(out["rows"]), out["n_rows"], out["truncated"]) == (1000, 1500, True)
+    out = algebra.run_plan(df, group, limit=1500)
+    assert (len(out["rows"]), out["n_rows"], out["truncated"]) == (1500, 1500, False)
+    # values beyond the rows that come are values, too
+    assert algebra.run_plan(df.coalesce(1), [{"step": "select", "columns": ["late"]}])["status"] == "ok"
+    for table, label, n in ((df, "truncated", 1500), (df.where("late = 1"), "exact", 100)):
+        got = Engine(spark, None, None, Catalog(spark, {"t.json": table})).answer_table("profil tipi dağılımı çıkarılabilir mi")
+        assert (got["label"], got["n_rows"], got["truncated"]) == (label, n, n > 1000)
+    got = Engine(spark, None, None, Catalog(spark, {"t.json": df}), write_plan=lambda q, e: group).answer_table("t.json hesapla")
+    assert (got["label"], len(got["rows"]), got["n_rows"]) == ("truncated", 1000, 1500)
+
+
 def test_stored_statistics(people):
     roles = rules.Roles(statistics={"profileCount": 728, "sectorDistribution": {"A": 3, "B": 5}})
     assert rules.execute("sektor dagilimi 5 profil", people, roles).first()["name"] == "B"
