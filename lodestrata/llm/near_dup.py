@@ -1,7 +1,8 @@
 """Near-duplicates: MinHash bands, sequential Bayesian pruning (BayesLSH), exact verification.
 
 1. One pass over the texts: distinct five-word shingles, a 128-bit digest of the set, 126 min-hashes.
-   Documents with equal sets form a class; all further work is on classes.
+   Documents with equal sets form a class; all further work is on classes. A class is named by its
+   smallest id, or by a number above all ids where another class has that name.
 2. Classes that share one of 21 bands (six values each) are candidates. A bucket compares its members
    with one of them only, so a bucket of any size makes one pair a member; which one it is follows one
    of five random orders, by band, so that a large group meets several.
@@ -45,6 +46,7 @@ _rng = np.random.default_rng(5)
 _A = _rng.integers(0, 1 << 63, N_HASH, dtype=np.uint64) * U64(2) + U64(1)
 _B = _rng.integers(0, 1 << 63, N_HASH, dtype=np.uint64)
 SIGN_SCHEMA = "id long, n int, k1 long, k2 long, sig binary"
+SET_SCHEMA = "id long, k1 long, k2 long, set binary"
 
 
 def shingle_set(h: np.ndarray) -> np.ndarray:
@@ -74,32 +76,44 @@ def _signatures(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, as two numbers; 0 for empty sets."""
+    n = np.array([len(s) for s in sets], np.int64)
+    has = np.flatnonzero(n)
+    k1, k2 = np.zeros(len(n), U64), np.zeros(len(n), U64)
+    if len(has):
+        flat = np.concatenate([sets[i] for i in has])
+        starts = np.cumsum(n[has]) - n[has]
+        with np.errstate(over="ignore"):
+            k1[has] = np.add.reduceat(mix(flat), starts)
+            k2[has] = np.add.reduceat(mix(flat ^ U64(0xA5A5A5A5A5A5A5A5)), starts)
+    return k1.view(np.int64), k2.view(np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h, first = hash_words(batch.column(1), True)
         sets = [shingle_set(h[a:b]) for a, b in zip(first[:-1], first[1:])]
         n = np.array([len(s) for s in sets], np.int64)
         has = np.flatnonzero(n)
-        k1, k2 = np.zeros(len(n), U64), np.zeros(len(n), U64)
+        k1, k2 = _digests(sets)
         sigs: list[bytes | None] = [None] * len(n)
         if len(has):
             flat = np.concatenate([sets[i] for i in has])
             starts = np.cumsum(n[has]) - n[has]
-            with np.errstate(over="ignore"):
-                k1[has] = np.add.reduceat(mix(flat), starts)
-                k2[has] = np.add.reduceat(mix(flat ^ U64(0xA5A5A5A5A5A5A5A5)), starts)
             for i, row in zip(has, _signatures(flat, starts)):
                 sigs[i] = row.tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n.astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(sigs, pa.binary())], ["id", "n", "k1", "k2", "sig"]
+            [batch.column(0), pa.array(n.astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(sigs, pa.binary())], ["id", "n", "k1", "k2", "sig"]
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h, first = hash_words(batch.column(1), True)
-        sets = [shingle_set(h[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
+        sets = [shingle_set(h[a:b]) for a, b in zip(first[:-1], first[1:])]
+        k1, k2 = _digests(sets)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1), pa.array(k2), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "k1", "k2", "set"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -277,6 +291,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"connected components: the edges still change after {rounds} rounds")
     return table.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
@@ -285,6 +301,22 @@ def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
 
 
+def _number(classes: DataFrame) -> DataFrame:
+    """(k1, k2, node): numbers above all ids for classes whose smallest id is that of another class, too."""
+    first = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2")).alias("f")).where("c > 1")
+    other = classes.select("rep", "k1", "k2").join(first, "rep").where(F.struct("k1", "k2") != F.col("f"))
+    other = materialize(other.select("k1", "k2", F.monotonically_increasing_id().alias("m")), "names")
+    at, sizes = classes.agg(F.max("top")).first()[0] + 1, other.groupBy(F.shiftright("m", 33).alias("p")).count().collect()
+    start = []
+    for p, c in sizes:
+        start.append((p, at - (p << 33)))
+        at += c
+    if at > 1 << 63:
+        raise ValueError("ids leave no numbers above them for documents that share an id")
+    numbers = classes.sparkSession.createDataFrame(start, "p long, start long")
+    return other.join(F.broadcast(numbers), F.shiftright("m", 33) == F.col("p")).select("k1", "k2", (F.col("m") + F.col("start")).alias("node"))
+
+
 def near_groups(docs: DataFrame, threshold: int = 80, miss: float = 1e-5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (id, n_shingles, component). threshold: least similarity, in percent."""
     spark = docs.sparkSession
@@ -292,9 +324,18 @@ def near_groups(docs: DataFrame, threshold: int = 80, miss: float = 1e-5, id_col
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t"))
     signed = materialize(rows.mapInArrow(_sign, SIGN_SCHEMA), "signed")
+    valid = signed.where("n > 0 and id is not null")
     classes = materialize(
-        signed.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes"
+        valid.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("id").alias("top"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("node", F.col("rep")), "classes"
     )
+    # ids with several texts unite their classes
+    several = valid.groupBy("id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("k1", "k2") for f in (F.min, F.max)]).where("min_k1 <> max_k1 or min_k2 <> max_k2")
+    several = materialize(several.select("id"), "several")
+    shared, united = not several.isEmpty(), None
+    if shared:
+        classes = materialize(classes.join(_number(classes).withColumnRenamed("node", "other"), ["k1", "k2"], "left").withColumn("node", F.coalesce("other", "node")).drop("other"), "classes")
+        owned = materialize(_with_ids(valid.select("id", "k1", "k2"), several, "left_semi").distinct().join(classes.select("k1", "k2", "node"), ["k1", "k2"]).select("id", "node"), "owned")
+        united = owned.join(owned.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b")).where("a <> b")
     sigs = classes.select("node", "n", "sig")
     bands = classes.select("node", "n", "sig").mapInArrow(_bands, "bh long, node long, n int, turn long")
     buckets = bands.groupBy("bh").agg(F.min(F.struct("turn", "node", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -307,12 +348,17 @@ def near_groups(docs: DataFrame, threshold: int = 80, miss: float = 1e-5, id_col
     pairs = materialize(star.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_prune(limits), "a long, b long").distinct(), "pairs")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        ids = materialize(nodes.select(F.col("node").alias("id")).distinct(), "ids")
-        return materialize(_with_ids(rows, ids, "left_semi").mapInArrow(_sets, "node long, set binary"), "sets")
+        found = nodes.select("node").distinct()
+        if not shared:
+            ids = materialize(found.withColumnRenamed("node", "id"), "ids")
+            return materialize(_with_ids(rows, ids, "left_semi").mapInArrow(_sets, SET_SCHEMA).select(F.col("id").alias("node"), "set"), "sets")
+        named = materialize(found.join(classes.select("node", F.col("rep").alias("id"), "k1", "k2"), "node"), "ids")
+        sets = _with_ids(rows, named.select("id").distinct(), "left_semi").mapInArrow(_sets, SET_SCHEMA)
+        return materialize(sets.join(named, ["id", "k1", "k2"]).select("node", "set").dropDuplicates(["node"]), "sets")
 
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
     links = materialize(verified(pairs, sets_of(ends), threshold), "links")
-    comps = materialize(connected_components(links), "components")
+    comps = materialize(connected_components(links.unionByName(united) if shared else links), "components")
 
     known = member.join(comps, "node", "left").select("bh", "node", "n", "pivot", F.coalesce("comp", "node").alias("comp"))
     mixed = known.groupBy("bh").agg(
@@ -335,7 +381,7 @@ def near_groups(docs: DataFrame, threshold: int = 80, miss: float = 1e-5, id_col
         if not extra.isEmpty():
             comps = materialize(connected_components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(extra)), "components")
     by_class = classes.join(comps, "node", "left").select("k1", "k2", F.coalesce("comp", "node").alias("component"))
-    linked = signed.where("n > 0 and id is not null").select("id", "n", "k1", "k2").join(by_class, ["k1", "k2"]).select("id", F.col("n").cast("long").alias("n_shingles"), "component")
+    linked = valid.select("id", "n", "k1", "k2").join(by_class, ["k1", "k2"]).select("id", F.col("n").cast("long").alias("n_shingles"), "component")
     alone = signed.where("n = 0 or id is null").select("id", F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("component"))
     return linked.unionByName(alone)
 

@@ -452,6 +452,34 @@ def test_near_groups_at_the_threshold(spark):
     assert got == brute_components(rows, 85)
 
 
+def test_near_groups_of_documents_with_several_texts(spark):
+    """Ids with two texts, each with near copies; ids whose texts are the smallest, or not, of their classes."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(12):
+        one, two = ([f"{c}{g}.{i}" for i in range(120)] for c in "ab")
+        x = 10 * g + 5
+        rows += [(x, " ".join(one)), (x, " ".join(two)), (x, " ".join(two))]
+        for k, base in ((1, one), (2, two)):
+            w = list(base)
+            w[int(rng.integers(120))] = "changed"
+            rows.append((x + k, " ".join(w)))
+        if g % 3 == 0:
+            rows.append((x - 2, " ".join(one)))
+        if g % 3 == 1:
+            rows.append((x + 3, " ".join(two[:-1] + ["z"])))
+    got = near_dup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 85).collect()
+    want = brute_components(rows, 85)
+    assert len(got) == len(rows) and {(r["id"], r["component"]) for r in got} == set(want.items())
+
+
+def test_components_have_to_converge(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r["comp"] for r in near_dup.connected_components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError, match="still change"):
+        near_dup.connected_components(chain, rounds=2)
+
+
 def test_bayes_bounds():
     limits = near_dup.bounds(0.85, 1e-5)
     assert all(a[1] < b[1] for a, b in zip(limits, limits[1:]))
