@@ -234,21 +234,59 @@ def test_quality_counts(spark, docs, none):
     assert quality.quality_filter(docs).columns == docs.columns
 
 
-def test_quality_agrees_with_labels(spark):
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    got = quality.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), keep=["doc_id"]).select("__row.doc_id", "kept", "base_failed").join(labels, "doc_id").collect()
-    clean = [r["kept"] for r in got if r["quality"] == 1 and not r["base_failed"]]
-    junk = [r["kept"] for r in got if r["quality"] == 0]
-    assert sum(clean) / len(clean) > 0.98 and sum(junk) / len(junk) < 0.1
+def plain_em(documents, faults, rounds):
+    """The same model document by document, in matrices: free tables, the same start and prior."""
+    v = np.array(documents)
+    n, s = len(v), 0.002 * len(v)
+    first = np.array([[0.3, 0.7 if f == "noise" else 0.5, 0.7 if f == "repetition" else 0.5] for f in faults])
+    share, bad = np.full(3, 1 / 3), first
+    fires, passes = (v == -1).astype(float), (v == 1).astype(float)
+    for _ in range(rounds):
+        p = share * np.exp(fires @ np.log(bad) + passes @ np.log(1 - bad))
+        p /= p.sum(1, keepdims=True)
+        share, bad = (p.sum(0) + s / 3) / (n + s), (fires.T @ p + s * first) / ((fires + passes).T @ p + s)
+    return share, bad, p
+
+
+def test_quality_verdict_is_the_posterior(spark):
+    """The labels, all-must-pass, and a plain EM over the documents' votes."""
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    votes = [v.alias(n) for n, (v, _) in quality.rules().items()]
+    got = quality.judge(docs, keep=["doc_id"]).select(F.col("__row.doc_id").alias("i"), "kept", "base_failed", "p_good", F.array(*votes).alias("v")).collect()
+    clean = [r["kept"] for r in got if labels.get(r["i"]) == 1 and not r["base_failed"]]
+    junk = [r["kept"] for r in got if labels.get(r["i"]) == 0]
+    assert sum(clean) / len(clean) > 0.99 and sum(junk) / len(junk) < 0.03
+    open_ones = [r for r in got if not r["base_failed"]]
+    fails = [r for r in open_ones if -1 in r["v"]]
+    assert all(r["kept"] for r in open_ones if -1 not in r["v"])
+    assert 0.1 < sum(r["kept"] for r in fails) / len(fails) < 0.5  # a lone vote of a weak rule does not reject
+    _, _, p = plain_em([r["v"] for r in got], [f for _, f in quality.rules().values()], 300)
+    assert np.allclose([r["p_good"] for r in got], p[:, 0], atol=1e-3)
 
 
 def test_em_recovers_rule_errors():
     rng = np.random.default_rng(0)
-    good = rng.random(20000) < 0.8
-    votes = np.where(rng.random((20000, 3)) < 0.2, 0, np.where(good[:, None], 1, np.where(rng.random((20000, 3)) < 0.7, -1, 1)))
-    prior, tables = quality.fit(sorted(Counter(map(tuple, votes.tolist())).items()), [1e-3] * 3)
-    assert abs(prior - 0.8) < 0.05 and all(abs(t[-1][1] - 0.7) < 0.1 and t[-1][0] <= 1e-3 for t in tables)
-    assert quality.fit([], [1e-3])[0] == 0.5
+    faults = ["noise", "noise", "repetition", "repetition", None, None]
+    kind = rng.choice(3, 20000, p=[0.8, 0.12, 0.08])
+    true = np.array([[0.02, 0.9, 0.05], [0.1, 0.7, 0.1], [0.01, 0.05, 0.8], [0.05, 0.1, 0.9], [0.3, 0.3, 0.3], [0.05, 0.6, 0.5]])
+    votes = np.where(rng.random((20000, 6)) < 0.2, 0, np.where(rng.random((20000, 6)) < true[:, kind].T, -1, 1))
+    shares, bad = quality.fit(sorted(Counter(map(tuple, votes.tolist())).items()), faults)
+    assert np.allclose(shares, [0.8, 0.12, 0.08], atol=0.02) and np.allclose(bad, true, atol=0.05)
+    plain = plain_em(votes, faults, 500)
+    assert np.allclose(shares, plain[0], atol=1e-4) and np.allclose(bad, plain[1], atol=1e-3)
+    assert quality.fit([], [None, "noise"]) == ([1 / 3] * 3, [[pytest.approx(0.3), 0.5, 0.5], [pytest.approx(0.3), 0.7, 0.5]])
+
+
+def test_quality_of_odd_rows(spark):
+    """Repeated rows, a very long text, columns named as the operator's own, a null in each column."""
+    long = " ".join(f"word{i} and" for i in range(30_000)) + "."
+    rows = [(1, "some words of a text. " * 2, 7, "x"), (1, "some words of a text. " * 2, 7, "x"), (2, long, None, None), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words long, __row string")
+    got = sorted(((r["__row"]["doc_id"] or 0, r["n_words"], r["base_failed"]) for r in quality.judge(docs).collect()))
+    assert got == [(0, 0, True), (1, 10, True), (1, 10, True), (2, 60_000, False)]
+    assert quality.quality_filter(docs).columns == docs.columns
+    assert set(quality.op5_quality(spark, DIR).columns) == {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"}
 
 
 # Licences
