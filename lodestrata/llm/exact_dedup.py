@@ -3,28 +3,34 @@
 Every row gets the SHA-256 of its normalised text. A Misra-Gries frequent-items sketch (Spark's
 approx_top_k) names digests that may be frequent; one aggregation over those verifies their counts
 and finds the row that stays. The verified winners, at most ``max_heavy`` rows, are broadcast, so the
-copies of frequent texts are settled where they are read. Only the other digests are shuffled, and a
-group among them holds at most about 1/``max_heavy`` of the rows.
+copies of frequent texts are settled where they are read. Only the other digests are shuffled, as partial
+minima and counts.
 
 Edge cases: a null text counts as empty; all empty texts are one group. A null id sorts after any
-other. Rows equal in id and text are copies of each other, and one of them stays. An empty table
-gives an empty result. Extra columns are carried, whatever their names.
+other. Rows equal in length and id are copies of each other; the first in row order stays. Texts of any
+length are hashed whole. An empty table gives an empty result. Extra columns are carried, whatever their
+names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WS_CLASS, documents, materialize, packed
 
 
-def _digest(text):
+#: Most row numbers to broadcast (8 MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def _digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), WS_CLASS + "+", ""), 256))
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, digest, rid): code points of the text, digest of its normalised form, a row number."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
+    """(id, n, digest, rid[, __row]): code points of the text, digest of its normalised form, a row number,
+    and all columns where asked. It is written, so the number stays with its row."""
     text = F.col(f"`{text_col}`")
     return materialize(
         docs.select(
@@ -32,13 +38,14 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             F.length(F.coalesce(text, F.lit(""))).alias("n"),
             _digest(text).alias("digest"),
             F.monotonically_increasing_id().alias("rid"),
+            *[packed(docs)] * row,
         ),
         "digests",
     )
 
 
 def heavy_winners(table: DataFrame, max_heavy: int = 2048, tracked: int = 8192, least: int = 64) -> DataFrame:
-    """Verified frequent digests: (digest, group_size, keep_id, keep_n, keep_rid), at most max_heavy rows.
+    """Verified frequent digests: (digest, group_size, keep_id, keep_rid), at most max_heavy rows.
 
     The sketch keeps ``tracked`` counters, so no digest with over 1/(0.75 * tracked) of the rows is missed.
     """
@@ -46,59 +53,58 @@ def heavy_winners(table: DataFrame, max_heavy: int = 2048, tracked: int = 8192,
     floor = max(least, total // (2 * max_heavy))
     top = table.select(F.xxhash64("digest").alias("k")).agg(F.expr(f"approx_top_k(k, {max_heavy}, {tracked})").alias("top"))
     candidates = top.select(F.explode("top").alias("t")).where(F.col("t.count") >= floor).select(F.col("t.item").alias("k"))
-    first = F.min(F.struct((-F.col("n")).alias("neg"), F.col("id").isNull().alias("no_id"), F.col("id"), F.col("rid")))
     winners = (
         table.withColumn("k", F.xxhash64("digest"))
         .join(F.broadcast(candidates), "k")
         .groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("group_size"), first.alias("w"))
+        .agg(F.count(F.lit(1)).alias("group_size"), _best().alias("w"))
         .where(F.col("group_size") >= floor)
     )
     return materialize(
-        winners.select("digest", "group_size", F.col("w.id").alias("keep_id"), (-F.col("w.neg")).alias("keep_n"), F.col("w.rid").alias("keep_rid")),
+        winners.select("digest", "group_size", F.col("w.id").alias("keep_id"), F.col("w.rid").alias("keep_rid")),
         "heavy",
     )
 
 
+def _best() -> Column:
+    """The row that stays: most code points, then smallest id (null last), then smallest row number."""
+    return F.min(F.struct((-F.col("n")).alias("neg"), F.col("id").isNull().alias("no_id"), F.col("id"), F.col("rid")))
+
+
+def light_winners(table: DataFrame, winners: DataFrame) -> DataFrame:
+    """(digest, group_size, keep_id, keep_rid) of the digests that are not heavy, summed before they are dealt."""
+    rest = table.select("id", "n", "digest", "rid").join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    best = rest.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), _best().alias("w"))
+    return best.select("digest", "group_size", F.col("w.id").alias("keep_id"), F.col("w.rid").alias("keep_rid"))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (id, keep_id, group_size, kept, digest)."""
     table = digests(docs, id_col, text_col)
     winners = heavy_winners(table)
-    heavy = table.join(F.broadcast(winners), "digest").select(
-        "id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "digest"
-    )
-    order = Window.partitionBy("digest").orderBy(F.col("n").desc(), F.col("id").asc_nulls_last(), "rid")
-    light = table.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select(
-        "id",
-        F.first("id").over(order).alias("keep_id"),
-        F.count(F.lit(1)).over(Window.partitionBy("digest")).alias("group_size"),
-        (F.row_number().over(order) == 1).alias("kept"),
-        "digest",
-    )
+    kept = (F.col("rid") == F.col("keep_rid")).alias("kept")
+    heavy = table.join(F.broadcast(winners), "digest").select("id", "keep_id", "group_size", kept, "digest")
+    rest = table.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    light = rest.join(light_winners(table, winners), "digest").select("id", "keep_id", "group_size", kept, "digest")
     return light.unionByName(heavy)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one row of each group of equal texts, all columns unchanged.
 
-    Losers of frequent groups are removed map-side; the rest is dealt by digest.
+    Rows are written with their digests; losers of frequent groups are removed where they are read, and for
+    the others only digests and row numbers are dealt. The list of their losers is broadcast up to
+    ``BROADCAST_ROWS`` numbers; beyond that the rows are dealt once, by number.
     """
-    winners = heavy_winners(digests(docs, id_col, text_col))
-    text = F.col(f"`{text_col}`")
-    rows = docs.select(
-        packed(docs), F.col(f"`{id_col}`").alias("__id"), F.length(F.coalesce(text, F.lit(""))).alias("__n"), _digest(text).alias("digest")
-    )
-    told = rows.join(F.broadcast(winners.select("digest", "keep_id", "keep_n")), "digest", "left")
-    light = told.where(F.col("keep_n").isNull())
-    order = Window.partitionBy("digest").orderBy(F.col("__n").desc(), F.col("__id").asc_nulls_last())
-    kept = light.select("__row", F.row_number().over(order).alias("__rn")).where("__rn = 1").select("__row")
-    heavy = (
-        told.where((F.col("keep_n") == F.col("__n")) & F.col("keep_id").eqNullSafe(F.col("__id")))
-        .groupBy("digest")
-        .agg(F.first("__row").alias("__row"))
-        .select("__row")
-    )
-    return kept.unionByName(heavy).select("__row.*")
+    table = digests(docs, id_col, text_col, row=True)
+    winners = heavy_winners(table.select("id", "n", "digest", "rid"))
+    told = table.select("digest", "rid", "__row").join(F.broadcast(winners.select("digest", "keep_rid")), "digest", "left")
+    rest = told.where("keep_rid is null or keep_rid = rid")
+    narrow = table.select("digest", "rid")
+    several = light_winners(table, winners).where("group_size > 1").select("digest", "keep_rid")
+    losers = materialize(narrow.join(several, "digest").where("rid <> keep_rid").select("rid"), "losers")
+    side = F.broadcast(losers) if losers.count() <= BROADCAST_ROWS else losers
+    return rest.join(side, "rid", "left_anti").select("__row.*")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
