@@ -1,18 +1,23 @@
 """WARC: resolution of not-modified revisit records.
 
-A revisit (a 304 answer) is joined, as of its date, to the latest earlier full response for the same
-canonical URL. Its validators must agree with that response: the entity tag if it has one (weak
-comparison), else the modification date. The resolved record takes the response's status, payload and
-headers, updated by those headers that a 304 may change.
-
-The as-of join has no window over a whole URL: records fall into blocks of time, the last response of
-each (URL, block) is carried over the at most ``BLOCKS`` blocks of its URL, and only a block's own
-records are ordered. So one URL with a third of all records is many tasks.
-
-Edge cases: a revisit without an earlier response is ``unmatched``; with other validators ``mismatch``;
-without validators ``unvalidated`` (and resolved). Records with equal dates are ordered by record id. A
-null URL matches nothing. A null date sorts before all others. Null headers count as none. An empty
-table gives an empty result. Rows that repeat are each resolved.
+A revisit (a revisit record, or a 304 answer stored as a response) is joined, as of its date, to the latest
+earlier full response for the same canonical URL. Only a 200 is a full response: errors, redirects, parts
+and 304 answers hold nothing that a later 304 could speak of, so they are passed over. The revisit's
+validators must agree with that response: the entity tag if it has one (weak comparison), else the
+modification date. The resolved record takes the response's status, payload and headers, updated by those
+headers that a 304 may change.
+
+The as-of join has no window over a whole URL: records fall into blocks of time, the last full response of
+each (URL, block) is carried over the blocks of its URL, and only a block's own records are ordered. There
+are so many blocks that the most frequent URL has about ``PER_BLOCK`` records in each (at most
+``MOST_BLOCKS``). So one URL with a third of all records is many tasks.
+
+Edge cases: a revisit without an earlier full response is ``unmatched``; with other validators
+``mismatch``; without validators ``unvalidated`` (and resolved). Records with equal dates are ordered by
+record id. A null URL matches nothing. A null date sorts before all others; a null kind counts as a
+response, a null status as none. Null headers count as none. Payloads stay where they are, only their
+digests travel, so their length does not matter. An empty table gives an empty result. Rows that repeat
+are each resolved; of equal ids and dates any may be the base, as they are equal. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-BLOCKS = 256
+PER_BLOCK, MOST_BLOCKS = 50_000, 4096
 #: Header fields that a 304 answer may carry for the stored response (fixed values, RFC 9110 section 15.4.5).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 #: Query parameters that do not select content (fixed values).
@@ -48,26 +53,38 @@ def _tag(c: Column) -> Column:
     return F.regexp_replace(c, "^W/", "")
 
 
+def _block(rows: DataFrame) -> Column:
+    """The number of a record's block of time: blocks hold equally many records."""
+    hottest = rows.groupBy("canonical_url").count().agg(F.max("count")).first()[0] or 0
+    n = min(MOST_BLOCKS, hottest // PER_BLOCK)
+    cuts = (rows.agg(F.percentile_approx("date", [i / n for i in range(1, n)], 100 * n)).first()[0] or []) if n > 1 else []
+    cuts = sorted(set(cuts))
+    if not cuts:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    table = F.array(*[F.lit(c) for c in cuts])
+    # binary search; beyond the end get() is null and the step is not taken
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, x: F.when(F.get(table, at + x - 1) <= F.col("date"), at + x).otherwise(at))
+
+
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """records: record_id long, url string, date long, kind string (response or revisit), status int,
     headers map<string, string> with lower-case names, payload_digest string. Other columns are ignored.
 
     One row per record: record_id, canonical_url, base_id, resolution, status, headers, payload_digest.
-    A response is its own base with resolution ``full``.
+    A response is its own base, with resolution ``full`` for a 200 and ``other`` for any other status.
     """
     rows = materialize(
         records.select(
-            "record_id", canonical_url(F.col("url")).alias("canonical_url"), F.coalesce("date", F.lit(-(1 << 62))).alias("date"), "kind", "status",
+            "record_id", canonical_url(F.col("url")).alias("canonical_url"), F.coalesce("date", F.lit(-(1 << 62))).alias("date"), "status",
+            (F.coalesce(F.col("kind") == "revisit", F.lit(False)) | F.coalesce(F.col("status") == 304, F.lit(False))).alias("again"),
             F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "payload_digest",
         ),
         "warc",
     )
-    cuts = rows.agg(F.percentile_approx("date", [i / BLOCKS for i in range(1, BLOCKS)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    block = F.lit(0) if not cuts else F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("date")))
-    full = (F.col("kind") == "response") & F.col("canonical_url").isNotNull()
+    full = ~F.col("again") & (F.col("status") == 200) & F.col("canonical_url").isNotNull()
     base = F.when(full, F.struct("date", "record_id", "status", "headers", "payload_digest"))
-    rows = rows.select("*", block.alias("block"), base.alias("base"))
+    rows = rows.select("*", _block(rows).alias("block"), base.alias("base"))
     # the last response of each block, carried to the later blocks of its URL
     lasts = rows.where(full).groupBy("canonical_url", "block").agg(F.max(F.struct(F.col("date"), F.col("record_id"))).alias("k"), F.max_by("base", F.struct(F.col("date"), F.col("record_id"))).alias("base"))
     carried = rows.select("canonical_url", "block").distinct().join(lasts.select("canonical_url", "block", "base"), ["canonical_url", "block"], "left")
@@ -75,19 +92,19 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     carried = carried.select("canonical_url", "block", F.last("base", True).over(before).alias("carried"))
     inside = Window.partitionBy("canonical_url", "block").orderBy("date", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     with_base = rows.withColumn("near", F.last("base", True).over(inside)).join(carried, ["canonical_url", "block"], "left")
-    asof = with_base.select("record_id", "canonical_url", "kind", "status", "headers", "payload_digest", F.coalesce("near", "carried").alias("b"))
+    asof = with_base.select("record_id", "canonical_url", "again", "status", "headers", "payload_digest", F.coalesce("near", "carried").alias("b"))
 
     tag, stored_tag = _tag(_header("etag")), _tag(F.element_at("b.headers", "etag"))
     date, stored_date = _header("last-modified"), F.element_at("b.headers", "last-modified")
     agrees = F.when(tag.isNotNull(), tag.eqNullSafe(stored_tag)).when(date.isNotNull(), date.eqNullSafe(stored_date))
     resolution = (
-        F.when(F.col("kind") != "revisit", "full").when(F.col("b").isNull(), "unmatched").when(agrees.isNull(), "unvalidated").when(agrees, "resolved").otherwise("mismatch")
+        F.when(~F.col("again"), F.when(F.col("status") == 200, "full").otherwise("other")).when(F.col("b").isNull(), "unmatched").when(agrees.isNull(), "unvalidated").when(agrees, "resolved").otherwise("mismatch")
     )
     told = asof.select("*", resolution.alias("resolution")).select("*", F.col("resolution").isin("resolved", "unvalidated").alias("ok"))
     changed = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED))
     kept = F.map_filter("b.headers", lambda k, v: ~F.map_contains_key(changed, k))
     return told.select(
-        "record_id", "canonical_url", F.when(F.col("kind") != "revisit", F.col("record_id")).when(F.col("ok"), F.col("b.record_id")).alias("base_id"), "resolution",
+        "record_id", "canonical_url", F.when(~F.col("again"), F.col("record_id")).when(F.col("ok"), F.col("b.record_id")).alias("base_id"), "resolution",
         F.when(F.col("ok"), F.col("b.status")).otherwise(F.col("status")).alias("status"),
         F.when(F.col("ok"), F.map_concat(kept, changed)).otherwise(F.col("headers")).alias("headers"),
         F.when(F.col("ok"), F.col("b.payload_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
@@ -96,21 +113,25 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 def crawl_log(pages: DataFrame) -> DataFrame:
     """Records of a crawl that fetched every page once and asked for it again later: the answer to the
-    second request is a 304 with the page's validators. Pages whose canonical URLs agree share a history."""
-    url, digest = F.col("url"), F.md5(F.coalesce("html", F.lit("")))
-    full = pages.select(
-        (F.col("page_id") * 2).alias("record_id"), url, (F.col("page_id") * 3600).alias("date"), F.lit("response").alias("kind"), F.lit(200).alias("status"),
-        F.create_map(
-            F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.length(F.coalesce("html", F.lit(""))).cast("string"), F.lit("etag"), F.concat(F.lit('"'), digest, F.lit('"')), F.lit("cache-control"), F.lit("max-age=60")
-        ).alias("headers"),
-        digest.alias("payload_digest"),
-    )
-    again = pages.select(
-        (F.col("page_id") * 2 + 1).alias("record_id"), url, (F.col("page_id") * 3600 + 1800 + (F.col("page_id") % 11) * 36_000_000).alias("date"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"),
-        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("etag"), F.concat(F.lit('W/"'), digest, F.lit('"')), F.lit("cache-control"), F.lit("max-age=600")).alias("headers"),
-        F.lit(None).cast("string").alias("payload_digest"),
-    )
-    return full.unionByName(again)
+    second request is a 304 with the page's validators, stored as a revisit or (every ninth) as a response.
+    In between, every third page once gave an error and every fifth a redirect. Pages whose canonical URLs
+    agree share a history."""
+    url, digest, page = F.col("url"), F.md5(F.coalesce("html", F.lit(""))), F.col("page_id")
+    size = F.length(F.coalesce("html", F.lit(""))).cast("string")
+    tag, nothing = F.concat(F.lit('"'), digest, F.lit('"')), F.lit(None).cast("string")
+
+    def record(number: int, date: Column, kind: Column, status: int, payload: Column, *headers: Column) -> Column:
+        return F.struct((page * 4 + number).alias("record_id"), url.alias("url"), date.alias("date"), kind.alias("kind"), F.lit(status).alias("status"), F.create_map(*headers).alias("headers"), payload.alias("payload_digest"))
+
+    name, response = F.lit, F.lit("response")
+    full = record(0, page * 3600, response, 200, digest, name("content-type"), name("text/html"), name("content-length"), size, name("etag"), tag, name("cache-control"), name("max-age=60"))
+    again = record(
+        1, page * 3600 + 1800 + (page % 11) * 36_000_000, F.when(page % 9 == 0, response).otherwise("revisit"), 304, nothing, name("content-length"), name("0"), name("etag"), F.concat(name("W/"), tag), name("cache-control"), name("max-age=600")
+    )
+    error = record(2, page * 3600 + 900, response, 404, nothing, name("content-length"), name("0"))
+    moved = record(3, page * 3600 + 1200, response, 301, nothing, name("location"), url)
+    records = F.array(full, again, F.when(page % 3 == 0, error), F.when(page % 5 == 0, moved))
+    return pages.select(F.explode(F.array_compact(records)).alias("r")).select("r.*")
 
 
 def op2_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,21 +156,25 @@ c AS (
   FROM p),
 u AS (SELECT page_id, dg, n, head || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical_url FROM c),
 r AS (
-  SELECT page_id * 2 AS record_id, canonical_url, page_id * 3600 AS date, 'response' AS kind, dg, n FROM u
+  SELECT page_id * 4 AS record_id, canonical_url, page_id * 3600 AS date, 200 AS status, dg, n FROM u
+  UNION ALL
+  SELECT page_id * 4 + 1, canonical_url, page_id * 3600 + 1800 + (page_id % 11) * 36000000, 304, dg, n FROM u
+  UNION ALL
+  SELECT page_id * 4 + 2, canonical_url, page_id * 3600 + 900, 404, NULL, 0 FROM u WHERE page_id % 3 = 0
   UNION ALL
-  SELECT page_id * 2 + 1, canonical_url, page_id * 3600 + 1800 + (page_id % 11) * 36000000, 'revisit', dg, n FROM u),
+  SELECT page_id * 4 + 3, canonical_url, page_id * 3600 + 1200, 301, NULL, NULL FROM u WHERE page_id % 5 = 0),
 a AS (
-  SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': record_id, 'dg': dg, 'n': n} END IGNORE NULLS) OVER (PARTITION BY canonical_url ORDER BY date, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
+  SELECT *, last_value(CASE WHEN status = 200 THEN {'id': record_id, 'dg': dg, 'n': n} END IGNORE NULLS) OVER (PARTITION BY canonical_url ORDER BY date, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
   FROM r),
 s AS (
-  SELECT *, CASE WHEN kind = 'response' THEN 'full' WHEN b IS NULL THEN 'unmatched' WHEN b.dg = dg THEN 'resolved' ELSE 'mismatch' END AS resolution FROM a)
+  SELECT *, CASE WHEN status = 200 THEN 'full' WHEN status <> 304 THEN 'other' WHEN b IS NULL THEN 'unmatched' WHEN b.dg = dg THEN 'resolved' ELSE 'mismatch' END AS resolution FROM a)
 SELECT record_id, canonical_url,
-       CASE WHEN kind = 'response' THEN record_id WHEN resolution = 'resolved' THEN b.id END AS base_id, resolution,
-       (CASE WHEN kind = 'response' OR resolution = 'resolved' THEN 200 ELSE 304 END)::INTEGER AS status,
-       CASE WHEN kind = 'response' THEN '"' ELSE 'W/"' END || dg || '"' AS etag,
-       CASE WHEN kind = 'response' THEN 'max-age=60' ELSE 'max-age=600' END AS cache_control,
-       CASE WHEN kind = 'response' THEN n::VARCHAR WHEN resolution = 'resolved' THEN b.n::VARCHAR ELSE '0' END AS content_length,
-       CASE WHEN kind = 'response' OR resolution = 'resolved' THEN 'text/html' END AS content_type,
-       CASE WHEN kind = 'response' THEN dg WHEN resolution = 'resolved' THEN b.dg END AS payload_digest
+       CASE WHEN status <> 304 THEN record_id WHEN resolution = 'resolved' THEN b.id END AS base_id, resolution,
+       (CASE WHEN resolution = 'resolved' THEN 200 ELSE status END)::INTEGER AS status,
+       CASE WHEN status = 200 THEN '"' || dg || '"' WHEN status = 304 THEN 'W/"' || dg || '"' END AS etag,
+       CASE WHEN status = 200 THEN 'max-age=60' WHEN status = 304 THEN 'max-age=600' END AS cache_control,
+       CASE WHEN status = 304 AND resolution <> 'resolved' THEN '0' WHEN resolution = 'resolved' THEN b.n::VARCHAR ELSE n::VARCHAR END AS content_length,
+       CASE WHEN status = 200 OR resolution = 'resolved' THEN 'text/html' END AS content_type,
+       CASE WHEN status = 200 THEN dg WHEN resolution = 'resolved' THEN b.dg END AS payload_digest
 FROM s
 """

@@ -128,6 +128,21 @@ def test_revisits(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("per_block", [50_000, 3])
+def test_revisits_pass_over_other_answers(spark, monkeypatch, per_block):
+    """Errors, redirects and stored 304 answers are no base; repeated rows, extra columns, many blocks."""
+    monkeypatch.setattr(warc, "PER_BLOCK", per_block)
+    tag = {"etag": '"1"'}
+    rows = [(1, 10, "response", 200, tag), (2, 20, "response", 404, {}), (3, 21, "response", 301, {"location": "x"}), (4, 22, "response", 304, tag), (5, 30, "revisit", 304, tag), (5, 30, "revisit", 304, tag), (6, 31, "response", 206, tag), (7, 32, None, 200, {"etag": '"2"'}), (8, 33, "revisit", 304, {"etag": '"2"'}), (9, 34, "response", None, {}), (10, 35, "revisit", 304, {"etag": 'W/"2"'})]
+    rows += [(100 + i, 100 + i, "response" if i % 7 == 0 else "revisit", 200 if i % 7 == 0 else 304, {"etag": str(i // 7)}) for i in range(70)]
+    schema = "record_id long, date long, kind string, status int, headers map<string,string>, url string, payload_digest string, block string, base string, again string"
+    df = spark.createDataFrame([(*r, "http://a.b/c", f"p{r[0]}", "x", "y", "z") for r in rows], schema).repartition(3)
+    got = {(r["record_id"], r["resolution"], r["base_id"]) for r in warc.resolve_revisits(df).collect()}
+    want = {(1, "full", 1), (2, "other", 2), (3, "other", 3), (4, "resolved", 1), (5, "resolved", 1), (6, "other", 6), (7, "full", 7), (8, "resolved", 7), (9, "other", 9), (10, "resolved", 7)}
+    want |= {(100 + i, "full" if i % 7 == 0 else "resolved", 100 + i - i % 7) for i in range(70)}
+    assert got == want and warc.resolve_revisits(df).count() == len(rows)
+
+
 # Packing
 
 
