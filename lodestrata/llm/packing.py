@@ -3,9 +3,9 @@
 Pieces of at most ``capacity`` tokens are counted by length. On that histogram, which has at most
 ``capacity`` rows whatever the corpus size, the driver solves the packing: large lengths are dealt, in
 order, into groups of equal cardinality and rounded up to each group's largest; column generation
-finds the configurations of those few sizes that need the fewest sequences; the actual lengths take
-the places of the rounded ones; what is left over and all small lengths go, longest first, to the
-sequence with the least sufficient room. The result is a list of segments (length, ranks, first
+finds the configurations of those few sizes that need the fewest sequences; actual lengths take the places
+of the rounded ones, the last one in a sequence so that it uses up what the rounding left free; what is
+left over and all small lengths go, longest first, to the sequence with the least sufficient room. The result is a list of segments (length, ranks, first
 sequence, offset), and each piece finds its place by its length and its rank among equal lengths.
 
 Edge cases: a null or empty text is one piece of one token, the end id. Rows that repeat are packed as
@@ -16,8 +16,9 @@ gives an empty result. A null id is kept as null.
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -124,48 +125,70 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     return rows.mapInArrow(_tokenize(path, capacity, np.array([end_id], "<u4").tobytes(), with_ids), PIECE_SCHEMA + ", ids binary" * with_ids)
 
 
-def _price(value: np.ndarray, sizes: np.ndarray, capacity: int, most: int) -> tuple[float, np.ndarray]:
-    """The configuration of at most ``most`` items with the highest value: knapsack by number of items."""
-    best = np.zeros(capacity + 1)
-    choice = []
-    for _ in range(most):
-        new, pick = best.copy(), np.full(capacity + 1, -1)
-        for g in np.flatnonzero(value > 1e-12):
-            s = sizes[g]
-            cand = best[: capacity + 1 - s] + value[g]
-            better = cand > new[s:] + 1e-12
-            new[s:][better] = cand[better]
-            pick[s:][better] = g
-        choice.append(pick)
-        if (pick < 0).all():
+def _price(value: np.ndarray, sizes: np.ndarray, capacity: int, most: int):
+    """Knapsack of at most ``most`` items: the best value by room, and a function that gives the items."""
+    items = np.flatnonzero(value > 1e-12)
+    room = np.arange(capacity + 1) - sizes[items][:, None]
+    fits = room >= 0
+    room = np.where(fits, room, 0)
+    best, picks = np.zeros(capacity + 1), []
+    for _ in range(most if len(items) else 0):
+        cand = np.where(fits, best[room] + value[items][:, None], -1.0)
+        which = cand.argmax(0)
+        new = np.take_along_axis(cand, which[None], 0)[0]
+        better = new > best + 1e-12
+        if not better.any():
             break
-        best = new
-    out, c = np.zeros(len(sizes), np.int64), capacity
-    for pick in reversed(choice):
-        if pick[c] >= 0:
-            out[pick[c]] += 1
-            c -= sizes[pick[c]]
-    return float(value @ out), out
+        picks.append(np.where(better, items[which], -1))
+        best = np.where(better, new, best)
 
+    def configuration(c: int) -> np.ndarray:
+        out = np.zeros(len(sizes), np.int64)
+        for pick in reversed(picks):
+            if pick[c] >= 0:
+                out[pick[c]] += 1
+                c -= sizes[pick[c]]
+        return out
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 1500) -> list[tuple[np.ndarray, int]]:
-    """Configurations and how often to use each: the linear program by column generation, rounded down."""
+    return best, configuration
+
+
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 20_000) -> list[tuple[np.ndarray, int]]:
+    """Configurations and how often to use each: the linear program by column generation, rounded down.
+
+    A pricing knapsack puts the best configuration with each size into a pool, which is priced first. It
+    stops when no configuration is worth more than 1 + ``gap`` sequences (then the value is within that
+    share of the optimum); after ``rounds`` pivots it takes what it has.
+    """
     n = len(sizes)
     most = int(capacity // sizes.min())
-    basis = np.diag((capacity // sizes).astype(float))
-    cost = np.ones(n)
-    for _ in range(rounds):
-        inverse = np.linalg.inv(basis)
+    basis, cost = np.diag((capacity // sizes).astype(float)), np.ones(n)
+    inverse = np.linalg.inv(basis)
+    x = inverse @ demand
+    pool = np.zeros((0, n))
+    for turn in range(1, rounds + 1):
+        if turn % 200 == 0:  # against rounding errors
+            inverse = np.linalg.inv(basis)
+            x = inverse @ demand
         dual = cost @ inverse
+        worth = pool @ dual
         if dual.min() < -1e-9:  # covering a size more often than asked costs nothing
             column, price = np.zeros(n), 0.0
             column[int(dual.argmin())] = -1
+        elif len(worth) and worth.max() > 1 + 1e-6:
+            column, price = pool[int(worth.argmax())], 1.0
         else:
-            value, pattern = _price(dual, sizes, capacity, most)
-            if value <= 1 + 1e-7:
+            best, configuration = _price(dual, sizes, capacity, most)
+            if best[capacity] <= 1 + gap:
                 break
-            column, price = pattern.astype(float), 1.0
-        x, d = inverse @ demand, inverse @ column
+            found = {tuple(configuration(capacity))}
+            for g in np.flatnonzero(best[capacity - sizes] + dual > 1 + gap):
+                with_g = configuration(capacity - sizes[g])
+                with_g[g] += 1
+                found.add(tuple(with_g))
+            pool = np.vstack([pool[-4000:], np.array(sorted(found), float)])
+            column, price = pool[int((pool @ dual).argmax())], 1.0
+        d = inverse @ column
         ok = d > 1e-9
         if not ok.any():
             break
@@ -173,102 +196,138 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
         ratio[ok] = np.maximum(x[ok], 0) / d[ok]
         leave = int(ratio.argmin())
         basis[:, leave], cost[leave] = column, price
-    x = np.floor(np.linalg.inv(basis) @ demand + 1e-6).astype(np.int64)
+        row = inverse[leave] / d[leave]
+        inverse = inverse - np.outer(d, row)
+        inverse[leave] = row
+        x = x - ratio[leave] * d
+        x[leave] = ratio[leave]
+    x = np.floor(np.linalg.solve(basis, demand) + 1e-6).astype(np.int64)
     return [(basis[:, i].astype(np.int64), int(x[i])) for i in range(n) if x[i] > 0 and cost[i] > 0]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = 48, small: float = 1 / 8, slack: int = 4) -> tuple[list[tuple[int, int, int, int, int]], int]:
+class _Packing:
+    """Pieces counted by length, their segments, and the room that sequences have left."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.capacity, self.left = capacity, {k: n for k, n in counts.items() if n}
+        self.lengths = sorted(self.left)
+        self.segments: list[tuple[int, int, int, int, int]] = []
+        self.rank: dict[int, int] = defaultdict(int)
+        self.room: dict[int, list[tuple[int, int]]] = defaultdict(list)  # free tokens -> runs of sequences
+        self.n_seq = 0
+
+    def put(self, length: int, n: int, seq: int, offset: int) -> None:
+        self.segments.append((length, self.rank[length], n, seq, offset))
+        self.rank[length] += n
+        self.left[length] -= n
+        if not self.left[length]:
+            self.lengths.pop(bisect.bisect_left(self.lengths, length))
+
+    def longest(self, limit: int, least: int, used: Counter) -> Iterator[int]:
+        """Lengths from limit down to least of which a piece is left besides the used ones."""
+        for i in range(bisect.bisect_right(self.lengths, limit) - 1, -1, -1):
+            if self.lengths[i] < least:
+                return
+            if self.left[self.lengths[i]] > used[self.lengths[i]]:
+                yield self.lengths[i]
+
+    def fill(self, tops: list[int], lows: list[int], least: int, tried: int = 64) -> tuple[int, Counter] | None:
+        """(room left, lengths) for one sequence of a configuration: groups with lengths from lows to tops.
+
+        The longest piece of every group, but the last two: of the pieces of one group, and whatever
+        large length then fits best, those two that leave the least room. A group that has run out gives
+        its place to the next shorter length.
+        """
+        used, free = Counter(), self.capacity
+        for top in tops[:-2]:
+            length = next(self.longest(top, least, used), 0)
+            if not length:
+                return None
+            used[length] += 1
+            free -= length
+        if len(tops) == 1:
+            length = next(self.longest(free, least, used), 0)
+            return (free - length, Counter([length])) if length else None
+        best = None
+        for length in itertools.islice(self.longest(tops[-2], least, used), tried):
+            if best and (length < lows[-2] or not best[0]):
+                break
+            last = next(self.longest(free - length, least, used + Counter([length])), 0)
+            if last and (best is None or free - length - last < best[0]):
+                best = free - length - last, used + Counter([length, last])
+        return best
+
+    def place(self, need: Counter, times: int) -> int:
+        """Up to so many sequences of these lengths; how many."""
+        k, offset = min([times, *(self.left[x] // n for x, n in need.items())]), 0
+        for length in sorted(need.elements(), reverse=True):
+            self.put(length, k, self.n_seq, offset)
+            offset += length
+        if offset < self.capacity:
+            self.room[self.capacity - offset].append((self.n_seq, k))
+        self.n_seq += k
+        return k
+
+    def best_fit(self) -> None:
+        """All pieces that are left, longest first, to the sequences with the least sufficient room."""
+        levels = sorted(self.room)
+        for length in reversed(self.lengths[:]):
+            n = self.left[length]
+            while n:
+                i = bisect.bisect_left(levels, length)
+                if i == len(levels):
+                    k = -(-n // (self.capacity // length))
+                    self.room[self.capacity].append((self.n_seq, k))
+                    bisect.insort(levels, self.capacity)
+                    self.n_seq += k
+                    continue
+                free = levels[i]
+                seq, k = self.room[free].pop()
+                take = min(n, k)
+                self.put(length, take, seq, self.capacity - free)
+                if take < k:
+                    self.room[free].append((seq + take, k - take))
+                if not self.room[free]:
+                    levels.pop(i)
+                if free > length:
+                    if not self.room[free - length]:
+                        bisect.insort(levels, free - length)
+                    self.room[free - length].append((seq, take))
+                n -= take
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = 48, small: float = 1 / 8, slack: int = 8, tell: dict | None = None) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Segments (length, first rank, how many, first sequence, offset), and the number of sequences.
 
-    A configuration's sequences whose actual pieces leave more than ``slack`` tokens free are undone, and
-    their pieces go the way of the small ones. A segment puts as many pieces of one length into consecutive sequences, one each, at one offset.
+    A segment puts as many pieces of one length into consecutive sequences, one each, at one offset. A
+    configuration is used as long as actual pieces leave at most ``slack`` tokens free; pieces that are left
+    go the way of the small ones. tell receives the number of large pieces and how many of them the
+    configurations placed.
     """
-    segments: list[tuple[int, int, int, int, int]] = []
-    rank: dict[int, int] = defaultdict(int)
-    room: dict[int, list[tuple[int, int]]] = defaultdict(list)  # free tokens -> runs of sequences
-    n_seq = 0
-
-    def put(length: int, n: int, seq: int, offset: int) -> None:
-        segments.append((length, rank[length], n, seq, offset))
-        rank[length] += n
-
-    left = {k: n for k, n in counts.items() if n}
-    large = [(k, n) for k, n in sorted(left.items(), reverse=True) if k > capacity * small]
-    total = sum(n for _, n in large)
-    if total:
-        # runs of (length, count) by group of equal cardinality, longest first
-        per = -(-total // groups)
-        grouped: list[list[list[int]]] = [[]]
-        space = per
-        for length, n in large:
-            while n:
-                if not space:
-                    grouped.append([])
-                    space = per
-                k = min(n, space)
-                grouped[-1].append([length, k])
-                n, space = n - k, space - k
-        sizes = np.array([g[0][0] for g in grouped])
-        demand = np.array([sum(n for _, n in g) for g in grouped], float)
-        for g in grouped:
-            g.reverse()  # pop() gives the longest
-        for pattern, times in configurations(sizes, demand, capacity):
-            slots = [g for g in range(len(sizes)) for _ in range(pattern[g])]
-            # every slot takes a run of its group for these sequences; equal stretches share their offsets
-            takes = []
-            for g in slots:
-                want, runs = times, []
-                while want and grouped[g]:
-                    run = grouped[g][-1]
-                    k = min(want, run[1])
-                    runs.append((run[0], k))
-                    run[1] -= k
-                    want -= k
-                    if not run[1]:
-                        grouped[g].pop()
-                takes.append(runs + [(0, want)] * bool(want))
-            edges = sorted({0, times} | {e for runs in takes for e in np.cumsum([k for _, k in runs]).tolist()})
-            at = [0] * len(takes)
-            used_of = [0] * len(takes)
-            for a, b in zip(edges[:-1], edges[1:]):
-                lengths = [runs[at[i]][0] for i, runs in enumerate(takes)]
-                if capacity - sum(lengths) <= slack:
-                    used = 0
-                    for length in filter(None, lengths):
-                        put(length, b - a, n_seq, used)
-                        left[length] -= b - a
-                        used += length
-                    room[capacity - used].append((n_seq, b - a))
-                    n_seq += b - a
-                for i, runs in enumerate(takes):
-                    used_of[i] += b - a
-                    if used_of[i] == runs[at[i]][1]:
-                        at[i], used_of[i] = at[i] + 1, 0
-    levels = sorted(room)
-    for length in sorted((k for k, n in left.items() if n), reverse=True):
-        n = left[length]
-        while n:
-            i = bisect.bisect_left(levels, length)
-            if i == len(levels):
-                k = -(-n // (capacity // length))
-                room[capacity].append((n_seq, k))
-                bisect.insort(levels, capacity)
-                n_seq += k
-                continue
-            free = levels[i]
-            seq, k = room[free].pop()
-            take = min(n, k)
-            put(length, take, seq, capacity - free)
-            if take < k:
-                room[free].append((seq + take, k - take))
-            if not room[free]:
-                levels.pop(i)
-            if free > length:
-                if not room[free - length]:
-                    bisect.insort(levels, free - length)
-                room[free - length].append((seq, take))
-            n -= take
-    return segments, n_seq
+    state = _Packing(counts, capacity)
+    least = int(capacity * small) + 1
+    large = [k for k in reversed(state.lengths) if k >= least]
+    ends = np.cumsum([state.left[k] for k in large])
+    by_configuration = 0
+    if large:
+        # groups of equal cardinality, longest first; a length that fills several is one group
+        firsts = np.arange(0, ends[-1], -(-ends[-1] // groups))
+        tops, at = np.unique(-np.array(large)[np.searchsorted(ends, firsts, "right")], return_inverse=True)
+        tops, demand = -tops, np.bincount(at, np.diff(np.append(firsts, ends[-1])))
+        lows = np.append(tops[1:] + 1, least)
+        for pattern, times in sorted(configurations(tops, demand, capacity), key=lambda c: (-c[1], tuple(c[0]))):
+            slots = np.repeat(np.arange(len(tops)), pattern)
+            while times:
+                found = state.fill(tops[slots].tolist(), lows[slots].tolist(), least)
+                if found is None or found[0] > slack:
+                    break
+                k = state.place(found[1], times)
+                times -= k
+                by_configuration += k * found[1].total()
+    if tell is not None:
+        tell.update(large=int(ends[-1]) if large else 0, by_configuration=by_configuration)
+    state.best_fit()
+    return state.segments, state.n_seq
 
 
 def _place(starts: np.ndarray, first_seq: np.ndarray, offsets: np.ndarray, names: list[str]):
@@ -284,11 +343,11 @@ def _place(starts: np.ndarray, first_seq: np.ndarray, offsets: np.ndarray, names
     return place
 
 
-def assign(table: DataFrame, capacity: int = CAPACITY, per_task: int = 200_000) -> DataFrame:
+def assign(table: DataFrame, capacity: int = CAPACITY, per_block: int = 1000) -> DataFrame:
     """Pieces (a written table) with sequence_id and offset. Full pieces are a sequence each; the
     others are ranked among those of equal length within hashed blocks, so that no length is one task."""
     hist = {r[0]: r[1] for r in table.groupBy("length").count().collect()}  # at most capacity rows
-    full, n = hist.pop(capacity, 0), sum(hist.values())
+    full = hist.pop(capacity, 0)
     segments, n_seq = plan(hist, capacity)
     segments.sort()
     starts = np.array([(s[0] << 44) | s[1] for s in segments], np.int64)
@@ -296,14 +355,16 @@ def assign(table: DataFrame, capacity: int = CAPACITY, per_task: int = 200_000)
     table = table.select("*", F.monotonically_increasing_id().alias("rid"))
     names = [c for c in table.columns if c != "rid"] + ["sequence_id", "offset"]
     whole = table.where(F.col("length") == capacity).select(*names[:-2], (F.lit(n_seq) + F.col("rid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    blocks = max(1, n // per_task)
-    rest = table.where(F.col("length") < capacity).withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)))
+    if not hist:
+        return whole
+    blocks = table.sparkSession.createDataFrame([(k, max(1, n // per_block)) for k, n in hist.items()], "length int, blocks long")
+    rest = table.where(F.col("length") < capacity).join(F.broadcast(blocks), "length").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks"))).drop("blocks")
     sums = rest.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     before = sums.select("length", "block", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     order = Window.partitionBy("length", "block").orderBy("rid")
     ranked = rest.join(before, ["length", "block"]).select(*names[:-2], (F.col("before") + F.row_number().over(order) - 1).cast("long").alias("rank"))
     schema = ", ".join(f"{c} {t}" for c, t in ranked.drop("rank").dtypes) + ", sequence_id long, offset long"
-    return whole.unionByName(ranked.mapInArrow(_place(starts, first_seq, offsets, names), schema)) if full or segments else whole
+    return whole.unionByName(ranked.mapInArrow(_place(starts, first_seq, offsets, names), schema))
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, **cols: str) -> DataFrame:

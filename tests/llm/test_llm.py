@@ -172,18 +172,50 @@ def test_packing_round_trip(docs, none):
     assert packing.pack(none).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_plan_is_close_to_the_bound(seed):
-    rng = np.random.default_rng(seed)
-    lengths = np.clip(rng.lognormal(6, 1.2, 3000).astype(int), 1, 2047)
-    counts = dict(Counter(lengths.tolist()))
-    segments, n = packing.plan(counts)
-    used, fill = Counter(), np.zeros(n, int)
+def check_plan(counts, within=1.001, **options):
+    """A plan's segments place every piece once, gapless; the number of sequences and what plan tells."""
+    tell = {}
+    segments, n = packing.plan(counts, tell=tell, **options)
+    used, fill, ranks = Counter(), np.zeros(n, int), Counter()
+    for length, first, k, seq, offset in segments:
+        assert first == ranks[length]
+        ranks[length] += k
     for length, first, k, seq, offset in sorted(segments, key=lambda s: s[4]):
         assert (fill[seq : seq + k] == offset).all()
         fill[seq : seq + k] += length
         used[length] += k
-    assert used == counts and fill.max() <= 2048 and n <= 1.01 * math.ceil(lengths.sum() / 2048) + 1
+    assert used == counts and fill.max(initial=0) <= 2048
+    assert n <= within * math.ceil(sum(k * c for k, c in counts.items()) / 2048) + 1
+    return n, tell
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plan_is_close_to_the_bound(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.clip(rng.lognormal(6, 1.2, 3000).astype(int), 1, 2047)
+    n, tell = check_plan(Counter(lengths.tolist()))
+    assert tell["by_configuration"] > 0.6 * tell["large"]
+
+
+def test_configurations_carry_the_packing(spark):
+    """Most large pieces of the documents are placed by the configurations."""
+    placed = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).groupBy("length").count().collect()
+    counts = Counter({r["length"]: r["count"] for r in placed if r["length"] < 2048})
+    n, tell = check_plan(counts)
+    assert tell["by_configuration"] > 0.7 * tell["large"] and n == math.ceil(sum(k * c for k, c in counts.items()) / 2048)
+    n, tell = check_plan(Counter({k: 50 * c for k, c in counts.items()}))
+    assert tell["by_configuration"] > 0.7 * tell["large"]
+
+
+@pytest.mark.parametrize("counts", [{}, {1: 3}, {2047: 2}, {2047: 2, 1: 1}, {1024: 7}, {300: 1}, {257: 100, 256: 9}, {1025: 50}])
+def test_plan_of_few_lengths(counts):
+    check_plan(Counter(counts), within=2)
+
+
+def test_configurations_reach_the_optimum():
+    """Against the bound that the duals give: three sizes whose optimum is known."""
+    found = packing.configurations(np.array([1500, 1000, 500]), np.array([100.0, 300.0, 300.0]), 2048, gap=1e-9)
+    assert sum(x for _, x in found) == 300 and sum(x * p for p, x in found).tolist() >= [100, 300, 300]
 
 
 # Language identification
