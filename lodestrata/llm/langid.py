@@ -8,11 +8,13 @@ over the whole text, however long: blocks of words are reduced to transfer matri
 loop passes over the blocks, and the blocks are filled in again at once. The language of a text is the
 one with the largest sum of word marginals, weighted by letters.
 
-Bounds of the training sample: ``per_lang`` documents of each language, ``per_doc`` words of each.
+Bounds of the training sample: ``per_lang`` distinct texts of each language, ``per_doc`` words of each.
 
-Edge cases: a null text and one without a letter are ``und`` with score 0. Without labelled documents
-every text is ``und``. A null id counts as training. Rows are predicted one by one, so repeated rows
-agree; ties go to the language first in code point order. An empty table gives an empty result.
+Edge cases: a null text and one without a letter are ``und`` with score 0 and no spans. Without labelled
+documents every text is ``und``. A null id counts as training; ids are cast to long, so one that is no
+number becomes null. Rows are predicted one by one, so repeated rows agree; ties go to the language first
+in code point order. Texts of any length are labelled whole. Extra columns are neither read nor carried,
+so their names do not matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -242,10 +244,12 @@ class Tagger:
             at = np.searchsorted(self.keys, keys)
         return self.emit[at], self.letters[at]
 
-    def texts(self, column) -> tuple[np.ndarray, np.ndarray]:
-        """(best label or -1, its share of the letters) of every text."""
+    def texts(self, column) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(best label or -1, its share of the letters) of every text, and its spans: number of them by text,
+        first words, ends, labels, mean probabilities."""
         h, first, data, s, e = hash_words(column, spans=True)
         best, score = np.full(len(column), -1), np.zeros(len(column))
+        spans = [np.zeros(len(column), np.int64), [], [], [], []]
         a = 0
         while a < len(column):
             b = max(a + 1, int(np.searchsorted(first, first[a] + SLICE, "right")) - 1)
@@ -254,15 +258,28 @@ class Tagger:
             word = lambda new, one=one, lo=lo: [bytes(data[s[lo + one[i]] : e[lo + one[i]]]).decode("utf-8", "replace") for i in new]
             emit, letters = self.look_up(keys, word)
             own = first[a : b + 1] - lo
-            node = marginals(emit[back], own, self.model["trans"]) * letters[back][:, None]
+            node = marginals(emit[back], own, self.model["trans"])
             text = np.repeat(np.arange(b - a), np.diff(own))
-            votes = np.stack([np.bincount(text, node[:, j], b - a) for j in range(self.k)], 1)
+            label = node.argmax(1)
+            weight = letters[back]
+            votes = np.stack([np.bincount(text, node[:, j] * weight, b - a) for j in range(self.k)], 1)
             total = votes.sum(1)
             has = total > 0
             best[a:b][has] = votes[has].argmax(1)
             score[a:b][has] = votes[has].max(1) / total[has]
+            if len(label):
+                heads = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (text[1:] != text[:-1])]))
+                size = np.diff(np.append(heads, len(label)))
+                sure = np.add.reduceat(node.max(1), heads) / size
+                ok = has[text[heads]]
+                spans[0][a:b] = np.bincount(text[heads[ok]], minlength=b - a)
+                for k, x in enumerate((heads - own[text[heads]], heads - own[text[heads]] + size, label[heads], sure), 1):
+                    spans[k].append(x[ok])
             a = b
-        return best, np.minimum(score, 1.0)
+        return best, np.minimum(score, 1.0), [spans[0], *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in spans[1:])]
+
+
+SPAN_TYPE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("probability", pa.float64())])
 
 
 def _predict(model: dict):
@@ -270,27 +287,45 @@ def _predict(model: dict):
         tagger = Tagger(model)
         names = np.array([*model["langs"], UND], object)
         for batch in batches:
-            best, score = tagger.texts(batch.column(1)) if model["langs"] else (np.full(batch.num_rows, -1), np.zeros(batch.num_rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
+            n = batch.num_rows
+            best, score, (count, start, end, label, sure) = tagger.texts(batch.column(1)) if model["langs"] else (np.full(n, -1), np.zeros(n), [np.zeros(n, np.int64)] + [np.zeros(0, np.int64)] * 4)
+            runs = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(names[label.astype(np.int64)], pa.string()), pa.array(sure, pa.float64())], fields=list(SPAN_TYPE))
+            spans = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), runs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score), spans], ["id", "lang_pred", "score", "spans"])
 
     return predict
 
 
-def sample(labelled: DataFrame, per_lang: int = 250, per_doc: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, list[str]]]:
-    """At most per_lang documents of each language, by a hash of the id, and of each at most per_doc
-    consecutive words from a hashed place. Spark limits each partition before it deals rows by language."""
-    rows = labelled.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`").alias("lang"), F.xxhash64(F.col(f"`{id_col}`")).alias("h"), F.col(f"`{text_col}`").alias("t"))
-    top = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("rn") <= per_lang)
-    cut = top.select("lang", "h", words(F.col("t")).alias("w"))
-    start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.size("w") - (per_doc - 1))) + 1
-    return sorted((r[0], r[2]) for r in cut.select("lang", "h", F.slice("w", start.cast("int"), per_doc)).collect())
+def sample(labelled: DataFrame, per_lang: int = 250, per_doc: int = 200, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, list[str]]]:
+    """The per_lang distinct texts of each language with the least hashes, and of each at most per_doc
+    consecutive words from a hashed place.
+
+    Counts bound the hashes first, so that a few times per_lang hashes a language are ranked, whatever the
+    corpus size; then the hash of the last one that counts picks the texts where they are read, and copies
+    are one before they are dealt. Languages are few: the model has a column of weights for each.
+    """
+    rows = labelled.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`").alias("lang"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("h"), F.col(f"`{text_col}`").alias("t"))
+    known = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row a language
+    if not known:
+        return []
+    spark = labelled.sparkSession
+    limits = spark.createDataFrame([(r[0], min((4 * per_lang << 64) // max(r[1], 1) - 2**63, 2**63 - 1)) for r in known], "lang string, most long")
+    few = rows.select("lang", "h").join(F.broadcast(limits), "lang").where("h <= most").select("lang", "h").distinct()
+    ranked = few.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= per_lang)
+    last = spark.createDataFrame([tuple(r) for r in ranked.groupBy("lang").agg(F.max("h")).collect()], "lang string, last long")
+    top = rows.join(F.broadcast(last), "lang").where("h <= last")
+    w = words(F.col("t"))
+    start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.size(w) - (per_doc - 1))) + 1
+    cut = top.groupBy("lang", "h").agg(F.first(F.slice(w, start.cast("int"), per_doc)).alias("w"))
+    return sorted((r[0], r[2]) for r in cut.select("lang", "h", "w").collect())
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: (id, lang_pred, score)."""
+    """One row per document: (id, lang_pred, score, spans). spans are the stretches of words with one label:
+    first word, end (exclusive), language, mean probability; a text that is ``und`` has none."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t"))
-    return rows.mapInArrow(_predict(model), "id long, lang_pred string, score double")
+    return rows.mapInArrow(_predict(model), "id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string,probability:double>>")
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

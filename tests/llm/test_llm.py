@@ -250,6 +250,26 @@ def test_language_of_words_and_texts(spark, none):
     assert {r["lang_pred"] for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), empty).collect()} == {"und"}
 
 
+def test_spans_of_code_switched_text(spark):
+    """Where the language changes; a very long text; repeated rows; extra columns."""
+    rng = np.random.default_rng(0)
+    say = lambda letters, n: ["".join(rng.choice(list(letters), 5)) for _ in range(n)]
+    model = langid.train([(lang, say(letters, 200)) for lang, letters in (("aa", "abcd"), ("zz", "wxyz")) for _ in range(20)], rounds=30)
+    long = " ".join(say("abcd", 300_000))
+    rows = [(1, " ".join(say("abcd", 20) + say("wxyz", 30)), 1.0), (2, long, None), (3, "7 8", 0.0), (4, None, 0.0), (5, "abcd", 0.0), (5, "abcd", 0.0)]
+    got = [(r["id"], r["lang_pred"], [tuple(x) for x in r["spans"]]) for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string, score double"), model).collect()]
+    assert [x[:3] for x in got[0][2]] == [(0, 20, "aa"), (20, 50, "zz")] and all(x[3] > 0.9 for x in got[0][2])
+    assert [x[:3] for x in got[1][2]] == [(0, 300_000, "aa")] and got[2][1:] == ("und", []) == got[3][1:] and got[4] == got[5]
+
+
+def test_sample_is_bounded_and_distinct(spark, none):
+    rows = [(f"text {i % 700} " + "w " * (i % 300), "a" if i % 3 else "b") for i in range(3000)] + [("copy", "a")] * 500 + [(None, "c"), ("x", None)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    got = langid.sample(df, per_lang=20, per_doc=10)
+    assert Counter(x for x, _ in got) == {"a": 20, "b": 20, "c": 1} and all(len(w) <= 10 for _, w in got)
+    assert got == langid.sample(df.repartition(3), per_lang=20, per_doc=10) and langid.sample(none) == []
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "lang")
     got = QUERIES["op4_langid"](spark, DIR).join(docs, "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
