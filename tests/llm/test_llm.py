@@ -359,14 +359,79 @@ def test_quality_of_odd_rows(spark):
 # Licences
 
 
+#: Notices that are no templates, as they stand in the wild, wrapped or not; None: a licence of no family.
+NOTICES = [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"),
+    ("mit", "This project is available under the terms of the MIT license, see LICENSE."),
+    ("mit", "Use of this code is governed by the MIT License found in the root directory."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:"),
+    ("bsd", "Released under the new BSD 3-Clause License; see COPYING."),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License."),
+    ("apache", "# Distributed under the Apache 2.0 license, see the notice file"),
+    ("gpl", "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version."),
+    ("gpl", "It is licensed under the GNU General Public License version 2 only."),
+    ("lgpl", "The library may be used under the GNU Lesser General Public License, version 3 or later."),
+    ("agpl", "The server is licensed under the GNU Affero General Public License, version 3."),
+    ("mpl", "// This file is covered by the Mozilla Public License 2.0"),
+    ("isc", "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    ("cc-by", "The figures are licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "Text is available under CC BY-SA 3.0 unless noted."),
+    ("cc-by-nc", "Pictures: licensed under CC BY-NC 4.0, no changes made."),
+    ("public-domain", "The author has dedicated this work to the public domain under CC0 1.0 Universal."),
+    ("proprietary", "Copyright 2019 by the authors, all rights reserved."),
+    (None, "Licensed under the Eclipse Public License 2.0"),
+    (None, "Licensed under the European Union Public License 1.2"),
+    (None, "Distributed under the Boost Software License, Version 1.0."),
+    (None, "Licensed under the Common Development and Distribution License, Version 1.0"),
+]
+PLAIN = ["the license plate was apache red", "we reserved the rights to the table", "mozilla is a browser and gnu is an animal", "", "   ", None, "the general public was free to use this version", "a permission notice was pinned to the door", "no part of the work was published", "copy that", "by all means", "the source was a spring in the wood"]
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    return licenses.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_licences_of_held_out_notices(spark, licence_model):
+    """Precision and recall over notices that are no templates, alone and within prose; plain text has none."""
+    texts = [t for _, t in NOTICES] + [f"Some words before it.\n{t}\n\nAnd words after it." for _, t in NOTICES] + PLAIN
+    want = [{f or "unknown"} for f, _ in NOTICES] * 2 + [set()] * len(PLAIN)
+    assert not {t for _, t in NOTICES} & {t for ts in licenses.TEMPLATES.values() for t in ts}
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model=licence_model).collect()
+    got = {r["id"]: set(r["licenses"]) for r in rows}
+    told = sum(len(x) for x in got.values())
+    right = sum(len(got[i] & w) for i, w in enumerate(want))
+    assert right / told >= 0.95 and right / sum(map(len, want)) >= 0.9
+    confirmed = {r["id"] for r in rows if r["confirmed"]}
+    assert {0, 3, 12} <= confirmed and not any(i % len(NOTICES) >= 18 for i in confirmed if i < 2 * len(NOTICES))
+    assert sum(bool(got[i]) for i in range(2 * len(NOTICES), len(texts))) <= 1 and not any(r["confirmed"] for r in rows if r["id"] >= 2 * len(NOTICES))
+
+
+@pytest.mark.parametrize("family", ["mpl", "isc", "apache"])
+def test_an_unknown_family_is_unknown(spark, licence_model, family):
+    """A model without a family calls its named notices unknown."""
+    prose = ["plain words of any kind", "other prose with a few words", "the plate was red and the table was round"] * 40
+    model = licenses.train(prose, {f: ts for f, ts in licenses.TEMPLATES.items() if f != family})
+    texts = [said.format(name) for said in licenses.SAID[:4] for name in licenses.NAMES[family][:1]]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model=model).collect()
+    assert sum(r["licenses"] == ["unknown"] for r in got) >= 3 and not any(r["confirmed"] for r in got)
+
+
 def test_license_scan(spark, none):
-    rows = [(1, "prose here\nLicensed under the Apache License, Version 2.0.\nmore prose"), (2, None), (3, "nothing of the kind"), (4, "Released under the MIT License.\nAll rights reserved."), (None, "This work is licensed under the GNU General Public License, version 3."), (6, "the license plate was apache red"), (6, "")]
+    long = "plain words " * 200_000 + "\nReleased under the MIT License.\n"
+    rows = [(1, "prose here\nLicensed under the Apache License, Version 2.0.\nmore prose"), (2, None), (3, "nothing of the kind"), (4, "Released under the MIT License.\nAll rights reserved."), (None, "This work is licensed under the GNU General Public License, version 3."), (6, "the license plate was apache red"), (6, ""), (7, long), (7, long)]
     model = licenses.train(["plain words of any kind", "other prose with a few words", "the plate was red"] * 20)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, p int, w string")
     got = [(r["id"], r["licenses"], r["confirmed"]) for r in licenses.scan(df, model=model).collect()]
     assert (1, ["apache"], True) in got and (4, ["mit", "proprietary"], True) in got and (None, ["gpl"], True) in got
     assert (2, [], False) in got and (3, [], False) in got and not any(i == 6 and c for i, _, c in got)
-    assert len(got) == len(rows) and licenses.scan(none, model=model).count() == 0
+    assert got.count((7, ["mit"], True)) == 2 and len(got) == len(rows) and licenses.scan(none, model=model).count() == 0
+
+
+def test_paragraphs(spark):
+    text = "one\ntwo.\nthree \n  \nfour\r\nfive!\n\n\n six"
+    got = spark.createDataFrame([(text,), ("",), ("\n \n",)], "t string").select(licenses.paragraphs(F.col("t")).alias("p")).collect()
+    assert [[p.strip() for p in r["p"]] for r in got] == [["one two.", "three", "four five!", "six"], [], []]
 
 
 @pytest.mark.parametrize("family, k", [("proprietary", 0), ("cc-by", 1), ("mit", 1), ("bsd", 0)])
