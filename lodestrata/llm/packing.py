@@ -20,6 +20,7 @@ import itertools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -58,15 +59,17 @@ class WordTokenizer:
     others, and those that may hold a special token, go through the whole tokenizer.
     """
 
-    SAFE = re.compile("[\x21-\x7e\xa1-įı-ɏ]+")
+    #: Words whose lower case stays below U+02B0.
+    SAFE = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f]+")
+    #: The tokenizer's own parts of a word, with letters and digits as they are below U+02B0.
+    LETTER, DIGIT = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u02af", "0-9\xb2\xb3\xb9\xbc-\xbe"
+    PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{LETTER}{DIGIT}]+")
 
-    def __init__(self, path: str, limit: int = 250_000):
-        import regex
+    def __init__(self, path: str, limit: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         # byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
@@ -76,12 +79,16 @@ class WordTokenizer:
 
     def _part(self, part: str) -> bytes:
         text = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
-        return np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)])
 
     def _word(self, word: str) -> bytes:
         if "<|" not in word and self.SAFE.fullmatch(word):
-            pieces = self.pieces
-            return b"".join([pieces[p] for p in self.parts.findall(word.lower())])
+            pieces, low = self.pieces, word.lower()
+            if low.isalpha():
+                return pieces[low]
+            if low[-1] in ".,;:!?" and low[:-1].isalpha():
+                return pieces[low[:-1]] + pieces[low[-1]]
+            return b"".join([pieces[p] for p in self.PARTS.findall(low)])
         return self._whole(word)
 
     def _whole(self, text: str) -> bytes:
@@ -91,12 +98,20 @@ class WordTokenizer:
         """Ids as little-endian 32-bit values."""
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for Python only
             return self._whole(text)
+        if text.isascii() and "<|" not in text:
+            text = text.lower()
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
+@lru_cache(1)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for a worker process, whose tasks share its cache."""
+    return WordTokenizer(path)
+
+
 def _tokenize(path: str, capacity: int, end: bytes, with_ids: bool):
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordTokenizer(path)
+        tok = _tokenizer(path)
         names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * with_ids
         step = 4 * capacity
