@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, new_path, ship
-from .sharedfiles import local_path, map_arrays, write_arrays
+from .sharedfiles import map_arrays, write_arrays
 from .wordhash import U64, hash_words
 
 END, BEGIN = U64(0x6A09E667F3BCC909), U64(0xBB67AE8584CAA73B)
@@ -86,13 +86,8 @@ def _count_blobs(ctx: np.ndarray, tok: np.ndarray, bits: int) -> Iterator[tuple[
     times = np.diff(np.append(new, n))
     pairs = pairs[new]
     v, w = (pairs >> U64(32)).astype(np.int64), (pairs & U64(0xFFFFFFFF)).astype(np.int64)
-    shard = _shard(vocab, bits)
-    edges = np.searchsorted(shard, np.arange((1 << bits) + 1))
-    pair_edges = np.searchsorted(v, edges)
-    for s in range(1 << bits):
-        a, b, p, q = edges[s], edges[s + 1], pair_edges[s], pair_edges[s + 1]
-        if a == b:
-            continue
+    for s, a, b in _slices(_shard(vocab, bits)):  # the shards that occur, not all there are
+        p, q = np.searchsorted(v, (a, b))
         words = np.flatnonzero(uni[a:b]) + a
         out = [np.array([len(words)], "<i8").tobytes(), vocab[words].astype("<u8").tobytes(), _small(uni[words])]
         heads = np.flatnonzero(np.concatenate([[True], v[p + 1 : q] != v[p : q - 1]])) if q > p else np.zeros(0, np.int64)
@@ -181,9 +176,7 @@ def _bigram_shard(folder: str, bits: int):
         )
         # what the second words get: in how many contexts of this shard each stands
         seen, times = np.unique(w, return_counts=True)
-        to = _shard(seen << U64(16), bits)
-        edges = np.searchsorted(to, np.arange((1 << bits) + 1))
-        rows = [(s, np.array([0, edges[s + 1] - edges[s]], "<i8").tobytes() + _six(seen[edges[s] : edges[s + 1]] << U64(16)) + _small(times[edges[s] : edges[s + 1]])) for s in range(1 << bits) if edges[s + 1] > edges[s]]
+        rows = [(s, np.array([0, b - a], "<i8").tobytes() + _six(seen[a:b] << U64(16)) + _small(times[a:b])) for s, a, b in _slices(_shard(seen << U64(16), bits))]
         rows.append((shard, np.array([1, len(words)], "<i8").tobytes() + words.astype("<u8").tobytes() + _small(uni)))
         stats = [len(c), *_ones_to_fours(c), int(uni.sum()), len(words)]
         k = len(rows)
@@ -233,8 +226,7 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
     texts = docs.select(F.col(f"`{text_col}`").alias("t"))
     size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     bits = max(0, (size // SHARD_BYTES).bit_length())
-    uri = new_path(spark, "lm")
-    folder = local_path(uri)
+    folder = new_path(spark, "lm")
     sums = [F.sum(f.split()[0]).alias(f.split()[0]) for f in STATS_SCHEMA.split(", ")]
     blobs = texts.mapInArrow(_counter(bits), COUNT_SCHEMA)
     first = materialize(blobs.groupBy("shard").applyInArrow(_bigram_shard(folder, bits), f"{COUNT_SCHEMA}, {STATS_SCHEMA}"), "lm-cont")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, new_path, packed, ship
-from .sharedfiles import local_path, map_arrays, write_arrays
+from .sharedfiles import map_arrays, write_arrays
 from .wordhash import U64, hash_words, mix, shingles
 
 WIDTH, GRAM = 20, 6
@@ -82,6 +82,13 @@ def _shard(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
+def _slices(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, start, end) of the runs of a sorted array: the shards that occur, not all there are."""
+    if len(shard):
+        heads = np.append(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), len(shard))
+        yield from ((int(shard[a]), int(a), int(b)) for a, b in zip(heads[:-1], heads[1:]))
+
+
 def _rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "blob"])
 
@@ -93,8 +100,7 @@ def _anchors(width: int, bits: int):
 
         def flush():
             values, times = np.unique(np.concatenate(held), return_counts=True)
-            edges = np.searchsorted(_shard(values, bits), np.arange((1 << bits) + 1))
-            yield _rows([(s, values[a:b].tobytes() + np.minimum(times[a:b], HOT).astype("<u2").tobytes()) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a])
+            yield _rows([(s, values[a:b].tobytes() + np.minimum(times[a:b], HOT).astype("<u2").tobytes()) for s, a, b in _slices(_shard(values, bits))])
 
         for batch in batches:
             for h, first, _ in _parts(batch):
@@ -148,13 +154,12 @@ def _look_up(values: np.ndarray, anchors: _Mapped, bits: int) -> np.ndarray:
     out = np.zeros(len(values), np.uint8)
     order = np.argsort(values)
     v = values[order]
-    edges = np.searchsorted(_shard(v, bits), np.arange((1 << bits) + 1))
-    for s in np.flatnonzero(np.diff(edges)):
-        m = anchors[int(s)]
+    for s, a, b in _slices(_shard(v, bits)):
+        m = anchors[s]
         if m is not None and len(m["value"]):
-            part = v[edges[s] : edges[s + 1]]
+            part = v[a:b]
             at = np.minimum(np.searchsorted(m["value"], part), len(m["value"]) - 1)
-            out[order[edges[s] : edges[s + 1]]] = np.where(m["value"][at] == part, 1 + m["hot"][at], 0)
+            out[order[a:b]] = np.where(m["value"][at] == part, 1 + m["hot"][at], 0)
     return out
 
 
@@ -175,8 +180,7 @@ def _interval_blob(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
 def _deal_intervals(key: np.ndarray, a: np.ndarray, b: np.ndarray, n_shards: int) -> list[tuple[int, bytes]]:
     to = (key % U64(n_shards)).astype(np.int64)
     order = np.argsort(to, kind="stable")
-    edges = np.searchsorted(to[order], np.arange(n_shards + 1))
-    return [(int(s), _interval_blob(*(x[order[edges[s] : edges[s + 1]]] for x in (key, a, b)))) for s in np.flatnonzero(np.diff(edges))]
+    return [(s, _interval_blob(*(x[order[i:j]] for x in (key, a, b)))) for s, i, j in _slices(to[order])]
 
 
 def _stretches(folder: str, width: int, bits: int, n_shards: int):
@@ -216,12 +220,11 @@ def _stretches(folder: str, width: int, bits: int, n_shards: int):
                 gone, sent = order[later], order[~later]
                 if len(gone):
                     yield _rows([(n_shards + s, blob) for s, blob in _deal_intervals(key[gone], at[gone], at[gone] + size[gone], n_shards)])
-                cuts = np.searchsorted(shard[sent], np.arange(n_shards + 1))
                 rows = []
-                for s in np.flatnonzero(np.diff(cuts)):
-                    i = sent[cuts[s] : cuts[s + 1]]
+                for s, from_, to_ in _slices(shard[sent]):
+                    i = sent[from_:to_]
                     head_bytes = b"".join(x[i].astype(t).tobytes() for x, t in ((doc, "<i8"), (key, "<u8"), (at, "<i8"), (size, "<u1")))
-                    rows.append((int(s), np.array([len(i)], "<i8").tobytes() + head_bytes + _six(h[_flat(start[i], size[i])])))
+                    rows.append((s, np.array([len(i)], "<i8").tobytes() + head_bytes + _six(h[_flat(start[i], size[i])])))
                 for i in range(0, len(rows), 512):
                     yield _rows(rows[i : i + 512])
 
@@ -431,23 +434,27 @@ def _removed(keys: np.ndarray, intervals: _Mapped, n_shards: int) -> list[list[t
     return out
 
 
-def _apply(folder: str, n_shards: int):
+def _apply(folder: str, n_shards: int, texts_too: bool):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         intervals = _Mapped(folder, "intervals")
         for batch in batches:
             texts = batch.column(0)
-            n_words, n_removed, kept, spans = [], [], [], []
+            n_words, n_removed, digests, kept, spans = [], [], [], [], []
             for text, gone in zip(texts, _removed(batch.column(1).to_numpy().view(U64), intervals, n_shards)):
                 words = (text.as_py() or "").encode().split()
                 n_words.append(len(words))
                 n_removed.append(sum(b - a for a, b in gone))
                 for a, b in reversed(gone):
                     del words[a:b]
-                kept.append(b" ".join(words))
-                spans.append([{"start": a, "end": b} for a, b in gone])
-            made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary()).cast(pa.string())]
-            made.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
-            names = [*batch.schema.names[2:], "n_words", "n_removed", "kept_sha256", "kept_text", "spans"]
+                left = b" ".join(words)
+                digests.append(sha256(left).hexdigest())
+                if texts_too:
+                    kept.append(left)
+                    spans.append([{"start": a, "end": b} for a, b in gone])
+            made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
+            if texts_too:
+                made += [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+            names = [*batch.schema.names[2:], "n_words", "n_removed", "kept_sha256", *["kept_text", "spans"] * texts_too]
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], *made], names)
 
     return apply
@@ -465,7 +472,7 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     rows = docs.select(text.alias("t"), ident.alias("id"), _key(ident, text).alias("key"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     bits = max(0, (size // SHARD_BYTES).bit_length())
-    folder = local_path(new_path(spark, "repeats"))
+    folder = new_path(spark, "repeats")
     runs = rows.select("t").mapInArrow(_anchors(width, bits), BLOB_SCHEMA).groupBy("shard").applyInArrow(_repeated(folder), "runs long").agg(F.sum("runs")).first()[0] or 0
     n_shards = max(1, int(runs * (width + 8) // SHARD_WORDS))
     cut = rows.mapInArrow(_stretches(folder, width, bits, n_shards), BLOB_SCHEMA)
@@ -474,20 +481,21 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     return {"folder": folder, "n_shards": n_shards}
 
 
-def remove_repeats(docs: DataFrame, found: dict, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """(__row, n_words, n_removed, kept_sha256, kept_text, spans): kept words joined by one space, and
-    the removed ranges of words. __row holds the given columns (all, if None)."""
+def remove_repeats(docs: DataFrame, found: dict, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, texts: bool = True) -> DataFrame:
+    """(__row, n_words, n_removed, kept_sha256[, kept_text, spans]): kept words joined by one space, and
+    the removed ranges of words. __row holds the given columns (all, if None); without texts the digest of
+    the kept words stands for them."""
     ship(docs.sparkSession)
     text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`").cast("long")
     carried = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)])
     rows = docs.select(text.alias("t"), _key(ident, text).alias("key"), packed(carried))
     row_type = carried.schema.simpleString()
     return rows.mapInArrow(
-        _apply(found["folder"], found["n_shards"]), f"__row {row_type}, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:long,end:long>>"
+        _apply(found["folder"], found["n_shards"], texts), f"__row {row_type}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, spans array<struct<start:long,end:long>>" * texts
     )
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: doc_id, n_words, n_removed, kept_sha256."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return remove_repeats(docs, find_repeats(docs), columns=["doc_id"]).select(F.col("__row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    return remove_repeats(docs, find_repeats(docs), columns=["doc_id"], texts=False).select(F.col("__row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")

@@ -494,6 +494,34 @@ def test_kneser_ney(docs, rows, none):
     assert blank["tokens"] == 0 and {r["score"] for r in lm_score.score(docs.limit(3), blank).collect()} == {0.0}
 
 
+def test_arrays_of_any_file_system(tmp_path, monkeypatch):
+    """A file that cannot be mapped where it is gets copied; a file that no task wrote is None."""
+    from lodestrata.llm import sharedfiles
+
+    data = {"a": np.arange(5), "b": np.zeros(0, "<u2"), "c": np.array([1.5, 2.5])}
+    for uri in (f"{tmp_path}/x/one", f"file://{tmp_path}/x/two"):
+        sharedfiles.write_arrays(uri, **data)
+        sharedfiles.write_arrays(uri, **data)
+        got = sharedfiles.map_arrays(uri)
+        assert all((got[k] == v).all() and got[k].dtype == v.dtype for k, v in data.items())
+    assert sharedfiles.map_arrays(f"{tmp_path}/x/none") is None
+
+    class Remote:
+        type_name = "remote"
+
+        def __init__(self):
+            self.real = sharedfiles.fs.LocalFileSystem()
+
+        def get_file_info(self, path):
+            return self.real.get_file_info(path)
+
+    monkeypatch.setattr(sharedfiles, "_open", lambda uri: (Remote(), uri))
+    copy = sharedfiles.fs.copy_files
+    monkeypatch.setattr(sharedfiles.fs, "copy_files", lambda *a, source_filesystem, **k: copy(*a, source_filesystem=source_filesystem.real, **k))
+    got = sharedfiles.map_arrays(f"{tmp_path}/x/one")
+    assert all((got[k] == v).all() for k, v in data.items())
+
+
 # Repeated passages
 
 
@@ -515,8 +543,12 @@ def brute_repeats(rows, width):
 
 def test_repeats_by_spark(docs, rows, none):
     found = substring.find_repeats(docs)
-    got = Counter((r["__row"]["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(docs, found).collect())
+    full = substring.remove_repeats(docs, found).collect()
+    got = Counter((r["__row"]["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in full)
     assert got == brute_repeats([(r[0], r[1]) for r in rows], 20)
+    assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] and sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in full)
+    brief = substring.remove_repeats(docs, found, columns=["doc_id"], texts=False)
+    assert Counter((r["__row"]["doc_id"], *r[1:]) for r in brief.collect()) == got
     assert substring.remove_repeats(none, substring.find_repeats(none)).count() == 0
 
 
