@@ -34,10 +34,13 @@ def count_matches(text: Column, char_class: str) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the setting is unset (tests, single machine) a folder of our own is used.
+    Where the setting is unset, a session on one machine (a local master) uses a folder of our own; on a
+    cluster that is an error, as no machine's temporary folder is shared.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "lodestrata-shared")
     return f"{root.rstrip('/')}/lodestrata/{spark.sparkContext.applicationId}"
 

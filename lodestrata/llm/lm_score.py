@@ -10,7 +10,8 @@ Words are told apart by 64-bit hashes (48 bits for the second word of a bigram).
 
 Edge cases: null, empty and blank texts are one end token. A null id has no remainder and is trained
 on. Without training texts every token is unknown and has probability 1. Rows are scored one by one,
-so repeated rows get the same score. A text is never cut; long ones are scored in slices.
+so repeated rows get the same score. A text is never cut; long ones are scored in slices. Ids are cast to
+long, so one that is no number becomes null. Other columns are not carried, so their names do not matter.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ and only the bucket in which the budget ends is sorted (it is found in two steps
 single task more than any other, and the choice is one comparison per document.
 
 Edge cases: null and blank texts have size 0 and are taken 0 words; a null source is a source, the
-last; a null id hashes as such. Rows equal in id and size share a key and are chosen together. An
-empty table gives an empty result. Extra columns are carried, whatever their names.
+last; a null id hashes as such. Rows equal in id and size share a key and are chosen together. Texts of any
+length are counted whole. An empty table gives an empty result. Extra columns are carried, whatever their
+names. The sources' weights follow their order, so one task sees all sources: a row of some bytes each.
 """
 
 from __future__ import annotations

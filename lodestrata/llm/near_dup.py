@@ -19,8 +19,10 @@
 Bands miss a pair at similarity 0.85 with probability 5e-5 (0.8: 2e-3); ``miss`` adds 1e-5 a batch.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing. A null id links with
-nothing, has a null component and is kept. Rows that share an id are one document: their links unite,
-and they stay or go together. An empty table gives an empty result. Extra columns are carried.
+nothing, has a null component and is kept; ids are cast to long, so one that is no number becomes null.
+Rows that share an id are one document: their links unite, and they stay or go together. Of a component the
+smallest id stays, so there are no ties. Texts of any length are taken whole, a batch of rows at a time. An
+empty table gives an empty result. Extra columns are carried by near_dedup, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, ship
+from .common import documents, materialize, packed, ship
 from .wordhash import U64, hash_words, mix, shingles
 
 K, BANDS, ROWS, ORDERS = 5, 21, 6, 5
@@ -390,9 +392,8 @@ def near_dedup(docs: DataFrame, threshold: int = 80, id_col: str = "doc_id", **c
     """The documents that are the smallest id of their component, all columns unchanged."""
     groups = near_groups(docs, threshold, id_col=id_col, **cols)
     losers = materialize(groups.where("id <> component").select("id").distinct(), "losers")
-    side = losers.withColumnRenamed("id", "__loser")
-    side = F.broadcast(side) if losers.count() <= BROADCAST_IDS else side
-    return docs.join(side, F.col(f"`{id_col}`").cast("long") == F.col("__loser"), "left_anti")
+    side = F.broadcast(losers) if losers.count() <= BROADCAST_IDS else losers
+    return docs.select(packed(docs), F.col(f"`{id_col}`").cast("long").alias("id")).join(side, "id", "left_anti").select("__row.*")
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

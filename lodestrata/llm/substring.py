@@ -20,7 +20,9 @@ what repeats in it. Words are told apart by 48-bit hashes within a shard.
 
 Edge cases: null, empty, blank and short texts have no window and lose nothing. A null id sorts last.
 Rows that share an id count as one document; equal starts in equal rows do not remove each other. An
-empty table gives an empty result. Extra columns are carried by remove_repeats.
+empty table gives an empty result. Texts of any length are taken in slices and never cut: a window never
+spans two texts. Ids are cast to long, so one that is no number becomes null. Extra columns are carried by
+remove_repeats, whatever their names.
 """
 
 from __future__ import annotations

@@ -636,6 +636,23 @@ def test_near_groups(spark, docs, rows, none):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {None, *(k for k, c in want.items() if k == c)}
 
 
+def test_near_dedup_of_odd_tables(spark, none):
+    """An empty table, columns named as the operator's own, nulls in every column, a very long text."""
+    assert near_dup.near_dedup(none, 85).count() == 0
+    long = " ".join(f"w{i}" for i in range(150_000))
+    rows = [(7, long, "a", None), (3, long + " more", None, "b"), (None, None, None, None), (None, long, "c", "d"), (9, "", "e", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __loser string, id string")
+    kept = near_dup.near_dedup(docs, 85)
+    assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([3, None, None, 9])
+
+
+def test_recall_against_brute_force(spark):
+    """Every document of a table with the component that comparing all pairs gives."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.op9_near_dup(spark, DIR).collect()}
+    assert got == brute_components(rows, 85)
+
+
 def test_near_groups_at_the_threshold(spark):
     """A large group whose members are mostly just above or below the threshold, and chains."""
     rng = np.random.default_rng(3)
@@ -722,9 +739,61 @@ def test_mix(docs, rows, none):
     assert mixing.mix_plan(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+# Queries: names, types and rows of each operator's query
+
+
+@pytest.mark.parametrize(
+    "name, schema",
+    [
+        ("op3_packing", "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"),
+        ("op4_langid", "doc_id bigint, held_out boolean, lang_pred string, score double"),
+        ("op5_quality", "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, p_good double"),
+        ("op6_licenses", "doc_id bigint, licenses string, n_paragraphs bigint, best string, probability double, confirmed boolean"),
+        ("op7_lm_score", "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"),
+        ("op8_substring", "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"),
+        ("op9_near_dup", "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean"),
+    ],
+)
+def test_queries_of_the_contract(spark, name, schema):
+    df = QUERIES[name](spark, DIR)
+    assert ", ".join(f"{c} {t}" for c, t in df.dtypes) == schema
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    got = df.collect()
+    assert {r["doc_id"] for r in got} == set(texts) and (name == "op3_packing" or len(got) == len(texts))
+    fold = {"op4_langid": (5, 0), "op7_lm_score": (7, 2)}.get(name)
+    if fold:
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % fold[0] == fold[1]) for r in got)
+    if name == "op7_lm_score":
+        train = Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*words(lower(t)), "\0"])
+        n, v = sum(train.values()), len(train)
+        for r in got:
+            w = [*words(lower(texts[r["doc_id"]])), "\0"]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in train for x in w), n)
+            assert r["base_score"] == pytest.approx(sum(math.log10((train[x] + 1) / (n + v + 1)) for x in w))
+    if name == "op8_substring":
+        assert Counter(map(tuple, got)) == brute_repeats(list(texts.items()), 20)
+
+
 # Pipeline
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """An empty table; nulls in every column, repeated rows and an extra column with a working name."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __row string"
+    good = " ".join(f"This is sentence {w} of a plain text about {w} and more things." for w in ("one", "two", "six", "ten", "old", "new"))
+    for k, rows in enumerate(([], [(1, good, "en", "a", 9, "x"), (1, good, "en", "a", 9, "x"), (2, good + " Tail.", None, None, None, None), (None, None, None, None, None, None), (None, good.upper(), "en", "b", 1, "y"), (3, "", "en", "a", 0, "z")])):
+        path = f"{tmp_path}/{k}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.materialize(stage(spark, docs, path), name)
+            assert ", ".join(f"{c} {t}" for c, t in docs.dtypes) == schema.replace("long", "bigint")
+        out = corpus_pipeline.run(spark, path).collect()
+        assert len(out) == 0 if not rows else {r["id"] for r in out} <= {1, 2, None}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
