@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,16 +46,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lodestrata/{spark.sparkContext.applicationId}"
 
 
+_made: list[str] = []
+
+
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Delete what this application has written to the shared folder. Results that still have to be read
     come from there, so call it when they have been."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
+    _made.clear()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def settle(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Write the table that make() describes, and delete the intermediate tables that it has written."""
+    since = len(_made)
+    out = materialize(make(), name)
+    for uri in _made[since:-1]:
+        _delete(spark, uri)
+    del _made[since:-1]
+    return out
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:

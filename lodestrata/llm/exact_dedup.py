@@ -100,7 +100,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     winners = heavy_winners(table.select("id", "n", "digest", "rid"))
     told = table.select("digest", "rid", "__row").join(F.broadcast(winners.select("digest", "keep_rid")), "digest", "left")
     rest = told.where("keep_rid is null or keep_rid = rid")
-    narrow = table.select("digest", "rid")
+    narrow = table.select("digest", "rid").join(F.broadcast(winners.select("digest")), "digest", "left_anti")
     several = light_winners(table, winners).where("group_size > 1").select("digest", "keep_rid")
     losers = materialize(narrow.join(several, "digest").where("rid <> keep_rid").select("rid"), "losers")
     side = F.broadcast(losers) if losers.count() <= BROADCAST_ROWS else losers
