@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.llm import exact_dedup, langid, licenses, lm_score, mixing, near_dup, packing, quality, substring, warc, wordhash
+from lodestrata.llm.common import materialize
 from lodestrata.llm.queries import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -788,7 +789,7 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
         docs = spark.read.parquet(f"{path}/documents.parquet")
         for name, stage in corpus_pipeline.STAGES[:-1]:
-            docs = corpus_pipeline.materialize(stage(spark, docs, path), name)
+            docs = materialize(stage(spark, docs, path), name)
             assert ", ".join(f"{c} {t}" for c, t in docs.dtypes) == schema.replace("long", "bigint")
         out = corpus_pipeline.run(spark, path).collect()
         assert len(out) == 0 if not rows else {r["id"] for r in out} <= {1, 2, None}
@@ -801,7 +802,7 @@ def test_pipeline(spark):
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}
     docs = documents
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.materialize(stage(spark, docs, DIR), name)
+        docs = materialize(stage(spark, docs, DIR), name)
         assert docs.columns == documents.columns
         got = [r["doc_id"] for r in docs.collect()]
         if name == "quality_rules":
