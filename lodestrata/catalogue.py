@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .functions import metrics, numeric, text
 from .operators import aggregates as agg
 from .operators import chunking, evaluation, search
+from .plans import routing
+from .sources.store import absent, source_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -199,7 +201,15 @@ def key_field_bands(spark, d):
     return f.select("doc_id", "field", text.field_band(F.col("value")).alias("band"), F.md5(text.narrative(F.col("value"))).alias("digest"))
 
 
-@query()
+@query(r"""WITH RECURSIVE x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, t FROM (SELECT doc_id, i, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM x) WHERE t <> ''),
+m AS (SELECT doc_id, n, n AS first, t AS text, 0 AS seq FROM p WHERE n = 1
+  UNION ALL SELECT p.doc_id, p.n, CASE WHEN length(text) >= 500 THEN p.n ELSE first END, CASE WHEN length(text) >= 500 THEN t ELSE text || chr(10) || chr(10) || t END, seq + (length(text) >= 500)::INTEGER
+  FROM m JOIN p ON p.doc_id = m.doc_id AND p.n = m.n + 1),
+c AS (SELECT doc_id, seq, min(first) AS first, max(n) AS last, arg_max(text, n) AS text, max(seq) OVER (PARTITION BY doc_id) AS top FROM m GROUP BY doc_id, seq),
+j AS (SELECT a.doc_id, a.seq, a.first, coalesce(b.last, a.last) AS last, a.text || coalesce(chr(10) || chr(10) || b.text, '') AS text
+  FROM c a LEFT JOIN c b ON b.doc_id = a.doc_id AND b.seq = a.seq + 1 AND b.seq = b.top AND length(b.text) < 500 WHERE a.seq = 0 OR a.seq < a.top OR length(a.text) >= 500)
+SELECT doc_id::VARCHAR AS source, seq::INTEGER AS seq, length(text)::INTEGER AS n, 'paragraf ' || first || CASE WHEN last > first THEN '-' || last ELSE '' END AS page_info, md5(text) AS digest FROM j""")
 def chunk_merge(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), F.col("text").alias("value"))
     return chunking.text_chunks(docs, "\n").select("source", "seq", F.length("content").alias("n"), "page_info", F.md5("content").alias("digest"))
@@ -220,12 +230,39 @@ def continuation_merge(spark, d):
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY 1")
 def source_catalog(spark, d):
-    return read(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy("source")
+    return source_counts(read(spark, d, "documents"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def ingest_antijoin(spark, d):
-    return read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_anti")
+    return absent(read(spark, d, "documents").select("doc_id", "source"), read(spark, d, "labels"), "doc_id")
+
+
+#: Columns of the tables that questions are matched with.
+DATASET_COLUMNS = [("customer", "c_name"), ("customer", "c_mktsegment"), ("nation", "n_name"), ("nation", "n_regionkey"), ("region", "r_name"), ("part", "p_brand"), ("part", "p_size")]
+
+
+@query(f"""WITH c(dataset, col) AS (VALUES {", ".join(map(str, DATASET_COLUMNS))}),
+q AS (SELECT c_custkey AS qid, lower('customer name and brand for ' || c_mktsegment || ' in ' || n_name || ', region') AS norm FROM customer JOIN nation ON c_nationkey = n_nationkey),
+v AS (SELECT DISTINCT 'customer' AS dataset, lower(c_mktsegment) AS value FROM customer UNION ALL SELECT DISTINCT 'nation', lower(n_name) FROM nation),
+z AS (SELECT 'customer' AS dataset, count(*) AS n_rows FROM customer UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'part', count(*) FROM part),
+w AS (SELECT DISTINCT dataset, word FROM (SELECT dataset, unnest(string_split_regex(col, '[._]')) AS word FROM c) WHERE length(word) >= 3),
+h AS (SELECT qid, dataset, least(8, count(DISTINCT word)) AS x FROM q JOIN w ON regexp_matches(' ' || norm, '[^\\p{{L}}\\p{{N}}_]' || word) GROUP BY 1, 2),
+u AS (SELECT qid, dataset, least(8, 2 * least(12, count(*))) AS x FROM q JOIN v ON contains(norm, value) GROUP BY 1, 2),
+f AS (SELECT qid, dataset, 3 AS x FROM q JOIN z ON length(dataset) >= 4 AND contains(norm, dataset)),
+t AS (SELECT q.qid, z.dataset, n_rows, (coalesce(h.x, 0) + coalesce(u.x, 0) + coalesce(f.x, 0))::DOUBLE AS score FROM q CROSS JOIN z LEFT JOIN h USING (qid, dataset) LEFT JOIN u USING (qid, dataset) LEFT JOIN f USING (qid, dataset)),
+r AS (SELECT *, row_number() OVER o AS rank, score - lead(score) OVER o AS gap, lead(score) OVER o AS nxt FROM t WINDOW o AS (PARTITION BY qid ORDER BY score DESC, n_rows DESC, dataset))
+SELECT qid, dataset, score, rank::INTEGER AS rank, gap, CASE WHEN rank > 1 THEN NULL WHEN score <= 0 THEN 'fallback_no_signal' WHEN nxt > 0 AND gap < 1 THEN 'ambiguous_best_score' ELSE 'best_score' END AS reason FROM r""")
+def dataset_score(spark, d):
+    asked = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    q = asked.select(F.col("c_custkey").alias("qid"), F.concat(F.lit("customer name and brand for "), F.col("c_mktsegment"), F.lit(" in "), F.col("n_name"), F.lit(", region")).alias("question"))
+    value = lambda table, column: read(spark, d, table).select(F.lit(table).alias("dataset"), F.lit(column).alias("column"), text.route_form(F.col(column)).alias("value")).distinct()
+    sizes = None
+    for name in ("customer", "nation", "region", "part"):
+        one = read(spark, d, name).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("dataset"), "n_rows")
+        sizes = one if sizes is None else sizes.unionByName(one)
+    columns = spark.createDataFrame(DATASET_COLUMNS, "dataset string, column string")
+    return routing.score_datasets(q, columns, value("customer", "c_mktsegment").unionByName(value("nation", "n_name")), sizes)
 
 
 # Retrieval
@@ -267,8 +304,10 @@ h AS (SELECT qid, coalesce(min(rank) FILTER (label = qlabel AND rank <= 3), 0) A
 SELECT round(100 * avg(CASE WHEN hit > 0 THEN 1.0::DOUBLE / hit ELSE 0 END), 6) AS mrr, round(100 * avg(CASE WHEN hit = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_1, count(*) AS n FROM h""")
 def mrr_recall(spark, d):
     own = _vectors(spark, d).where("chunk_id % 50 = 0 and embedding is not null").select(F.col("chunk_id").alias("qid"), F.col("label").alias("own"))
-    found = own.join(topk_per_query(spark, d), "qid", "left")
-    return evaluation.mrr(found.groupBy("qid").agg(F.coalesce(F.min(F.when(F.col("label") == F.col("own"), F.col("rank"))), F.lit(0)).alias("hit_rank")))
+    found = own.join(topk_per_query(spark, d), "qid", "left").groupBy("qid", "own").agg(F.array_sort(F.collect_list(F.struct("rank", "label"))).alias("f"))  # three a query
+    # labels stand for sources; a rank before each keeps equal ones apart
+    names = F.transform("f", lambda x: F.concat(x["rank"].cast("string"), F.lit(":<"), x["label"].cast("string"), F.lit(">")))
+    return evaluation.mrr(found.select("qid", metrics.first_hit(names, F.concat(F.lit(":<"), F.col("own").cast("string"), F.lit(">"))).alias("hit_rank")))
 
 
 def _bm25_sql(scope: bool) -> str:
@@ -278,10 +317,10 @@ def _bm25_sql(scope: bool) -> str:
     return f"""t AS ({WORDS_SQL}), p AS (SELECT {s}doc_id AS chunk_id, token, count(*) AS tf FROM t GROUP BY ALL),
 l AS (SELECT {s}doc_id AS chunk_id, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS dl FROM documents),
 z AS (SELECT {s}count(*) AS n, avg(dl) AS avgdl FROM l {group}), f AS (SELECT {s}token, count(*) AS df FROM p GROUP BY ALL),
-i0 AS (SELECT {sj}token, avgdl, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM f JOIN z {size_on}), m AS (SELECT {s}avg(raw) AS mean FROM i0 {group}),
+i0 AS (SELECT {sj}token, avgdl, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM f JOIN z {size_on}), m AS (SELECT {s}sum(round(raw * 1e12)::BIGINT)::DOUBLE / 1e12 / count(*) AS mean FROM i0 {group}),
 i AS (SELECT {sj}token, avgdl, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM i0 JOIN m {size_on}),
 a AS (SELECT qid, token, count(*) AS times FROM (SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS token FROM benchmark) GROUP BY ALL),
-bm AS (SELECT {sj}qid, chunk_id, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25 + 0.75::DOUBLE * dl / avgdl))) AS score FROM a JOIN p USING (token) JOIN i {on} JOIN l USING ({s}chunk_id) GROUP BY ALL)"""
+bm AS (SELECT {sj}qid, chunk_id, sum(round(times * (idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25 + 0.75::DOUBLE * dl / avgdl))) * 1e12)::BIGINT)::DOUBLE / 1e12 AS score FROM a JOIN p USING (token) JOIN i {on} JOIN l USING ({s}chunk_id) GROUP BY ALL)"""
 
 
 def _documents(spark, d) -> DataFrame:
@@ -337,7 +376,7 @@ bk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_
 
 def _boosted(spark, d) -> DataFrame:
     fused, docs = _hybrid(spark, d)
-    j = fused.join(docs, "chunk_id").join(F.broadcast(_questions(spark, d).select("qid", F.col("tokens").alias("asked"))), "qid")
+    j = fused.join(docs, "chunk_id").join(_questions(spark, d).select("qid", F.col("tokens").alias("asked")), "qid")
     j = j.withColumn("coverage", search.coverage(F.col("asked"), F.col("tokens")))
     return search.boosted(j, hint_gate=F.col("source") == "src0").withColumn("score", F.round("score", 9))
 

@@ -72,9 +72,10 @@ def rouge_l(predicted: Column, reference: Column) -> Column:
 
 
 def first_hit(found: Column, expected: Column) -> Column:
-    """1-based rank of the first found source that holds the expected one or stands in it; 0 if none."""
+    """1-based rank of the first found source that holds the expected one or stands in it; 0 if none, and 0
+    without an expected one."""
     hits = F.transform(F.array_distinct(found), lambda f, i: F.when(F.contains(f, expected) | F.contains(expected, f), i + 1))
-    return F.coalesce(F.array_min(hits), F.lit(0))
+    return F.when(F.coalesce(expected, F.lit("")) == "", F.lit(0)).otherwise(F.coalesce(F.array_min(hits), F.lit(0)))
 
 
 def outcome(expected_negative: Column, refused: Column) -> Column:

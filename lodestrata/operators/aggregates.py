@@ -141,9 +141,12 @@ def chart(counts: DataFrame, unit: str | None = None) -> DataFrame:
 
 
 def collisions(tokens: DataFrame, words: list[str] | None = None) -> DataFrame:
-    """(word, n, n_chunks, n_sources) of (chunk_id, source, token)."""
+    """(word, n, n_chunks, n_sources) of (chunk_id, source, token); a chunk belongs to one source. Counted
+    by chunk, then by source, then by word: plain sums, each of which is combined before it is dealt."""
     t = tokens if words is None else tokens.where(F.col("token").isin(words))
-    return t.groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chunk_id").alias("n_chunks"), F.count_distinct("source").alias("n_sources"))
+    by_chunk = t.groupBy(F.col("token").alias("word"), "source", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
+    by_source = by_chunk.groupBy("word", "source").agg(F.sum("n").alias("n"), F.count("chunk_id").alias("n_chunks"))
+    return by_source.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_chunks").alias("n_chunks"), F.count("source").alias("n_sources"))
 
 
 def runs(df: DataFrame, key: str, order: str, same: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.metrics import answer_tokens, best_f1, exact_match, first_hit,
 
 ERROR_PREFIX = "HATA:"
 #: Spellings of "not in the documents" (fixed values).
-NEGATIVE_FLAGS = ["hayır", "hayir", "h", "no", "false", "0", "yok"]
+NEGATIVE_FLAGS = ["hayir", "hayır", "hayÄ±r", "no", "yok", "0", "false"]
 
 
 def is_error(answer: Column) -> Column:

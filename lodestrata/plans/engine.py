@@ -35,33 +35,53 @@ class Engine:
             self.store.ingest(pages.select("source", F.col("first").alias("seq"), "content", "page_info"), force, self.embed)
         return self.store.sources()
 
-    def retrieve(self, questions: DataFrame, top_k: int = search.TOP_K, final: int = search.RERANK_TOP_N, source: str | None = None, dense_slot: int = 0, meta: bool = False) -> DataFrame:
+    def _gates(self, questions: DataFrame, source: str | None) -> DataFrame:
+        """(qid, meta, hint): whether a question is about the data sets themselves (by its route, or because it
+        names a column), and the data set that a question about data sets fits best."""
+        routed = routing.route(questions, self.catalog.columns())
+        about = (F.col("target") == routing.META) | (F.col("reason") == "schema_or_doc_conceptual") | F.col("strong")
+        gates = routed.select("qid", about.alias("meta"), (F.col("target") == routing.META).alias("wants_hint"))
+        if source is not None or not self.catalog.columns():
+            return gates.select("qid", "meta", F.lit(None).cast("string").alias("hint"))
+        best = self.catalog.ranked(questions).where("rank = 1 and score > 0").select("qid", "dataset")
+        return gates.join(best, "qid", "left").select("qid", "meta", F.when(F.col("wants_hint"), F.col("dataset")).alias("hint"))
+
+    def retrieve(self, questions: DataFrame, top_k: int = search.TOP_K, final: int = search.RERANK_TOP_N, source: str | None = None, dense_slot: int = 0, meta: bool | None = None, parts: bool = False) -> DataFrame:
         """(qid, rank, chunk_id, source, page_info, content, score) for questions (qid, question).
 
-        source: search in one source only, with that source's statistics. meta: the questions are about the
-        data sets, so chunks that describe them are lifted. dense_slot: nearest chunks by vector that join
-        the pool before reranking.
+        source: search in one source only, with that source's statistics. meta: whether the questions are about
+        the data sets, so that chunks that describe them are lifted; by default each question's route tells.
+        A question about data sets also lifts the chunks of the one that it fits best. dense_slot: nearest
+        chunks by vector that join the pool before reranking. parts: with what the score is made of (dense,
+        bm25, rrf, key_boost, meta_boost, hint_boost). A chunk without a vector is found by its words alone;
+        vectors of another length than the store's are an error.
         """
         chunks = self.store.read()
         if source is not None:
-            chunks = chunks.where(F.lower(F.element_at(F.split("source", "/"), -1)) == source.strip().lower())
+            chunks = chunks.where(text.normalize(F.element_at(F.split("source", "/"), -1)) == text.normalize(F.lit(source.strip())))
         asked = questions.select("qid", "question").collect()  # questions travel as one matrix of vectors
         vectors = [(q, v) for (q, _), v in zip(asked, self.embed([t or "" for _, t in asked]))] if asked else []
+        stored = chunks.where("embedding is not null").select(F.size("embedding")).first()
+        if stored and vectors and stored[0] != len(vectors[0][1]):
+            raise ValueError(f"vectors of {len(vectors[0][1])} values cannot be compared with the store's, which have {stored[0]}")
         dense = search.cosine_scores(chunks.select("chunk_id", "embedding"), vectors)
         tokens = chunks.select("chunk_id", text.content_tokens(F.col("content")).alias("tokens"))
         query = questions.select("qid", text.content_tokens(F.col("question")).alias("tokens"))
         fused = search.rrf(dense, search.bm25(tokens, query))
-        told = fused.join(chunks.select("chunk_id", "source", "page_info", "content"), "chunk_id").join(F.broadcast(query.withColumnRenamed("tokens", "asked")), "qid")
+        told = fused.join(chunks.select("chunk_id", "source", "page_info", "content"), "chunk_id").join(query.withColumnRenamed("tokens", "asked"), "qid").join(self._gates(questions, source), "qid")
         told = told.withColumn("coverage", search.coverage(F.col("asked"), F.transform(text.key_tokens(F.col("content")), text.fold)))
-        scored = search.boosted(told, meta_gate=search.is_meta(F.col("page_info")) if meta else None)
+        gate = F.col("meta") if meta is None else F.lit(meta)
+        scored = search.boosted(told, meta_gate=search.is_meta(F.col("page_info")) & gate, hint_gate=F.coalesce(F.contains("source", "hint"), F.lit(False)))
         pool = search.top_k(scored, top_k).select("qid", "chunk_id", "rank")
         if dense_slot and self.score_pairs is not None:
             pool = search.with_dense_slot(pool, dense, dense_slot)
-        details = pool.join(scored.select("qid", "chunk_id", "source", "page_info", "content", "score"), ["qid", "chunk_id"])
+        made_of = ["dense", "bm25", "rrf", "key_boost", "meta_boost", "hint_boost"] if parts else []
+        details = pool.join(scored.select("qid", "chunk_id", "source", "page_info", "content", "score", *made_of), ["qid", "chunk_id"])
+        shown = ["qid", "rank", "chunk_id", "source", "page_info", "content", "score", *made_of]
         if self.score_pairs is None:
-            return details.where(F.col("rank") <= final).select("qid", "rank", "chunk_id", "source", "page_info", "content", "score")
+            return details.where(F.col("rank") <= final).select(*shown)
         pairs = details.drop("rank", "score").join(questions.select("qid", F.col("question").alias("query")), "qid")
-        return search.rerank(pairs, self.score_pairs, final).select("qid", "rank", "chunk_id", "source", "page_info", "content", "score")
+        return search.rerank(pairs, self.score_pairs, final).select(*shown)
 
     def answer_table(self, question: str, dataset: str | None = None) -> dict:
         """{"route", "dataset", "reason", "label", "rows"}: by the rules, else by a written plan.

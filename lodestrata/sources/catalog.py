@@ -47,11 +47,15 @@ class Catalog:
         if named:
             return max(named, key=len), "explicit_filename"
         q = self.spark.createDataFrame([(0, question)], "qid long, question string")
+        best = self.ranked(q).where(F.col("rank") == 1).first()
+        return best["dataset"], best["reason"]
+
+    def ranked(self, questions: DataFrame) -> DataFrame:
+        """(qid, dataset, score, rank, gap, reason) of questions (qid, question) and the tables that have rows."""
+        usable = {n: t for n, t in self.tables.items() if t.columns and not t.isEmpty()}
         cols = self.spark.createDataFrame([(n, c) for n, t in usable.items() for c in t.columns], "dataset string, column string")
-        vocabulary = None
+        vocabulary = self.spark.createDataFrame([], "dataset string, column string, value string")
         for n, t in usable.items():
-            v = aggregates.vocabulary(t, n)
-            vocabulary = v if vocabulary is None else vocabulary.unionByName(v)
+            vocabulary = vocabulary.unionByName(aggregates.vocabulary(t, n), allowMissingColumns=True)
         sizes = self.spark.createDataFrame([(n, t.count()) for n, t in usable.items()], "dataset string, n_rows long")
-        best = routing.score_datasets(q, cols, vocabulary, sizes).where(F.col("rank") == 1).first()
-        return best["dataset"], best["reason"]
+        return routing.score_datasets(questions, cols, vocabulary, sizes)

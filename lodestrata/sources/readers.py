@@ -32,29 +32,32 @@ def read_txt_chunks(spark: SparkSession, path: str, separator: str = "\n\n", min
 
 
 def flatten(value, path: str = "$") -> Iterator[tuple[str, str]]:
-    """(path, text) of the leaves of a JSON value, without null and blank ones."""
-    if isinstance(value, dict):
-        for k, v in value.items():
-            yield from flatten(v, f"{path}.{k}")
-    elif isinstance(value, list):
-        for i, v in enumerate(value):
-            yield from flatten(v, f"{path}[{i}]")
-    elif value is not None and str(value).strip():
-        yield path, str(value).lower() if isinstance(value, bool) else str(value).strip()
+    """(path, text) of the leaves of a JSON value in order, without null and blank ones. A truth value reads
+    True or False."""
+    todo = [(path, value)]
+    while todo:
+        at, v = todo.pop()
+        if isinstance(v, dict):
+            todo += [(f"{at}.{k}", x) for k, x in reversed(v.items())]
+        elif isinstance(v, list):
+            todo += [(f"{at}[{i}]", x) for i, x in reversed(list(enumerate(v)))]
+        elif v is not None and (leaf := str(v).strip()):
+            yield at, leaf
 
 
 def roots(data) -> list[tuple[str, object]]:
-    """(path, value) of what becomes one record each: entries of a list; of an object the entries of its
-    longest list of at least two containers, its other sections, and its scalars as one root."""
+    """(path, value) of what becomes one record each: entries of a list; of an object with a list of at least
+    two containers the entries of the longest one, its other sections, and its scalars as one root; any
+    other value whole."""
     if isinstance(data, list):
         return [(f"$[{i}]", v) for i, v in enumerate(data)]
-    if not isinstance(data, dict):
+    lists = {k: v for k, v in data.items() if isinstance(v, list) and len(v) >= 2 and all(isinstance(x, (dict, list)) for x in v)} if isinstance(data, dict) else {}
+    if not lists:
         return [("$", data)]
-    lists = {k: v for k, v in data.items() if isinstance(v, list) and len(v) >= 2 and all(isinstance(x, (dict, list)) for x in v)}
-    main = max(lists, key=lambda k: len(lists[k]), default=None)
-    out = [(f"$.{main}[{i}]", v) for i, v in enumerate(data[main])] if main else []
-    out += [(f"$.{k}", v) for k, v in data.items() if k != main and isinstance(v, (dict, list))]
+    main = max(lists, key=lambda k: len(lists[k]))
     plain = {k: v for k, v in data.items() if not isinstance(v, (dict, list))}
+    out = [(f"$.{main}[{i}]", v) for i, v in enumerate(data[main])]
+    out += [(f"$.{k}", v) for k, v in data.items() if k != main and k not in plain]
     return out + ([("$.metadata", plain)] if plain else [])
 
 

@@ -10,6 +10,16 @@ COLUMNS = ["chunk_id", "seq", "content", "embedding", "page_info", "source"]
 SCHEMA = "chunk_id long, seq int, content string, embedding array<float>, page_info string, source string"
 
 
+def source_counts(chunks: DataFrame) -> DataFrame:
+    """(source, n) in order of source."""
+    return chunks.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy("source")
+
+
+def absent(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The rows whose key the other table does not have."""
+    return rows.join(known.select(key).distinct(), key, "left_anti")
+
+
 class ChunkStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -52,11 +62,11 @@ class ChunkStore:
 
     def sources(self) -> DataFrame:
         """(source, n) in order of source."""
-        return self.read().groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy("source")
+        return source_counts(self.read())
 
     def missing(self, chunks: DataFrame) -> DataFrame:
         """The chunks whose source the store does not have."""
-        return chunks.join(self.read().select("source").distinct(), "source", "left_anti")
+        return absent(chunks, self.read(), "source")
 
     def ingest(self, chunks: DataFrame, force: bool = False, embed=None) -> None:
         """Write the chunks of new sources, or of all with force."""

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from lodestrata.plans.engine import Engine
 from lodestrata.sources import sinks
 from lodestrata.sources.catalog import Catalog
@@ -25,6 +27,35 @@ def test_ingest_and_retrieve(spark, tmp_path):
     assert engine.retrieve(q, dense_slot=1).where("qid = 1 and rank = 1").first()["source"] == "data/b.txt"
 
 
+def test_gates_of_retrieval(spark, tmp_path):
+    """Questions about a data set lift its chunks and those that describe it; vectors have to fit."""
+    data = {"people": [{"name": "ada", "city": "Ankara"}, {"name": "can", "city": "Izmir"}], "statistics": {"sectorCount": 7}}
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    (folder / "people.json").write_text(json.dumps(data), encoding="utf-8")
+    (folder / "z.txt").write_text("kediler ve köpekler hakkında bir metin", encoding="utf-8")
+    catalog = Catalog.load(spark, [str(folder / "people.json")])
+    engine = Engine(spark, ChunkStore(spark, str(tmp_path / "store")), hash_embedder(16), catalog)
+    engine.ingest(str(folder))
+    q = spark.createDataFrame([(1, "people.json veri setinde hangi alanlar var, metadata nedir?"), (2, "kediler hakkında")], "qid long, question string")
+    rows = engine.retrieve(q, final=8, parts=True).collect()
+    meta = {r["qid"]: r["meta"] for r in engine._gates(q, None).collect()}
+    assert not meta[2] and all(r["meta_boost"] == 0 and r["hint_boost"] == 0 for r in rows if r["qid"] == 2)
+    assert all((r["meta_boost"] > 0) == (meta[1] and r["page_info"].startswith("$.statistics")) for r in rows if r["qid"] == 1)
+    forced = engine.retrieve(q, final=8, parts=True, meta=True).collect()
+    assert all((r["meta_boost"] > 0) == r["page_info"].startswith("$.statistics") for r in forced)
+    engine.embed = hash_embedder(8)
+    with pytest.raises(ValueError, match="8 values"):
+        engine.retrieve(q)
+
+
+def test_chunks_without_vectors_are_found(spark, tmp_path):
+    engine = Engine(spark, ChunkStore(spark, str(tmp_path / "s")), hash_embedder(8))
+    engine.store.upsert(spark.createDataFrame([("data/a.txt", 0, "uçak ve gemi", "p"), ("data/b.txt", 0, "elma ve armut", "p"), ("data/c.txt", 0, "masa", "p"), ("data/d.txt", 0, "kalem", "p")], "source string, seq int, content string, page_info string"))
+    q = spark.createDataFrame([(1, "armut")], "qid long, question string")
+    assert [r["source"] for r in engine.retrieve(q).collect()] == ["data/b.txt"]
+
+
 def test_answers_over_tables(spark, tmp_path):
     (tmp_path / "people.json").write_text(json.dumps({"people": [{"name": "a", "location": {"city": "Ankara"}, "years": 3}, {"name": "b", "location": {"city": "Izmir"}, "years": 5}], "statistics": {"sectorCount": 7}}), encoding="utf-8")
     (tmp_path / "bad.json").write_text("{", encoding="utf-8")

@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import metrics, numeric, text
+from lodestrata.operators import evaluation
+from lodestrata.sources import readers
 
 
 def one(spark, value, f, kind="string"):
@@ -71,3 +73,27 @@ def test_metrics(spark):
     assert rows[2]["rl"] == pytest.approx(2 / 3)
     hit = spark.range(1).select(metrics.first_hit(F.array(F.lit("q"), F.lit("q"), F.lit("data/a.txt")), F.lit("a.txt"))).first()[0]
     assert hit == 2
+
+
+def test_roots_of_json_values():
+    assert readers.roots({"a": 1, "b": {"c": 2}}) == [("$", {"a": 1, "b": {"c": 2}})]
+    assert readers.roots({"a": [{"x": 1}], "b": 2}) == [("$", {"a": [{"x": 1}], "b": 2})]
+    assert readers.roots(7) == [("$", 7)] and readers.roots([1, 2]) == [("$[0]", 1), ("$[1]", 2)]
+    data = {"name": "n", "rows": [{"x": 1}, {"x": 2}, {"x": 3}], "guide": {"g": 1}, "tags": [1, 2]}
+    want = [("$.rows[0]", {"x": 1}), ("$.rows[1]", {"x": 2}), ("$.rows[2]", {"x": 3}), ("$.guide", {"g": 1}), ("$.tags", [1, 2]), ("$.metadata", {"name": "n"})]
+    assert readers.roots(data) == want
+
+
+def test_leaves_of_json_values():
+    value = {"a": [True, None, " x ", {"b": 0}], "c": "", "d": False, "e": 1.5}
+    assert list(readers.flatten(value)) == [("$.a[0]", "True"), ("$.a[2]", "x"), ("$.a[3].b", "0"), ("$.d", "False"), ("$.e", "1.5")]
+    assert list(readers.flatten(None)) == [] and list(readers.flatten("x", "$.y")) == [("$.y", "x")]
+
+
+def test_negative_flags_and_first_hit(spark):
+    rows = [("Hayır", 1), ("hayir", 1), ("NO", 1), ("h", 0), ("Evet", 0), ("", 0), (None, 0)]
+    df = spark.createDataFrame([("a.txt", f, w) for f, w in rows], "source string, flag string, want int")
+    none = F.array().cast("array<string>")
+    assert all(bool(r["got"]) == bool(r["want"]) for r in df.select("want", evaluation.is_negative(F.col("source"), F.col("flag"), none).alias("got")).collect())
+    hit = spark.createDataFrame([("",), (None,), ("b.txt",), ("z",)], "e string").select(metrics.first_hit(F.array(F.lit("a.txt"), F.lit("b.txt")), F.col("e")).alias("h")).collect()
+    assert [r["h"] for r in hit] == [0, 0, 2, 0]
