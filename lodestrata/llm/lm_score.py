@@ -29,7 +29,7 @@ from .wordhash import U64, hash_words
 
 END, BEGIN = U64(0x6A09E667F3BCC909), U64(0xBB67AE8584CAA73B)
 SLICE = 1 << 19
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 
 
 def _tokens(column, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
