@@ -6,7 +6,7 @@ the driver, on the templates below, on cut and reworded forms of them, on forms
 their family, and on a bounded sample of paragraphs of the corpus as counter-examples. Every feature holds a
 cue word (a template word that is rare in the sample), so a paragraph without cue words has no feature and
 cannot be a licence: Spark finds those with a cue word while it reads, and only they are scored, by a join
-of their n-grams with the weights. A temperature fitted on templates that were kept back calibrates the
+of their n-grams with the weights. One with a single cue word is no licence either. A temperature fitted on templates that were kept back calibrates the
 probabilities; below ``least`` the family is unknown. The predicted family is confirmed if a template of it
 shares its three-word sequences with the paragraph.
 
@@ -283,7 +283,8 @@ def scan(docs: DataFrame, least: float = 0.6, share: float = 0.6, id_col: str =
     k = len(model["classes"])
     table = spark.createDataFrame([(g, [float(v) for v in row]) for g, row in zip(model["grams"], model["weights"])], "gram string, v array<double>")
     found = para.select("rid", "p", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram")).join(F.broadcast(table), "gram")
-    sums = found.groupBy("rid", "p").agg(*[F.sum(F.col("v")[j]).alias(f"z{j}") for j in range(k)])
+    # a lone cue word says nothing, whatever its weight
+    sums = found.groupBy("rid", "p").agg(*[F.sum(F.col("v")[j]).alias(f"z{j}") for j in range(k)], F.count_if(~F.contains("gram", F.lit(" "))).alias("cues")).where("cues > 1")
     z = sums.select("rid", "p", F.array(*[F.col(f"z{j}") + float(model["bias"][j]) for j in range(k)]).alias("z")).select("rid", "p", "z", F.array_max("z").alias("top"))
     exps = z.select("rid", "p", F.transform("z", lambda x: F.exp(x - F.col("top"))).alias("e")).select("rid", "p", "e", F.aggregate("e", F.lit(0.0), lambda a, x: a + x).alias("total"))
     prob = exps.select("rid", "p", (1 - F.col("e")[k - 1] / F.col("total")).alias("licence"), (F.array_max(F.slice("e", 1, k - 1)) / F.col("total")).alias("other"), F.slice("e", 1, k - 2).alias("f"), "total")

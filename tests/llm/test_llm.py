@@ -394,7 +394,8 @@ def licence_model(spark):
 
 
 def test_licences_of_held_out_notices(spark, licence_model):
-    """Precision and recall over notices that are no templates, alone and within prose; plain text has none."""
+    """Precision and recall over notices that are no templates, alone and within prose; plain text has almost
+    none. The decision rule was adjusted while looking at these notices, so this is no untouched sample."""
     texts = [t for _, t in NOTICES] + [f"Some words before it.\n{t}\n\nAnd words after it." for _, t in NOTICES] + PLAIN
     want = [{f or "unknown"} for f, _ in NOTICES] * 2 + [set()] * len(PLAIN)
     assert not {t for _, t in NOTICES} & {t for ts in licenses.TEMPLATES.values() for t in ts}
@@ -429,6 +430,12 @@ def test_license_scan(spark, none):
     assert got.count((7, ["mit"], True)) == 2 and len(got) == len(rows) and licenses.scan(none, model=model).count() == 0
 
 
+def test_a_lone_cue_word_is_no_licence(spark, licence_model):
+    rows = [(i, f"aaa bbb ccc {w} ddd eee") for i, w in enumerate(["under", "license", "permission", "mozilla"])]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=licence_model).collect()
+    assert not any(r["licenses"] for r in got)
+
+
 def test_paragraphs(spark):
     text = "one\ntwo.\nthree \n  \nfour\r\nfive!\n\n\n six"
     got = spark.createDataFrame([(text,), ("",), ("\n \n",)], "t string").select(licenses.paragraphs(F.col("t")).alias("p")).collect()
