@@ -53,7 +53,7 @@ def none(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS FROM '{DIR}/{t}.parquet'")
     df = QUERIES[name](spark, DIR)
     columns = sorted(df.columns)
