@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import metrics, numeric, text
 from .operators import aggregates as agg
-from .operators import chunking, evaluation, search
+from .operators import chunking, evaluation, fusion, lexical, search
+from .operators.shared import spread, written
 from .plans import routing
 from .sources.store import absent, source_counts
 
@@ -69,12 +70,12 @@ WORDS_SQL = "SELECT doc_id, source, lang, unnest(regexp_extract_all(lower(text),
 
 @query(f"SELECT token AS value, count(*) AS n FROM ({WORDS_SQL}) GROUP BY 1")
 def explode_value_counts(spark, d):
-    return agg.exploded_counts(read(spark, d, "documents").select(text.plain_words(F.col("text")).alias("w")), "w")
+    return agg.exploded_counts(spread(read(spark, d, "documents").select("text")).select(text.plain_words(F.col("text")).alias("w")), "w")
 
 
 @query(f"SELECT token AS value, count(*) AS n FROM ({WORDS_SQL}) WHERE token <> 'the' GROUP BY 1 ORDER BY n DESC, value LIMIT 2")
 def explode_excluding_top2(spark, d):
-    counts = agg.exploded_counts(read(spark, d, "documents").select(text.plain_words(F.col("text")).alias("w")), "w")
+    counts = agg.exploded_counts(spread(read(spark, d, "documents").select("text")).select(text.plain_words(F.col("text")).alias("w")), "w")
     return agg.top_excluding(counts, "the")
 
 
@@ -183,13 +184,13 @@ def ratio_by_group(spark, d):
 
 @query("SELECT doc_id, md5(translate(lower(translate(text, 'İI', 'iı')), 'çğıöşü', 'cgiosu')) AS digest FROM documents")
 def text_normalize(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.md5(text.normalize(F.col("text"))).alias("digest"))
+    return spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(text.normalize(F.col("text"))).alias("digest"))
 
 
 @query("""SELECT doc_id, len(w)::INTEGER AS n_words, len(i)::INTEGER AS n_identifiers, len(list_distinct(w || i))::INTEGER AS n_distinct FROM (
 SELECT doc_id, regexp_extract_all(t, '[\\p{L}\\p{N}_]+') AS w, regexp_extract_all(t, '[\\p{L}]+[0-9]+(?:\\.[0-9]+)+') AS i FROM (SELECT doc_id, lower(translate(text, 'İI', 'iı')) AS t FROM documents))""")
 def tokenize_counts(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"), F.size(F.regexp_extract_all(text.tr_lower(F.col("text")), F.lit(f"({text.WORD})"), 1)).alias("n_words"))
+    docs = spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.tokens(F.col("text")).alias("t"), F.size(F.regexp_extract_all(text.tr_lower(F.col("text")), F.lit(f"({text.WORD})"), 1)).alias("n_words"))
     return docs.select("doc_id", "n_words", (F.size("t") - F.col("n_words")).alias("n_identifiers"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
@@ -211,7 +212,7 @@ j AS (SELECT a.doc_id, a.seq, a.first, coalesce(b.last, a.last) AS last, a.text
   FROM c a LEFT JOIN c b ON b.doc_id = a.doc_id AND b.seq = a.seq + 1 AND b.seq = b.top AND length(b.text) < 500 WHERE a.seq = 0 OR a.seq < a.top OR length(a.text) >= 500)
 SELECT doc_id::VARCHAR AS source, seq::INTEGER AS seq, length(text)::INTEGER AS n, 'paragraf ' || first || CASE WHEN last > first THEN '-' || last ELSE '' END AS page_info, md5(text) AS digest FROM j""")
 def chunk_merge(spark, d):
-    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), F.col("text").alias("value"))
+    docs = spread(read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), F.col("text").alias("value")))
     return chunking.text_chunks(docs, "\n").select("source", "seq", F.length("content").alias("n"), "page_info", F.md5("content").alias("digest"))
 
 
@@ -324,7 +325,7 @@ bm AS (SELECT {sj}qid, chunk_id, sum(round(times * (idf * tf * 2.5::DOUBLE / (tf
 
 
 def _documents(spark, d) -> DataFrame:
-    return read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source", text.plain_words(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return spread(read(spark, d, "documents").select("doc_id", "lang", "source", "text")).select(F.col("doc_id").alias("chunk_id"), "lang", "source", text.plain_words(F.coalesce("text", F.lit(""))).alias("tokens"))
 
 
 def _questions(spark, d) -> DataFrame:
@@ -334,14 +335,14 @@ def _questions(spark, d) -> DataFrame:
 
 @query(f"WITH {_bm25_sql(False)}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) SELECT qid, chunk_id, rank, round(score, 9) AS score FROM r WHERE rank <= 8")
 def bm25_topk(spark, d):
-    s = search.bm25(_documents(spark, d), _questions(spark, d)).withColumn("score", F.round("score", 9))
-    return search.top_k(s, search.TOP_K).select("qid", "chunk_id", "rank", "score")
+    index = lexical.index_of(_documents(spark, d))
+    return lexical.top(index, _questions(spark, d), search.TOP_K).top.select("qid", "chunk_id", "rank", "score")
 
 
 @query(f"WITH {_bm25_sql(True)}, r AS (SELECT *, row_number() OVER (PARTITION BY lang, qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) SELECT lang, qid, chunk_id, rank, round(score, 9) AS score FROM r WHERE rank <= 4")
 def bm25_scoped(spark, d):
-    s = search.bm25(_documents(spark, d), _questions(spark, d), ["lang"]).withColumn("score", F.round("score", 9))
-    return search.top_k(s, 4, keys=["lang", "qid"]).select("lang", "qid", "chunk_id", "rank", "score")
+    index = lexical.index_of(_documents(spark, d), ["lang"])
+    return lexical.top(index, _questions(spark, d), 4).top.select("lang", "qid", "chunk_id", "rank", "score")
 
 
 # Hybrid queries: a benchmark passage searches documents that have a vector; its own vector has its number.
@@ -352,21 +353,25 @@ br AS (SELECT qid, chunk_id, score AS bm25, row_number() OVER (PARTITION BY qid
 fused AS (SELECT dr.qid, dr.chunk_id, dense, dense_rank, bm25, bm25_rank, round((1 / (60::DOUBLE + dense_rank) + coalesce(1 / (60::DOUBLE + bm25_rank), 0)) / (2 / 60::DOUBLE), 12) AS rrf FROM dr LEFT JOIN br USING (qid, chunk_id))"""
 
 
-def _hybrid(spark, d) -> tuple[DataFrame, DataFrame]:
-    """(fused, documents): both rankings of every benchmark passage over the documents with a vector."""
-    docs = _documents(spark, d)
+def _hybrid(spark, d, k: int, boosts: bool, least: int = 0) -> DataFrame:
+    """Candidates for the k best of every benchmark passage, with both ranks, over the documents with a vector."""
     ids = read(spark, d, "benchmark").select(F.col("item_id").alias("vec_id"))
     asked = read(spark, d, "embeddings").join(ids, "vec_id").select("vec_id", "embedding").collect()
-    vectors = _vectors(spark, d).join(docs.select("chunk_id"), "chunk_id", "left_semi")
-    dense = search.cosine_scores(vectors, sorted((r[0], list(r[1])) for r in asked)).withColumn("score", F.round("score", 9))
-    lexical = search.bm25(docs, _questions(spark, d)).join(_vectors(spark, d).select("chunk_id"), "chunk_id", "left_semi").withColumn("score", F.round("score", 9))
-    return search.rrf(dense, lexical).withColumn("rrf", F.round("rrf", 12)), docs
+    questions = [fusion.Question(r[0], list(r[1]), hint="src0" if boosts else None) for r in sorted(asked)]
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
+    # "src0" is the whole name, so that it is no part of another one
+    hinted = F.when(F.col("source") == "src0", F.col("source")).alias("source")
+    chunks = written(_vectors(spark, d).join(docs, "chunk_id").select("chunk_id", "embedding", hinted, F.lit(False).alias("meta")), "chunks")
+    index, queries = lexical.index_of(_documents(spark, d)), _questions(spark, d)
+    vectors = _vectors(spark, d).where("embedding is not null").select("chunk_id")
+    words = lexical.scores(index, queries).join(vectors, "chunk_id", "left_semi").withColumn("score", F.round("score", 9))
+    return fusion.fuse(chunks, written(words, "lexical"), questions, k, lexical.coverage(index, queries) if boosts else None, least)
 
 
 @query(f"WITH {HYBRID_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, chunk_id) AS rank FROM fused) SELECT qid, chunk_id, rank, dense_rank, bm25_rank, round(rrf, 6) AS rrf FROM r WHERE rank <= 8")
 def rrf_fusion(spark, d):
-    fused, _ = _hybrid(spark, d)
-    return search.top_k(fused, search.TOP_K, "rrf").select("qid", "chunk_id", "rank", F.col("dense_rank").cast("long").alias("dense_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"), F.round("rrf", 6).alias("rrf"))
+    fused = _hybrid(spark, d, search.TOP_K, False)
+    return search.top_k(fused, search.TOP_K, "rrf").select("qid", "chunk_id", "rank", "dense_rank", "bm25_rank", F.round("rrf", 6).alias("rrf"))
 
 
 BOOST_SQL = f"""{HYBRID_SQL}, k AS (SELECT doc_id AS chunk_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS key, source FROM documents), qt AS (SELECT item_id AS qid, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS qtok FROM benchmark),
@@ -375,10 +380,7 @@ bk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_
 
 
 def _boosted(spark, d) -> DataFrame:
-    fused, docs = _hybrid(spark, d)
-    j = fused.join(docs, "chunk_id").join(_questions(spark, d).select("qid", F.col("tokens").alias("asked")), "qid")
-    j = j.withColumn("coverage", search.coverage(F.col("asked"), F.col("tokens")))
-    return search.boosted(j, hint_gate=F.col("source") == "src0").withColumn("score", F.round("score", 9))
+    return _hybrid(spark, d, search.TOP_K, True, search.TOP_K)
 
 
 @query(f"WITH {BOOST_SQL} SELECT qid, chunk_id, rank, round(score, 9) AS score FROM bk WHERE rank <= 8")
@@ -406,8 +408,7 @@ def rank_diff(spark, d):
 @query(f"""WITH {_bm25_sql(False)}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm), j AS (SELECT qid, rank, '[' || rank || '] Kaynak: ' || source || ', ' || lang || chr(10) || text AS line FROM r JOIN documents ON chunk_id = doc_id WHERE rank <= 4)
 SELECT qid, md5(string_agg(line, chr(10) || chr(10) ORDER BY rank)[1:6000]) AS digest FROM j GROUP BY 1""")
 def context_assembly(spark, d):
-    s = search.bm25(_documents(spark, d), _questions(spark, d)).withColumn("score", F.round("score", 9))
-    top = search.top_k(s, search.RERANK_TOP_N)
+    top = lexical.top(lexical.index_of(_documents(spark, d)), _questions(spark, d), search.RERANK_TOP_N).top
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.col("lang").alias("locator"), F.col("text").alias("content"))
     return search.context(top.join(docs, "chunk_id")).select("qid", F.md5("context").alias("digest"))
 

@@ -106,11 +106,16 @@ def truncate(text: Column, limit: int = CHUNK_CHARS, marker: str = " […]") ->
     return F.when(F.length(text) > limit, F.concat(F.rtrim(cut), F.lit(marker))).otherwise(text)
 
 
-def key_tokens(text: Column) -> Column:
-    """Distinct tokens of the values of short ``field: value`` lines."""
+def key_values(text: Column) -> Column:
+    """The values of short ``field: value`` lines, joined by line ends."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.contains(": "))
     values = F.filter(F.transform(lines, lambda x: F.trim(F.get(F.split(x, ": ", 2), F.lit(1)))), lambda v: F.length(v).between(1, KEY_MAX))
-    return F.array_distinct(tokens(F.array_join(values, " ")))
+    return F.array_join(values, "\n")
+
+
+def key_tokens(text: Column) -> Column:
+    """Distinct tokens of the values of short ``field: value`` lines."""
+    return F.array_distinct(tokens(key_values(text)))
 
 
 def unrepeat(text: Column) -> Column:

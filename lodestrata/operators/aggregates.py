@@ -66,6 +66,17 @@ def vocabulary(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def few_values(df: DataFrame, columns: list[str], limit: int) -> dict[str, list[str]]:
+    """All values of the columns that have from one to ``limit`` distinct ones, in order."""
+    sizes = df.agg(*[F.count_distinct(_c(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    small = [c for i, c in enumerate(columns) if 0 < sizes[i] <= limit]
+    if not small:
+        return {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _c(c).cast("string").alias("value")) for c in small])).alias("pair")
+    rows = df.select(pairs).select("pair.*").where("value is not null").distinct().collect()  # at most limit a column
+    return {c: sorted(r["value"] for r in rows if r["column"] == c) for c in small}
+
+
 def signed_sum(df: DataFrame, amount: Column, positive: Column, keys: list[str] | None = None) -> DataFrame:
     """(keys, net): amounts of positive rows minus those of all others, in decimal; 0 without rows."""
     a = amount.cast("decimal(18,4)")

@@ -13,54 +13,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from . import lexical
+from .fusion import flat_vectors
 
-# Okapi parameters, fusion constant, boosts, cut-offs.
-K1, B, EPSILON = 1.5, 0.75, 0.25
-RRF_K, KEY_BOOST, META_BOOST, HINT_BOOST = 60, 0.08, 0.35, 0.50
+# Cut-offs.
 TOP_K, RERANK_TOP_N = 8, 4
 #: Query vectors that one pass compares at most; more go in further passes.
 QUERY_BLOCK = 4096
 
 
-def postings(chunks: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """(scope columns, chunk_id, token, tf, dl, first) of (scope columns, chunk_id, tokens array). One row of
-    each chunk is its first; a chunk without tokens has one with a null token."""
-    scope = scope or []
-    one = chunks.select(*scope, "chunk_id", F.size("tokens").alias("dl"), F.posexplode_outer("tokens").alias("at", "token"))
-    return one.groupBy(*scope, "chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), F.coalesce(F.min("at") == 0, F.lit(True)).alias("first"))
-
-
-def _exact_sum(x: Column) -> Column:
-    """A sum of parts in units of 1e-12, as whole numbers, so that it does not depend on their order."""
-    return F.sum(F.round(x * 1e12).cast("long")).cast("double") / 1e12
-
-
 def bm25(chunks: DataFrame, queries: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """(scope columns, qid, chunk_id, score) for chunks that share a token with the query.
-
-    chunks: (scope columns, chunk_id, tokens). queries: (qid, tokens); a token that a query repeats
-    counts as often. A negative idf becomes a quarter of the mean idf, within each scope. The postings
-    are written once; all statistics come from them. The query side is a table of (token, qid, n);
-    postings meet it in one join on the token, which Spark splits where a token is frequent.
-    """
-    scope = scope or []
-    all_posts = written(postings(chunks, scope), "postings")
-    posts = all_posts.where("token is not null")
-    df = posts.groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("df"))
-    size = all_posts.where("first").groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    # scopes may be many: the join's side is Spark's choice by size; without a scope it is one row
-    joined = df.join(size, scope) if scope else df.crossJoin(F.broadcast(size))
-    raw = joined.select(*scope, "token", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    raw = written(raw, "idf")
-    mean = raw.groupBy(*scope).agg((_exact_sum(F.col("raw")) / F.count(F.lit(1))).alias("mean"))
-    asked = queries.select("qid", F.explode("tokens").alias("token")).groupBy("qid", "token").agg(F.count(F.lit(1)).alias("times"))
-    wanted = raw.join(asked.select("token").distinct(), "token", "left_semi")
-    idf = wanted.join(mean, scope) if scope else wanted.crossJoin(F.broadcast(mean))
-    idf = idf.select(*scope, "token", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    tf, dl = F.col("tf"), F.col("dl")
-    part = posts.join(idf, [*scope, "token"]).select(*scope, "chunk_id", "token", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))).alias("part"))
-    return part.join(asked, "token").groupBy(*scope, "qid", "chunk_id").agg(_exact_sum(F.col("part") * F.col("times")).alias("score"))
+    """(scope columns, qid, chunk_id, score) for chunks (scope columns, chunk_id, tokens) that share a token with
+    a query (qid, tokens); a token that a query repeats counts as often. See the lexical index."""
+    return lexical.scores(lexical.index_of(chunks, scope), queries)
 
 
 def top_k(scores: DataFrame, k: int, score: str = "score", keys: list[str] | None = None) -> DataFrame:
@@ -88,9 +53,7 @@ def cosine_scores(vectors: DataFrame, queries: list[tuple[int, list[float]]], k:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                rows = np.array(batch.column(1).to_pylist(), np.float64)
-                norm = np.linalg.norm(rows, axis=1, keepdims=True)
-                sims = matrix @ (rows / np.where(norm == 0, 1, norm)).T
+                sims = matrix @ flat_vectors(batch.column(1)).T
                 chunk = batch.column(0).to_numpy()
                 if k is None or k >= len(chunk):
                     q, c = (x.ravel() for x in np.indices(sims.shape))
@@ -108,45 +71,6 @@ def cosine_scores(vectors: DataFrame, queries: list[tuple[int, list[float]]], k:
     return out
 
 
-def ranks(scores: DataFrame, name: str, score: str = "score") -> DataFrame:
-    """scores with a 0-based rank by falling score within each query."""
-    return scores.withColumn(name, F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(score), "chunk_id")) - 1)
-
-
-def rrf(dense: DataFrame, lexical: DataFrame) -> DataFrame:
-    """Reciprocal rank fusion of (qid, chunk_id, score) tables, scaled to [0, 1].
-
-    A chunk without a vector has no dense rank and is ranked by its words alone; the lexical part counts only
-    where its score is above 0.
-    """
-    d = ranks(dense, "dense_rank").select("qid", "chunk_id", F.col("score").alias("dense"), "dense_rank")
-    b = ranks(lexical.where("score > 0"), "bm25_rank").select("qid", "chunk_id", F.col("score").alias("bm25"), "bm25_rank")
-    j = d.join(b, ["qid", "chunk_id"], "full")
-    part = lambda rank: F.coalesce(1 / (RRF_K + F.col(rank)), F.lit(0.0))
-    fused = (part("dense_rank") + part("bm25_rank")) / (2 / RRF_K)
-    return j.select("*", fused.alias("rrf"))
-
-
-def coverage(query: Column, key: Column) -> Column:
-    """Share of distinct query tokens among a chunk's key tokens; 0 without query tokens."""
-    q = F.array_distinct(query)
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, key)) / F.size(q)).otherwise(F.lit(0.0))
-
-
-def boosted(fused: DataFrame, meta_gate: Column | None = None, hint_gate: Column | None = None) -> DataFrame:
-    """rrf plus boosts: key-field coverage scaled by the normalized lexical score, chunks that describe
-    the data set if the gate is open, and chunks of the hinted source.
-
-    fused: the columns of rrf(), and coverage.
-    """
-    most = F.max("bm25").over(Window.partitionBy("qid"))
-    relative = F.coalesce(F.col("bm25"), F.lit(0.0)) / F.when(most > 0, most).otherwise(F.lit(1.0))
-    key = F.when(F.col("bm25") > 0, KEY_BOOST * relative * F.col("coverage")).otherwise(F.lit(0.0))
-    flag = lambda gate, boost: F.when(gate, boost).otherwise(F.lit(0.0)) if gate is not None else F.lit(0.0)
-    out = fused.select("*", key.alias("key_boost"), flag(meta_gate, META_BOOST).alias("meta_boost"), flag(hint_gate, HINT_BOOST).alias("hint_boost"))
-    return out.select("*", (F.col("rrf") + F.col("key_boost") + F.col("meta_boost") + F.col("hint_boost")).alias("score"))
-
-
 def is_meta(locator: Column) -> Column:
     """Whether a locator points at a part that describes the data set."""
     low = F.lower(locator)

@@ -1,20 +1,64 @@
-"""Tables that a plan reads more than once."""
+"""Tables that a plan reads more than once, and folders that all machines share."""
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once: written to the folder in spark.checkpoint.dir, which all machines share, and read
-    back; where that is not set, kept on the executors' disks and computed again if one is lost."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which the driver and all executors share.
+
+    Where the setting is unset, a session on one machine (a local master) uses a folder of our own; on a
+    cluster that is an error, as no machine's temporary folder is shared.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        return df.persist(StorageLevel.DISK_ONLY)
-    path = f"{root.rstrip('/')}/lodestrata-plans/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "lodestrata-shared")
+    return f"{root.rstrip('/')}/lodestrata-plans/{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once: written to the shared folder and read back, so that a lost executor costs nothing."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Delete what this application has written here. Results that still have to be read come from there, so
+    call it when they have been."""
+    remove_path(spark, shared_root(spark))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where a scan has fewer parts than there are cores, as with one small file; a
+    table of many files is left as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table's rows; an empty table before the first write."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def escaped(spark: SparkSession, value: str) -> str:
+    """A partition value as Spark writes it in a folder's name."""
+    return spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
+
+def remove_path(spark: SparkSession, uri: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,8 +7,10 @@ cannot read files or run code. A run reports whether a filter let no row through
 from __future__ import annotations
 
 import threading
+import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import numeric
@@ -132,28 +134,62 @@ def _filled(df: DataFrame) -> Column:
     return out
 
 
+def _observed(df: DataFrame, steps: list[dict]) -> tuple[DataFrame, dict[int, tuple[Observation, DataFrame]]]:
+    """The compiled plan, which counts by the way how many rows pass each filter."""
+    seen = {}
+    for i, step in enumerate(steps):
+        df = _step(df, step)
+        if step.get("step") == "filter":
+            watch = Observation(f"filter-{i}-{uuid.uuid4().hex}")
+            before, df = df, df.observe(watch, F.count(F.lit(1)).alias("n"))
+            seen[i] = watch, before
+    return df, seen
+
+
+def _passed(watch: Observation, before: DataFrame) -> bool:
+    """Whether a filter let rows through. Spark may have dropped the count of a part that it found empty."""
+    try:
+        return watch.get["n"] > 0
+    except Exception:  # no count was kept
+        return not before.isEmpty()
+
+
+#: Rules of the adaptive planner that drop a part, and the counts in it, once it has turned out empty.
+_DROPS = "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
+
+
+@contextmanager
+def _counts_kept(spark):
+    key = "spark.sql.adaptive.optimizer.excludedRules"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, f"{before},{_DROPS}" if before else _DROPS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def run_plan(df: DataFrame, steps: list[dict], timeout: float = 60.0, limit: int = LIMIT) -> dict:
     """{"rows", "n_rows", "truncated", "columns", "status", "empty_filter"} or {"error"}.
 
     At most ``limit`` rows reach the driver; n_rows counts all, truncated tells whether rows were cut.
-    empty_filter lists the filter steps that no row passed. A run over its time is cancelled by its tag.
+    empty_filter lists the filter steps that no row passed; the one run counts them. A run over its time is
+    cancelled by its tag.
     """
     spark = df.sparkSession
     try:
-        counts, current = [], df
-        for i, step in enumerate(steps):
-            current = _step(current, step)
-            if step.get("step") == "filter":
-                counts.append((i, current))
-        tag = f"plan-{id(steps)}"
+        current, seen = _observed(df, steps)
+        tag = f"plan-{uuid.uuid4().hex}"
         spark.addTag(tag)
         timer = threading.Timer(timeout, lambda: spark.interruptTag(tag))
         timer.start()
         try:
-            rows, n_rows = bounded(current, limit)
+            with _counts_kept(spark):
+                rows = [r.asDict(recursive=True) for r in current.limit(limit + 1).collect()]
+            empty = [i for i, (watch, before) in seen.items() if not _passed(watch, before)]
+            n_rows = len(rows) if len(rows) <= limit else compile_plan(df, steps).count()
             # an empty answer is one without any value, also beyond the rows that came
-            blank = all(v is None for r in rows for v in r.values()) and (n_rows <= limit or current.where(_filled(current)).isEmpty())
-            empty = [i for i, f in counts if f.isEmpty()]
+            blank = all(v is None for r in rows[:limit] for v in r.values()) and (n_rows <= limit or current.where(_filled(current)).isEmpty())
         finally:
             timer.cancel()
             spark.removeTag(tag)
@@ -161,17 +197,4 @@ def run_plan(df: DataFrame, steps: list[dict], timeout: float = 60.0, limit: int
         return {"error": str(e)}
     except Exception as e:  # reported to the caller, who may correct the plan
         return {"error": f"{type(e).__name__}: {str(e)[:400]}"}
-    return {"rows": rows, "n_rows": n_rows, "truncated": n_rows > len(rows), "columns": current.columns, "empty_filter": empty, "status": "empty" if empty or blank else "ok"}
-
-
-def answer_loop(write_plan, df: DataFrame, question: str, attempts: int = 3, **options) -> dict:
-    """Ask an injected write_plan(question, errors) -> steps until a plan runs; errors go back as feedback."""
-    errors: list[str] = []
-    for n in range(1, attempts + 1):
-        out = run_plan(df, write_plan(question, errors), **options)
-        if "error" not in out:
-            return out | {"attempts": n}
-        if out["error"] in errors:  # the same failure again will not mend itself
-            return out | {"attempts": n, "status": "failed"}
-        errors.append(out["error"])
-    return {"error": errors[-1], "attempts": attempts, "status": "failed"}
+    return {"rows": rows[:limit], "n_rows": n_rows, "truncated": n_rows > limit, "columns": current.columns, "empty_filter": empty, "status": "empty" if empty or blank else "ok"}

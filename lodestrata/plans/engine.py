@@ -5,24 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import search
+from ..functions import stemming, text
+from ..operators import fusion, lexical, search
+from ..operators.shared import written
 from ..sources import readers
 from ..sources.catalog import Catalog
 from ..sources.store import ChunkStore
-from . import algebra, routing, rules
+from . import algebra, routing, rules, writing
 
+# What a score is made of.
+PARTS = ["dense", "bm25", "rrf", "key_boost", "meta_boost", "hint_boost"]
 # Labels of a computed result, the first that applies.
 FAILED, EMPTY, UNVERIFIED, TRUNCATED, EXACT = "service_failure", "empty", "unverified", "truncated", "exact"
 
 
 class Engine:
-    """embed(texts) -> vectors; score_pairs(queries, contents) -> scores; write_plan(question, errors) ->
-    steps of the plan algebra; check(question, rows) -> objection or None. All but embed are optional."""
+    """embed(texts) -> vectors; score_pairs(queries, contents) -> scores; write_plan(prompt) -> steps
+    of the plan algebra; check(prompt) -> verdict. All but embed are optional."""
 
     def __init__(self, spark: SparkSession, store: ChunkStore, embed, catalog: Catalog | None = None, score_pairs=None, write_plan=None, check=None):
         self.spark, self.store, self.embed, self.catalog = spark, store, embed, catalog or Catalog(spark)
         self.score_pairs, self.write_plan, self.check = score_pairs, write_plan, check
+        self.index = lexical.LexicalStore(spark, f"{store.path.rstrip('/')}.index")
 
     def ingest(self, folder: str, force: bool = False, extract=None) -> DataFrame:
         """Put the documents of a folder in the store; sources that it has are passed over without force.
@@ -56,27 +60,49 @@ class Engine:
         bm25, rrf, key_boost, meta_boost, hint_boost). A chunk without a vector is found by its words alone;
         vectors of another length than the store's are an error.
         """
-        chunks = self.store.read()
+        self.index.refresh(self.store)
+        chunks = self.store.read().withColumn("meta", search.is_meta(F.col("page_info")))
+        sources = None
         if source is not None:
-            chunks = chunks.where(text.normalize(F.element_at(F.split("source", "/"), -1)) == text.normalize(F.lit(source.strip())))
-        asked = questions.select("qid", "question").collect()  # questions travel as one matrix of vectors
-        vectors = [(q, v) for (q, _), v in zip(asked, self.embed([t or "" for _, t in asked]))] if asked else []
+            wanted = text.normalize(F.element_at(F.split("source", "/"), -1)) == text.normalize(F.lit(source.strip()))
+            sources = [r[0] for r in chunks.where(wanted).select("source").distinct().collect()]  # as many as share the name
+            chunks = chunks.where(F.col("source").isin(sources))
         stored = chunks.where("embedding is not null").select(F.size("embedding")).first()
-        if stored and vectors and stored[0] != len(vectors[0][1]):
-            raise ValueError(f"vectors of {len(vectors[0][1])} values cannot be compared with the store's, which have {stored[0]}")
-        dense = search.cosine_scores(chunks.select("chunk_id", "embedding"), vectors)
-        tokens = chunks.select("chunk_id", text.content_tokens(F.col("content")).alias("tokens"))
-        query = questions.select("qid", text.content_tokens(F.col("question")).alias("tokens"))
-        fused = search.rrf(dense, search.bm25(tokens, query))
-        told = fused.join(chunks.select("chunk_id", "source", "page_info", "content"), "chunk_id").join(query.withColumnRenamed("tokens", "asked"), "qid").join(self._gates(questions, source), "qid")
-        told = told.withColumn("coverage", search.coverage(F.col("asked"), F.transform(text.key_tokens(F.col("content")), text.fold)))
-        gate = F.col("meta") if meta is None else F.lit(meta)
-        scored = search.boosted(told, meta_gate=search.is_meta(F.col("page_info")) & gate, hint_gate=F.coalesce(F.contains("source", "hint"), F.lit(False)))
+        told = questions.join(self._gates(questions, source), "qid").select("qid", "question", F.col("meta").alias("meta_gate"), "hint")
+        index, out, block = self.index.open(sources), None, []
+        for row in [*told.toLocalIterator(), None]:  # a block of questions travels as one matrix of vectors
+            block += [row] if row is not None else []
+            if block and (row is None or len(block) == fusion.QUESTIONS):
+                part = self._answer(index, chunks, block, stored, top_k, final, dense_slot, meta, parts)
+                out = part if out is None else out.unionByName(part)
+                block = []
+        if out is not None:
+            return out
+        shown = ["qid long", "rank int", "chunk_id long", "source string", "page_info string", "content string", "score double", *[f"{x} double" for x in PARTS] * parts]
+        return self.spark.createDataFrame([], ", ".join(shown))
+
+    def _answer(self, index, chunks: DataFrame, block: list, stored, top_k: int, final: int, dense_slot: int, meta: bool | None, parts: bool) -> DataFrame:
+        vectors = self.embed([r["question"] or "" for r in block])
+        if stored and stored[0] != len(vectors[0]):
+            raise ValueError(f"vectors of {len(vectors[0])} values cannot be compared with the store's, which have {stored[0]}")
+        asked = [fusion.Question(r["qid"], list(v), bool(r["meta_gate"]) if meta is None else meta, r["hint"]) for r, v in zip(block, vectors)]
+        questions = self.spark.createDataFrame([(r["qid"], r["question"]) for r in block], "qid long, question string")
+        query = written(stemming.search_tokens(questions, "question").select("qid", "tokens"), "questions")
+        words = written(lexical.scores(index, query), "lexical")
+
+        def coverage(rows: DataFrame) -> DataFrame:
+            held = stemming.search_tokens(chunks.join(rows.select("chunk_id").distinct(), "chunk_id").select("chunk_id", text.key_values(F.col("content")).alias("values")), "values")
+            key = held.select("chunk_id", F.explode(F.array_distinct("tokens")).alias("token"))
+            return lexical.coverage(index, query, key)(rows)
+
+        scored = fusion.fuse(chunks.select("chunk_id", "embedding", "source", "meta"), words, asked, top_k, coverage, dense_slot)
+        scored = written(scored, "scored")
         pool = search.top_k(scored, top_k).select("qid", "chunk_id", "rank")
         if dense_slot and self.score_pairs is not None:
-            pool = search.with_dense_slot(pool, dense, dense_slot)
-        made_of = ["dense", "bm25", "rrf", "key_boost", "meta_boost", "hint_boost"] if parts else []
-        details = pool.join(scored.select("qid", "chunk_id", "source", "page_info", "content", "score", *made_of), ["qid", "chunk_id"])
+            near = scored.where("dense is not null").select("qid", "chunk_id", F.col("dense").alias("score"))
+            pool = search.with_dense_slot(pool, near, dense_slot)
+        made_of = PARTS if parts else []
+        details = pool.join(scored.select("qid", "chunk_id", "score", *made_of), ["qid", "chunk_id"]).join(chunks.select("chunk_id", "source", "page_info", "content"), "chunk_id")
         shown = ["qid", "rank", "chunk_id", "source", "page_info", "content", "score", *made_of]
         if self.score_pairs is None:
             return details.where(F.col("rank") <= final).select(*shown)
@@ -105,9 +131,8 @@ class Engine:
                 return out | {"label": TRUNCATED if cut else EXACT if rows else EMPTY, "rows": rows, "n_rows": n_rows, "truncated": cut}
         if self.write_plan is None:
             return out | {"label": FAILED}
-        ran = algebra.answer_loop(self.write_plan, table, question)
+        ran = writing.answer(self.write_plan, table, question, self.check)
         if "error" in ran:
             return out | {"label": FAILED, "error": ran["error"]}
-        objection = self.check(question, ran["rows"]) if self.check else None
-        label = EMPTY if ran["status"] == "empty" else UNVERIFIED if objection else TRUNCATED if ran["truncated"] else EXACT
-        return out | {"label": label, "rows": ran["rows"], "n_rows": ran["n_rows"], "truncated": ran["truncated"], "objection": objection}
+        label = EMPTY if ran["status"] == "empty" else UNVERIFIED if ran["validation"] == "objection" else TRUNCATED if ran["truncated"] else EXACT
+        return out | {"label": label, **{k: ran[k] for k in ("rows", "n_rows", "truncated", "attempts", "validation", "validation_error")}, "objection": ran.get("objection")}

@@ -79,7 +79,7 @@ def mentioned(q: str, values: list[str]) -> list[str]:
 def _flag(q: str, df: DataFrame, r: Roles) -> DataFrame | None:
     if not r.flag or "autoapprove" not in q:
         return None
-    yes = F.col(f"`{r.flag}`") == F.lit(re.search("true|otomatik|aktif|evet", q) is not None or "false" not in q)
+    yes = F.col(f"`{r.flag}`") == F.lit(_start(q, "true", "otomatik", "aktif", "evet"))
     if re.search("oran[ıi]|yuzde|%", q):
         return _scalar(df, "ratio_autoapprove", pct=F.when(F.count(F.lit(1)) == 0, 0.0).otherwise(F.round(100.0 * F.count_if(yes) / F.count(F.lit(1)), 1)))
     return _scalar(df, "filtered_count_autoapprove", n=F.count_if(yes))

@@ -62,7 +62,7 @@ def test_answers_over_tables(spark, tmp_path):
     catalog = Catalog.load(spark, [str(tmp_path / "people.json"), str(tmp_path / "bad.json")])
     assert catalog.schemas()["people.json"]["location.city"] == "string"
     steps = [{"step": "filter", "where": {"col": "location.city", "op": "==", "value": "Erzurum"}}, {"step": "group", "aggs": {"n": ["count", "name"]}}]
-    engine = Engine(spark, ChunkStore(spark, str(tmp_path / "s")), hash_embedder(4), catalog, write_plan=lambda q, e: steps)
+    engine = Engine(spark, ChunkStore(spark, str(tmp_path / "s")), hash_embedder(4), catalog, write_plan=lambda prompt: steps)
     assert engine.answer_table("Veri setinde kaç farklı sektör bulunmaktadır?")["rows"] == [{"operation": "meta_sector_count", "name": "n", "value": 7.0}]
     assert engine.answer_table("people.json Erzurum kaç kişi?")["label"] == "empty"
     assert Engine(spark, engine.store, hash_embedder(4)).answer_table("x")["reason"] == "no_datasets_loaded"
