@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import metrics, numeric, text
+from .functions import metrics, numeric, stemming, text
 from .operators import aggregates as agg
 from .operators import chunking, evaluation, fusion, lexical, search
-from .operators.shared import spread, written
-from .plans import routing
+from .operators.shared import shared_root, spread, written
+from .plans import algebra, routing, rules
+from .sources.json_tree import json_leaves
 from .sources.store import absent, source_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,8 +171,18 @@ def json_extract_counts(spark, d):
 
 @query("SELECT '$.' || k AS path, count(*) AS n, count(DISTINCT v) AS n_values FROM (SELECT unnest(json_keys(props)) AS k, json_extract_string(props, '$.k') AS v FROM events) WHERE v IS NOT NULL AND trim(v) <> '' GROUP BY 1")
 def json_flatten_paths(spark, d):
-    leaves = read(spark, d, "events").select(F.explode(F.from_json("props", "map<string,string>")).alias("k", "v")).where("v is not null and trim(v) <> ''")
-    return leaves.groupBy(F.concat(F.lit("$."), F.col("k")).alias("path")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("n_values"))
+    leaves = json_leaves(read(spark, d, "events").select("props"), "props").where("trim(leaf) <> ''")
+    return leaves.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("leaf").alias("n_values"))
+
+
+@query(r"""WITH c AS (SELECT json_object('id', conv_id, 'turns', json_group_array(json_object('n', turn, 'by', json_object('role', role), 'words', string_split(text, ' '))))::VARCHAR AS j FROM conversations GROUP BY conv_id)
+SELECT regexp_replace(fullkey, '\[[0-9]+\]', '[]', 'g') AS path, count(*) AS n, count(DISTINCT json_extract_string(j, fullkey)) AS n_values FROM c, json_tree(j) t WHERE atom IS NOT NULL AND type <> 'NULL' GROUP BY 1""")
+def json_tree_paths(spark, d):
+    """Paths of conversations as nested JSON, with places in arrays left out."""
+    turn = F.struct(F.col("turn").alias("n"), F.struct("role").alias("by"), F.split("text", " ").alias("words"))
+    nested = read(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(turn).alias("turns"))  # the turns of one conversation
+    leaves = json_leaves(nested.select(F.to_json(F.struct(F.col("conv_id").alias("id"), "turns")).alias("value")))
+    return leaves.groupBy(F.regexp_replace("path", "\\[\\d+\\]", "[]").alias("path")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("leaf").alias("n_values"))
 
 
 @query("SELECT event_type AS value, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM events GROUP BY 1")
@@ -311,10 +323,10 @@ def mrr_recall(spark, d):
     return evaluation.mrr(found.select("qid", metrics.first_hit(names, F.concat(F.lit(":<"), F.col("own").cast("string"), F.lit(">"))).alias("hit_rank")))
 
 
-def _bm25_sql(scope: bool) -> str:
-    s, sj, on = ("lang, ", "lang, ", "USING (lang, token)") if scope else ("", "", "USING (token)")
-    size_on = "USING (lang)" if scope else "ON true"
-    group = "GROUP BY lang" if scope else ""
+def _bm25_sql(scope: str | None) -> str:
+    s, sj, on = (f"{scope}, ", f"{scope}, ", f"USING ({scope}, token)") if scope else ("", "", "USING (token)")
+    size_on = f"USING ({scope})" if scope else "ON true"
+    group = f"GROUP BY {scope}" if scope else ""
     return f"""t AS ({WORDS_SQL}), p AS (SELECT {s}doc_id AS chunk_id, token, count(*) AS tf FROM t GROUP BY ALL),
 l AS (SELECT {s}doc_id AS chunk_id, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS dl FROM documents),
 z AS (SELECT {s}count(*) AS n, avg(dl) AS avgdl FROM l {group}), f AS (SELECT {s}token, count(*) AS df FROM p GROUP BY ALL),
@@ -333,22 +345,41 @@ def _questions(spark, d) -> DataFrame:
     return read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), text.plain_words(F.col("text")).alias("tokens"))
 
 
-@query(f"WITH {_bm25_sql(False)}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) SELECT qid, chunk_id, rank, round(score, 9) AS score FROM r WHERE rank <= 8")
+@query(f"WITH {_bm25_sql(None)}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) SELECT qid, chunk_id, rank, round(score, 9) AS score FROM r WHERE rank <= 8")
 def bm25_topk(spark, d):
     index = lexical.index_of(_documents(spark, d))
     return lexical.top(index, _questions(spark, d), search.TOP_K).top.select("qid", "chunk_id", "rank", "score")
 
 
-@query(f"WITH {_bm25_sql(True)}, r AS (SELECT *, row_number() OVER (PARTITION BY lang, qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) SELECT lang, qid, chunk_id, rank, round(score, 9) AS score FROM r WHERE rank <= 4")
+@query(f"WITH {_bm25_sql("lang")}, r AS (SELECT *, row_number() OVER (PARTITION BY lang, qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) SELECT lang, qid, chunk_id, rank, round(score, 9) AS score FROM r WHERE rank <= 4")
 def bm25_scoped(spark, d):
     index = lexical.index_of(_documents(spark, d), ["lang"])
     return lexical.top(index, _questions(spark, d), 4).top.select("lang", "qid", "chunk_id", "rank", "score")
 
 
+@query(f"WITH {_bm25_sql('source')}, r AS (SELECT *, row_number() OVER (PARTITION BY source, qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) SELECT source, qid, chunk_id, rank, round(score, 9) AS score FROM r WHERE rank <= 4")
+def bm25_kept_index(spark, d):
+    """Search in each source by an index that is kept by source, one source of which has been replaced."""
+    kept = lexical.LexicalStore(spark, f"{shared_root(spark)}/kept-{uuid.uuid4().hex}", stem=False)
+    docs = _documents(spark, d).select("source", "chunk_id", "tokens")
+    old = F.when(F.col("source") == "src1", F.slice("tokens", 1, 5)).otherwise(F.col("tokens")).alias("tokens")
+    kept.update(docs.select("source", "chunk_id", old))
+    kept.update(docs.where("source = 'src1'"))
+    return lexical.top(kept.open(scoped=True), _questions(spark, d), 4).top.select("source", "qid", "chunk_id", "rank", "score")
+
+
+@query()
+def stem_counts(spark, d):
+    """How often each index form occurs in the documents: tokens without function words, stemmed as one table."""
+    docs = spread(read(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("chunk_id"), stemming.surface_tokens(F.col("text")).alias("tokens"))
+    posts = lexical.index_of(docs, stem=True).postings
+    return posts.groupBy(F.col("token").alias("form")).agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("n_documents"))
+
+
 # Hybrid queries: a benchmark passage searches documents that have a vector; its own vector has its number.
 HYBRID_SQL = f"""v AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS e FROM embeddings JOIN benchmark ON vec_id = item_id),
 dense AS (SELECT qid, chunk_id, round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)), 9) AS score FROM q, v WHERE chunk_id IN (SELECT doc_id FROM documents)),
-{_bm25_sql(False)}, dr AS (SELECT qid, chunk_id, score AS dense, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS dense_rank FROM dense),
+{_bm25_sql(None)}, dr AS (SELECT qid, chunk_id, score AS dense, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS dense_rank FROM dense),
 br AS (SELECT qid, chunk_id, score AS bm25, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS bm25_rank FROM (SELECT qid, chunk_id, round(score, 9) AS score FROM bm WHERE chunk_id IN (SELECT chunk_id FROM v)) WHERE score > 0),
 fused AS (SELECT dr.qid, dr.chunk_id, dense, dense_rank, bm25, bm25_rank, round((1 / (60::DOUBLE + dense_rank) + coalesce(1 / (60::DOUBLE + bm25_rank), 0)) / (2 / 60::DOUBLE), 12) AS rrf FROM dr LEFT JOIN br USING (qid, chunk_id))"""
 
@@ -405,7 +436,7 @@ def rank_diff(spark, d):
     return evaluation.rank_changes(old, new).select("qid", F.size("entered").cast("long").alias("entered"), F.size("gone").cast("long").alias("gone"))
 
 
-@query(f"""WITH {_bm25_sql(False)}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm), j AS (SELECT qid, rank, '[' || rank || '] Kaynak: ' || source || ', ' || lang || chr(10) || text AS line FROM r JOIN documents ON chunk_id = doc_id WHERE rank <= 4)
+@query(f"""WITH {_bm25_sql(None)}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm), j AS (SELECT qid, rank, '[' || rank || '] Kaynak: ' || source || ', ' || lang || chr(10) || text AS line FROM r JOIN documents ON chunk_id = doc_id WHERE rank <= 4)
 SELECT qid, md5(string_agg(line, chr(10) || chr(10) ORDER BY rank)[1:6000]) AS digest FROM j GROUP BY 1""")
 def context_assembly(spark, d):
     top = lexical.top(lexical.index_of(_documents(spark, d)), _questions(spark, d), search.RERANK_TOP_N).top
@@ -441,10 +472,28 @@ def exact_soft_match(spark, d):
     return _answers(spark, d).select("item_id", metrics.exact_match(F.col("answer"), F.col("reference")).alias("em"), metrics.soft_match(F.col("answer"), F.col("reference")).alias("soft"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS_SQL}, w AS (SELECT item_id, list_filter(string_split(a, ' '), lambda x: x <> '') AS aw, list_filter(string_split(r, ' '), lambda x: x <> '') AS rt FROM p),
+bo AS (SELECT item_id, aw, rt AS ref FROM w UNION ALL SELECT item_id, aw, list_reverse(rt) FROM w),
+l AS (SELECT item_id, ref, 0 AS i, list_transform(ref, lambda x: 0) AS row FROM bo
+  UNION ALL SELECT l.item_id, l.ref, i + 1, list_transform(range(1, len(l.ref) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN l.ref[k] = aw[i + 1] THEN greatest(row[k], coalesce(row[k - 1], 0) + 1) ELSE row[k] END)))
+  FROM l JOIN w USING (item_id) WHERE i < len(aw)),
+n AS (SELECT l.item_id, max(2.0::DOUBLE * coalesce(list_max(row), 0) / greatest(len(aw) + len(l.ref), 1)) AS f FROM l JOIN w USING (item_id) WHERE i = len(aw) GROUP BY 1)
+SELECT item_id, round(f, 6) AS rouge_l FROM n""")
 def rouge_l(spark, d):
-    a = _answers(spark, d)
-    return a.select("item_id", F.round(metrics.rouge_l(metrics.answer_tokens(F.col("answer")), metrics.answer_tokens(F.col("reference"))), 6).alias("rouge_l"))
+    """Against the passage and its reversal, the better of the two."""
+    a = _answers(spark, d).select("item_id", metrics.answer_tokens(F.col("answer")).alias("a"), metrics.answer_tokens(F.col("reference")).alias("r"))
+    return a.select("item_id", F.round(metrics.rouge_l(F.col("a"), F.array("r", F.reverse("r"))), 6).alias("rouge_l"))
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+c AS (SELECT a.vec_id, max(list_dot_product(a.e, b.e) / (a.n * b.n)) AS c FROM n a JOIN n b ON b.vec_id IN (a.vec_id + 1, a.vec_id + 2) WHERE a.n > 0 AND b.n > 0 GROUP BY 1)
+SELECT vec_id, CASE WHEN c IS NOT NULL THEN round(greatest(0.0, least(1.0, c)), 6) END AS similarity FROM v LEFT JOIN c USING (vec_id)""")
+def semantic_similarity(spark, d):
+    """Every vector against the next two."""
+    v = read(spark, d, "embeddings").select("vec_id", "embedding")
+    later = v.select(F.explode(F.array(F.col("vec_id") - 1, F.col("vec_id") - 2)).alias("vec_id"), F.col("embedding").alias("reference"))
+    refs = later.groupBy("vec_id").agg(F.collect_list("reference").alias("refs"))  # two a vector
+    return v.join(refs, "vec_id", "left").select("vec_id", F.round(metrics.semantic_similarity(F.col("embedding"), F.coalesce("refs", F.array().cast("array<array<float>>"))), 6).alias("similarity"))
 
 
 # Roll-ups: a document counts as refused if it is short, and as negative by its label.
@@ -506,3 +555,48 @@ def chart_data(spark, d):
 def meaningful_documents(spark, d):
     docs = _documents(spark, d)
     return docs.where(F.size("tokens") >= 2).select(F.col("chunk_id").alias("doc_id"), F.size(F.array_distinct("tokens")).alias("n"))
+
+
+# Rules and plans: customers stand for profiles.
+
+PROFILES_SQL = """p AS (SELECT c_mktsegment AS sector, n_name AS city, c_nationkey + 1 AS years, c_acctbal > 0 AS flag FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+#: Questions and the SQL of (operation, name, value) of their answers.
+RULE_QUESTIONS = {
+    "autoApproveRequests aktif olanların oranı nedir?": "SELECT 'ratio_autoapprove', 'pct', round(100.0::DOUBLE * count(*) FILTER (flag) / count(*), 1) FROM p",
+    "autoApproveRequests kapalı olan kaç kişi var?": "SELECT 'filtered_count_autoapprove', 'n', (count(*) FILTER (NOT flag))::DOUBLE FROM p",
+    "Minimum ve maksimum deneyim yılı nedir?": "SELECT 'min_max_experience', unnest(['low', 'high']), unnest([min(years), max(years)])::DOUBLE FROM p",
+    "Ortalama deneyim yılı nedir?": "SELECT 'mean_experience', 'mean', round(avg(years), 2) FROM p",
+    "Building sektöründe kaç kişi var?": "SELECT 'filtered_count_sector', 'n', (count(*) FILTER (sector = 'BUILDING'))::DOUBLE FROM p",
+    "Kaç farklı şehir var?": "SELECT 'nunique_city_topn', 'n_distinct', count(DISTINCT city)::DOUBLE FROM p UNION ALL SELECT 'nunique_city_topn', city, n FROM (SELECT city, count(*)::DOUBLE AS n FROM p GROUP BY 1 ORDER BY n DESC, city LIMIT 3)",
+    "Kaç farklı sektör var?": "SELECT 'nunique_sector', 'n_distinct', count(DISTINCT sector)::DOUBLE FROM p",
+    "Toplam kaç profil var?": "SELECT 'total_count', 'n', count(*)::DOUBLE FROM p",
+}
+
+
+@query(f"WITH {PROFILES_SQL} " + " UNION ALL ".join(f"SELECT '{q}' AS question, * FROM ({sql}) t(operation, name, value)" for q, sql in RULE_QUESTIONS.items()))
+def rule_answers(spark, d):
+    """Every rule over a table, through the rules' own triggers and column roles."""
+    nation = read(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("city"))
+    table = read(spark, d, "customer").join(nation, "c_nationkey").select(F.col("c_mktsegment").alias("sector"), "city", (F.col("c_nationkey") + 1).alias("experience_years"), (F.col("c_acctbal") > 0).alias("autoApproveRequests"))
+    out = None
+    for question in RULE_QUESTIONS:
+        part = rules.execute(question, table).select(F.lit(question).alias("question"), "operation", "name", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+#: Plans and the SQL of (status, rows that answer, filters without rows) of their runs.
+PLANS = {
+    "late": ([{"step": "filter", "where": {"and": [{"col": "o_orderstatus", "op": "==", "value": "F"}, {"col": "o_orderpriority", "op": "startswith", "value": "1"}]}}, {"step": "group", "keys": ["o_orderpriority"], "aggs": {"n": ["count", "o_orderkey"]}}], "o_orderstatus = 'F' AND starts_with(o_orderpriority, '1')"),
+    "none": ([{"step": "filter", "where": {"col": "o_orderstatus", "op": "==", "value": "F"}}, {"step": "filter", "where": {"col": "o_orderpriority", "op": "==", "value": "9"}}, {"step": "group", "aggs": {"n": ["count", "o_orderkey"]}}], "o_orderstatus = 'F' AND o_orderpriority = '9'"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS plan, CASE WHEN count(*) = 0 THEN 'empty' ELSE 'ok' END AS status, count(*)::BIGINT AS n FROM orders WHERE {where}" for name, (_, where) in PLANS.items()))
+def plan_runs(spark, d):
+    """Plans over the orders: their status and the sum of their counts."""
+    rows = []
+    for name, (steps, _) in PLANS.items():
+        ran = algebra.run_plan(read(spark, d, "orders"), steps)
+        rows.append((name, ran["status"], sum(r["n"] for r in ran["rows"])))
+    return spark.createDataFrame(rows, "plan string, status string, n long")

@@ -49,26 +49,42 @@ def soft_match(predicted: Column, reference: Column) -> Column:
     return (r != "") & (F.contains(a, r) | ((F.size(words) <= SUBSET_TOKENS) & (F.size(F.array_except(words, answer_tokens(predicted))) == 0)))
 
 
-def rouge_l(predicted: Column, reference: Column) -> Column:
-    """F of the longest common subsequence of two token arrays (Arrow: the table has no built-in form)."""
+def lcs(a: list, b: list) -> int:
+    """Length of the longest common subsequence. A row of the table is one number, whose zero bits are the places
+    of b at which the length grows; a token of a updates all of them by one addition."""
+    places: dict = {}
+    for i, t in enumerate(b):
+        places[t] = places.get(t, 0) | 1 << i
+    whole = (1 << len(b)) - 1
+    row = whole
+    for t in a:
+        hit = row & places.get(t, 0)
+        row = ((row + hit) | (row - hit)) & whole
+    return len(b) - row.bit_count()
+
+
+def rouge_l(predicted: Column, references: Column) -> Column:
+    """F of the longest common subsequence of a token array and the best of several references (array of token
+    arrays); 0 without a common token. Arrow, since there is no built-in form."""
     @F.pandas_udf("double")
-    def rouge(a: pd.Series, b: pd.Series) -> pd.Series:
-        import numpy as np
-
-        def one(x, y) -> float:
-            if x is None or y is None or not len(x) or not len(y):
-                return 0.0
-            ids = {t: i for i, t in enumerate(dict.fromkeys([*x, *y]))}
-            xs, ys = np.array([ids[t] for t in x]), np.array([ids[t] for t in y])
-            row = np.zeros(len(ys) + 1, np.int64)
-            for t in xs:  # along each row the best so far is a running maximum
-                row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(ys == t, row[:-1] + 1, 0)))
-            n = int(row[-1])
-            return 0.0 if n == 0 else 2 * (n / len(xs)) * (n / len(ys)) / (n / len(xs) + n / len(ys))
-
-        return pd.Series([one(x, y) for x, y in zip(a, b)])
-
-    return rouge(predicted, reference)
+    def rouge(a: pd.Series, refs: pd.Series) -> pd.Series:
+        def f(x, y) -> float:
+            n = lcs(list(x), list(y)) if x is not None and y is not None else 0
+            return 2 * n / (len(x) + len(y)) if n else 0.0
+
+        return pd.Series([max((f(x, y) for y in ys), default=0.0) if ys is not None else 0.0 for x, ys in zip(a, refs)])
+
+    return rouge(predicted, references)
+
+
+def semantic_similarity(predicted: Column, references: Column) -> Column:
+    """Greatest cosine of a vector and several references (array of vectors), held to [0, 1]. Null where it cannot be
+    told: without a vector, with a zero one, or without any reference that has one of the same length."""
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    valid = F.filter(references, lambda r: r.isNotNull() & (F.size(r) == F.size(predicted)) & (length(r) > 0))
+    best = F.array_max(F.transform(valid, lambda r: dot(predicted, r) / (length(predicted) * length(r))))
+    return F.when(length(predicted) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), best)) + F.lit(0.0) * best)
 
 
 def first_hit(found: Column, expected: Column) -> Column:

@@ -234,16 +234,17 @@ class LexicalStore:
     index that was not written to its end is never used.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, stem: bool = True):
+        self.spark, self.path, self.stem = spark, path.rstrip("/"), stem
 
     def _read(self, part: str) -> DataFrame:
         return read_or_empty(self.spark, f"{self.path}/{part}", f"{PARTS[part]}, source string")
 
     def update(self, chunks: DataFrame, states: DataFrame | None = None) -> None:
-        """Replace the part of every source in ``chunks`` (source, chunk_id, tokens as surface forms).
-        states: (source, state) of the files that they come from."""
-        counted = written(_stemmed(_counted(chunks, ["source"]), ["source"]), "counted")
+        """Replace the part of every source in ``chunks`` (source, chunk_id, tokens), which are surface forms if the
+        index is one of stems. states: (source, state) of the files that they come from."""
+        counted = _counted(chunks, ["source"])
+        counted = written(_stemmed(counted, ["source"]) if self.stem else counted, "counted")
         posts, terms, bounds, sizes = _tables(counted, ["source"])
         state = F.lit(None).cast("long").alias("state")
         sizes = sizes.join(states, "source", "left") if states is not None else sizes.select("*", state)

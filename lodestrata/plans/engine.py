@@ -26,7 +26,7 @@ class Engine:
     def __init__(self, spark: SparkSession, store: ChunkStore, embed, catalog: Catalog | None = None, score_pairs=None, write_plan=None, check=None):
         self.spark, self.store, self.embed, self.catalog = spark, store, embed, catalog or Catalog(spark)
         self.score_pairs, self.write_plan, self.check = score_pairs, write_plan, check
-        self.index = lexical.LexicalStore(spark, f"{store.path.rstrip('/')}.index")
+        self.index = lexical.LexicalStore(spark, f"{store.path.rstrip('/')}.index") if store is not None else None
 
     def ingest(self, folder: str, force: bool = False, extract=None) -> DataFrame:
         """Put the documents of a folder in the store; sources that it has are passed over without force.

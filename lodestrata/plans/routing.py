@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FOLD_FROM, FOLD_TO, contains_token, route_form
+from ..operators.shared import written
 from . import signals
 
 RULES, META, SEMANTIC, CODE = "rule_engine", "meta_query", "semantic_rag", "code_interpreter"
@@ -92,24 +95,75 @@ def schema_columns(schema) -> list[str]:
     return list(dict.fromkeys(c for x in schema for c in (schema_columns(x) if isinstance(x, dict) else [x])))
 
 
+#: Patterns that one automaton holds; more go in further passes.
+PATTERNS = 50_000
+
+
+def _found(patterns: list[tuple[int, str, bool]]):
+    """Arrow batches (qid, norm) to (qid, pattern): one walk over a question finds all patterns that it holds. A
+    pattern that has to start a word is taken only where no word character stands before it."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        by_text: dict[str, list[tuple[int, bool]]] = {}
+        for i, pattern, starts in patterns:
+            by_text.setdefault(pattern, []).append((i, starts))
+        for pattern, which in by_text.items():
+            automaton.add_word(pattern, (len(pattern), which))
+        automaton.make_automaton()
+        for batch in batches:
+            qids, hits = [], []
+            for qid, norm in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen = set()
+                for end, (size, which) in automaton.iter(norm or ""):
+                    before = norm[end - size] if end >= size else " "
+                    inside = before.isalnum() or before == "_"
+                    seen.update(i for i, starts in which if not (starts and inside))
+                qids += [qid] * len(seen)
+                hits += sorted(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(qids, batch.schema.field(0).type), pa.array(hits, pa.int64())], ["qid", "pattern"])
+
+    return found
+
+
+def matches(questions: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(qid, dataset, kind, text) of the patterns (dataset, kind, text, starts) that questions (qid, norm) hold.
+
+    starts: whether a pattern has to start a word. Rows come out only for matches; patterns travel to the tasks in
+    blocks of at most PATTERNS, each as one automaton.
+    """
+    named = written(patterns.where("text <> ''").distinct().withColumn("pattern", F.monotonically_increasing_id()), "patterns")
+    rows = questions.select("qid", "norm")
+    kind = rows.schema["qid"].dataType.simpleString()
+    blocks = max(1, -(-named.count() // PATTERNS))
+    out = None
+    for b in range(blocks):
+        some = named.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b).select("pattern", "text", "starts").collect()
+        part = rows.mapInArrow(_found([tuple(r) for r in some]), f"qid {kind}, pattern long") if some else None
+        out = part if out is None else out if part is None else out.unionByName(part)
+    if out is None:
+        out = questions.sparkSession.createDataFrame([], f"qid {kind}, pattern long")
+    return out.join(named, "pattern").select("qid", "dataset", "kind", "text")
+
+
 def score_datasets(questions: DataFrame, columns: DataFrame, vocabulary: DataFrame, sizes: DataFrame) -> DataFrame:
     """(qid, dataset, score, rank, gap, reason) for every question and data set.
 
     columns: (dataset, column); vocabulary: (dataset, column, value); sizes: (dataset, n_rows). A file name's
-    word counts 3, each matched column 1 and each value 2, up to 8 each. The tables describe schemas, not
-    rows, and are broadcast against the questions.
+    word counts 3, each matched column word 1 and each value 2, up to 8 each. Words of columns have to start a
+    word of the question; values and parts of names are found anywhere.
     """
     q = questions.select("qid", route_form(F.trim("question")).alias("norm"))
-    names = columns.select("dataset", F.explode(F.array_distinct(F.transform(F.split("column", "[._]"), lambda x: F.lower(x)))).alias("word")).where("length(word) >= 3").distinct()
-    hits = q.join(F.broadcast(names), F.expr("norm rlike concat('(?U)(?<!\\\\w)', word)")).groupBy("qid", "dataset").agg(F.least(F.lit(8), F.count_distinct("word")).alias("cols"))
-    values = q.join(F.broadcast(vocabulary.select("dataset", "value").distinct()), F.contains("norm", "value")).groupBy("qid", "dataset").agg(F.least(F.lit(8), 2 * F.least(F.lit(12), F.count(F.lit(1)))).alias("vals"))
-    files = sizes.select("dataset", F.explode(F.split(F.lower("dataset"), "[^a-z]+")).alias("part")).where("length(part) >= 4")
-    named = q.join(F.broadcast(files), F.contains("norm", "part")).groupBy("qid", "dataset").agg(F.lit(3).alias("file"))
-    every = q.select("qid").crossJoin(F.broadcast(sizes))
-    total = every.join(hits, ["qid", "dataset"], "left").join(values, ["qid", "dataset"], "left").join(named, ["qid", "dataset"], "left").na.fill(0, ["cols", "vals", "file"])
-    scored = total.select("qid", "dataset", "n_rows", (F.col("cols") + F.col("vals") + F.col("file")).cast("double").alias("score"), (F.col("file") > 0).alias("by_name"))
-    from pyspark.sql import Window
-
+    pattern = lambda kind, text, starts: ("dataset", F.lit(kind).alias("kind"), text.alias("text"), F.lit(starts).alias("starts"))
+    names = columns.select(*pattern("column", F.explode(F.transform(F.split("column", "[._]"), lambda x: F.lower(x))), True)).where("length(text) >= 3")
+    files = sizes.select(*pattern("file", F.explode(F.split(F.lower("dataset"), "[^a-z]+")), False)).where("length(text) >= 4")
+    found = matches(q, names.unionByName(vocabulary.select(*pattern("value", F.col("value"), False))).unionByName(files))
+    counts = found.groupBy("qid", "dataset").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("column", "value", "file")])
+    points = F.least(F.lit(8), F.col("column")) + F.least(F.lit(8), 2 * F.col("value")) + F.when(F.col("file") > 0, 3).otherwise(0)
+    every = q.select("qid").crossJoin(sizes)  # the result: a row a question and data set
+    scored = every.join(counts.select("qid", "dataset", points.alias("points")), ["qid", "dataset"], "left").select("qid", "dataset", "n_rows", F.coalesce("points", F.lit(0)).cast("double").alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("n_rows"), "dataset")
     ranked = scored.select("*", F.row_number().over(order).alias("rank"), (F.col("score") - F.lead("score").over(order)).alias("gap"), F.lead("score").over(order).alias("next"))
     reason = F.when(F.col("score") <= 0, "fallback_no_signal").when((F.col("next") > 0) & (F.col("gap") < 1.0), "ambiguous_best_score").otherwise("best_score")

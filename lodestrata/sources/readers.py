@@ -169,13 +169,16 @@ def read_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """(records, metadata) of a JSON file: a list, or an object's longest list of objects; the rest of the
     object is metadata. An object without such a list has metadata and no records."""
     raw = spark.read.option("multiLine", True).json(path)
+    if "_corrupt_record" in raw.columns:
+        raise ValueError(f"{path}: not JSON")
     lists = [f.name for f in raw.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
-    whole = spark.read.text(path, wholetext=True).limit(1).collect()[0][0].lstrip()
-    if whole.startswith("["):
+    start = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim(F.regexp_replace("value", "^\\s+", "")), 1, 1)).first()
+    if start[0] == "[":
         return dotted(raw), {}
     sizes = raw.agg(*[F.max(F.size(c)).alias(c) for c in lists]).first().asDict() if lists else {}
     main = max(sizes, key=lambda c: sizes[c] or 0, default=None)
-    meta = {k: v for k, v in json.loads(whole).items() if k != main}
+    rest = [F.col(f"`{c}`") for c in raw.columns if c != main]  # what is not the records comes to the driver
+    meta = json.loads(raw.select(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})).first()[0]) if rest else {}
     if main is None:
         return spark.createDataFrame([], "empty string").drop("empty"), meta
     return dotted(raw.select(F.inline(main))), meta

@@ -65,7 +65,7 @@ def test_metrics(spark):
     df = spark.createDataFrame([("Cevap 42 Ankara", "ankara"), ("", "ankara"), ("a b c", "a x c")], "p string, r string")
     rows = df.select(
         metrics.exact_match(F.col("p"), F.col("r")).alias("em"), metrics.soft_match(F.col("p"), F.col("r")).alias("soft"),
-        metrics.token_f1(metrics.answer_tokens(F.col("p")), metrics.answer_tokens(F.col("r")))["f1"].alias("f1"), metrics.rouge_l(metrics.answer_tokens(F.col("p")), metrics.answer_tokens(F.col("r"))).alias("rl"),
+        metrics.token_f1(metrics.answer_tokens(F.col("p")), metrics.answer_tokens(F.col("r")))["f1"].alias("f1"), metrics.rouge_l(metrics.answer_tokens(F.col("p")), F.array(metrics.answer_tokens(F.col("r")))).alias("rl"),
     ).collect()
     assert [r["em"] for r in rows] == [True, False, False]
     assert [r["soft"] for r in rows] == [True, False, False]
@@ -97,3 +97,28 @@ def test_negative_flags_and_first_hit(spark):
     assert all(bool(r["got"]) == bool(r["want"]) for r in df.select("want", evaluation.is_negative(F.col("source"), F.col("flag"), none).alias("got")).collect())
     hit = spark.createDataFrame([("",), (None,), ("b.txt",), ("z",)], "e string").select(metrics.first_hit(F.array(F.lit("a.txt"), F.lit("b.txt")), F.col("e")).alias("h")).collect()
     assert [r["h"] for r in hit] == [0, 0, 2, 0]
+
+
+def test_lcs_equals_the_table():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(0, 90))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(before[j] + 1 if x == y else max(row[j], before[j + 1]))
+        assert metrics.lcs(a, b) == row[-1]
+
+
+def test_several_references(spark):
+    df = spark.createDataFrame([(["a", "b", "c"], [["x"], ["a", "c"], []]), (["a"], []), ([], [["a"]]), (None, [["a"]]), (["a"], None)], "p array<string>, r array<array<string>>")
+    assert [round(r[0], 6) for r in df.select(metrics.rouge_l(F.col("p"), F.col("r"))).collect()] == [0.8, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_semantic_similarity(spark):
+    rows = [([1.0, 0.0], [[0.0, 1.0], [1.0, 1.0]]), ([1.0, 0.0], [[-1.0, 0.0]]), ([0.0, 0.0], [[1.0, 0.0]]), ([1.0, 0.0], [[0.0, 0.0]]), ([1.0, 0.0], []), (None, [[1.0]]), ([1.0, 0.0], [[1.0], None, [2.0, 0.0]]), ([1.0], None)]
+    df = spark.createDataFrame(rows, "p array<double>, r array<array<double>>")
+    assert [r[0] if r[0] is None else round(r[0], 6) for r in df.select(metrics.semantic_similarity(F.col("p"), F.col("r"))).collect()] == [0.707107, 0.0, None, None, None, None, 1.0, None]

@@ -1,10 +1,12 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.operators import aggregates, chunking, evaluation, search
 from lodestrata.plans import algebra, routing, rules
 from lodestrata.plans.engine import Engine
-from lodestrata.sources import readers
+from lodestrata.sources import json_tree, readers
 from lodestrata.sources.catalog import Catalog
 from lodestrata.sources.providers import hash_embedder, overlap_scorer
 from lodestrata.sources.store import ChunkStore
@@ -155,7 +157,7 @@ def test_cut_answers_are_marked(spark, tmp_path):
     for table, label, n in ((df, "truncated", 1500), (df.where("late = 1"), "exact", 100)):
         got = Engine(spark, None, None, Catalog(spark, {"t.json": table})).answer_table("profil tipi dağılımı çıkarılabilir mi")
         assert (got["label"], got["n_rows"], got["truncated"]) == (label, n, n > 1000)
-    got = Engine(spark, None, None, Catalog(spark, {"t.json": df}), write_plan=lambda q, e: group).answer_table("t.json hesapla")
+    got = Engine(spark, None, None, Catalog(spark, {"t.json": df}), write_plan=lambda prompt: group).answer_table("t.json hesapla")
     assert (got["label"], len(got["rows"]), got["n_rows"]) == ("truncated", 1000, 1500)
 
 
@@ -183,6 +185,45 @@ def test_json_readers(spark, tmp_path):
     assert table.count() == 2 and meta["stats"] == {"n": 2}
 
 
+def test_json_leaves(spark):
+    """What a walk over the parsed texts finds."""
+    texts = ['{"b": [1, {"x": null, "y": true}, [], "s"], "a": {"c": "t", "d": {}}}', "[]", "7", '"word"', "", None, "{", '[[1, [2.5]], [{"k.l": "ü"}]]', '{"a": 1, "a": 2}', "null", '{"e": ""}']
+
+    def walk(v, path="$"):
+        if isinstance(v, dict):
+            return [x for k, y in v.items() for x in walk(y, f"{path}.{k}")]
+        if isinstance(v, list):
+            return [x for i, y in enumerate(v) for x in walk(y, f"{path}[{i}]")]
+        return [(path, str(v).lower() if isinstance(v, bool) else str(v))] if v is not None else []
+
+    expected = []
+    for i, t in enumerate(texts):
+        if t and t not in ("{", '{"a": 1, "a": 2}'):
+            expected += [(i, *x) for x in walk(json.loads(t))]
+    df = spark.createDataFrame(list(enumerate(texts)), "`a b` int, value string")
+    got = json_tree.json_leaves(df)
+    assert sorted((r[0], r.path, r.leaf) for r in got.collect()) == sorted(expected)
+    assert {r.kind for r in got.collect()} >= {"BIGINT", "BOOLEAN", "STRING"}
+    assert json_tree.json_leaves(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="path"):
+        json_tree.json_leaves(df.withColumnRenamed("a b", "path"))
+
+
+def test_tables_of_json_files(spark, tmp_path):
+    (tmp_path / "l.json").write_text(' [{"a": {"b": 1}}, {"a": null}]', encoding="utf-8")
+    (tmp_path / "o.json").write_text('{"x": [{"p": 1}, {"p": 2}, {"p": 3}], "y": [{"q": 1}], "m": {"n": null, "k": "ü"}, "s": [1, 2]}', encoding="utf-8")
+    (tmp_path / "bad.json").write_text('{"x": [', encoding="utf-8")
+    (tmp_path / "none.json").write_text('{"m": 3}', encoding="utf-8")
+    table, meta = readers.read_table(spark, str(tmp_path / "l.json"))
+    assert [r["a.b"] for r in table.collect()] == [1, None] and meta == {}
+    table, meta = readers.read_table(spark, str(tmp_path / "o.json"))
+    assert [r.p for r in table.collect()] == [1, 2, 3] and meta == {"y": [{"q": 1}], "m": {"n": None, "k": "ü"}, "s": [1, 2]}
+    with pytest.raises(ValueError, match="not JSON"):
+        readers.read_table(spark, str(tmp_path / "bad.json"))
+    table, meta = readers.read_table(spark, str(tmp_path / "none.json"))
+    assert table.count() == 0 and meta == {"m": 3}
+
+
 def test_docx_reader(spark, tmp_path):
     import zipfile
 
@@ -256,3 +297,17 @@ def test_ranking_tokens(spark):
     df = spark.createDataFrame([("Ankara'da iyi bir dişçi arıyorum",)], "t string")
     assert df.select(text.content_tokens(F.col("t")).alias("y")).first()[0] == ["ankara", "dis", "hekimi"]
     assert df.select(text.candidate_word(F.lit("12")).alias("a"), text.candidate_word(F.lit("için")).alias("b"), text.candidate_word(F.lit("deniz")).alias("c")).first()[0:3] == (False, False, True)
+
+
+def test_patterns_of_questions(spark, monkeypatch):
+    """Every pattern that a nested comparison finds, in one pass or several; words of columns start a word."""
+    import re
+
+    texts = ["the customer name of ankara", "rename x", "", None, "city_name in izmir, ankarali", "aa aaa"]
+    patterns = [("d1", "column", "name", True), ("d1", "value", "ankara", False), ("d2", "value", "ankara", False), ("d2", "column", "city", True), ("d2", "value", "a", False), ("d2", "value", "aa", False), ("d3", "file", "custom", False), ("d3", "value", "(x", False), ("d3", "value", "", False)]
+    expected = {(i, d, k, p) for i, t in enumerate(texts) for d, k, p, s in patterns if t and p and (re.search(rf"(?<!\w){re.escape(p)}", t) if s else p in t)}
+    q = spark.createDataFrame(list(enumerate(texts)), "qid int, norm string")
+    for size in (50_000, 2):
+        monkeypatch.setattr(routing, "PATTERNS", size)
+        got = routing.matches(q, spark.createDataFrame(patterns, "dataset string, kind string, text string, starts boolean")).collect()
+        assert len(got) == len(expected) and {tuple(r) for r in got} == expected
