@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import metrics, numeric, stemming, text
 from .operators import aggregates as agg
-from .operators import chunking, evaluation, fusion, lexical, search
+from .operators import chunking, evaluation, fusion, lexical, search, spans
 from .operators.shared import shared_root, spread, written
 from .plans import algebra, routing, rules
 from .sources.json_tree import json_leaves
@@ -238,6 +238,25 @@ def continuation_merge(spark, d):
     return runs.groupBy("conv_id", F.col("run").cast("long").alias("run")).agg(F.min("turn").alias("first"), F.max("turn").alias("last"), F.sum(F.length("text")).alias("n_chars"))
 
 
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+m AS (SELECT doc_id, i, i + k AS j FROM i CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w) AND w[i][1] = 't' AND w[i + k - 1][-1] = 'n')
+SELECT doc_id, count(*) AS n, sum(j - i)::BIGINT AS n_words FROM m a WHERE NOT EXISTS (FROM m b WHERE a.doc_id = b.doc_id AND b.i <= a.i AND a.j <= b.j AND b.j - b.i > a.j - a.i) GROUP BY 1""")
+def outermost_mentions(spark, d):
+    """Mentions of one to three words, from a word with t at its start to one with n at its end, without those inside
+    a longer one."""
+    words = spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.plain_words(F.col("text")).alias("w"))
+    at = F.explode(F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: F.get("w", i - 1).startswith("t"))).alias("start")
+    ends = F.filter(F.array(*[F.col("start") + k for k in (1, 2, 3)]), lambda j: F.get("w", j - 2).endswith("n"))
+    mentions = words.select("doc_id", "w", at).select("doc_id", "start", F.explode(ends).alias("end"))
+    return spans.outermost(mentions, ["doc_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).cast("long").alias("n_words"))
+
+
+@query("""WITH p AS (SELECT p_partkey, string_split(lower(p_name), ' ')[-1] AS last, regexp_replace(lower(p_name), ' ?[^ ]*$', '') AS rest FROM part)
+SELECT p_partkey, last, EXISTS (FROM p b WHERE a.last = b.last AND a.rest <> b.rest) AS confusable FROM p a""")
+def confusable_names(spark, d):
+    return spans.confusable(read(spark, d, "part").select("p_partkey", "p_name"), F.col("p_name")).select("p_partkey", "last", "confusable")
+
+
 # Catalogue and ingestion
 
 

@@ -234,3 +234,36 @@ def test_engine_ranks_by_stems(spark, tmp_path):
     engine.store.upsert(spark.createDataFrame([("data/b.txt", 0, "trenler", "p"), ("data/e.txt", 0, "gemide", "p")], "source string, seq int, content string, page_info string"))
     assert engine.retrieve(q).where("qid = 2 and rank = 1").first().source == "data/e.txt"
     assert engine.retrieve(q.limit(0)).count() == 0
+
+
+def test_stem_counts_by_hand(spark):
+    """The query over whole documents, against a walk over each text."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    from lodestrata.catalogue import stem_counts
+
+    stop = {fold(w) for w in text.STOPWORDS}
+    rules = [("goz doktoru", "göz hekimi"), ("cocuk doktoru", "çocuk sağlığı uzmanı"), ("disci", "diş hekimi"), ("kbb", "kulak burun boğaz"), ("cildiye", "dermatoloji")]
+    counts, holders = Counter(), Counter()
+    for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist():
+        low = (t or "").replace("İ", "i").replace("I", "ı").lower()
+        words = [w for w in re.findall(r"\w+", low) + re.findall(r"[^\W\d_]+\d+(?:\.\d+)+", low) if fold(w) not in stop]
+        forms, i = [], 0
+        while i < len(words):
+            for key, canonical in rules:
+                k = key.split()
+                window = [fold(w) for w in words[i : i + len(k)]]
+                if len(window) == len(k) and window[:-1] == k[:-1] and window[-1].startswith(k[-1]):
+                    forms += [fold(stemming.stem(w)) for w in canonical.split()]
+                    i += len(k)
+                    break
+            else:
+                s = fold(stemming.stem(words[i]))
+                forms.append(fold(words[i]) if s in stemming.STOP_STEMS else s)
+                i += 1
+        counts.update(forms)
+        holders.update(set(forms))
+    got = {r.form: (r.n, r.n_documents) for r in stem_counts(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {f: (n, holders[f]) for f, n in counts.items()}

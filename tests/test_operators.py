@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import aggregates, chunking, evaluation, search
+from lodestrata.operators import aggregates, chunking, evaluation, search, spans
 from lodestrata.plans import algebra, routing, rules
 from lodestrata.plans.engine import Engine
 from lodestrata.sources import json_tree, readers
@@ -311,3 +311,20 @@ def test_patterns_of_questions(spark, monkeypatch):
         monkeypatch.setattr(routing, "PATTERNS", size)
         got = routing.matches(q, spark.createDataFrame(patterns, "dataset string, kind string, text string, starts boolean")).collect()
         assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+
+
+def test_outermost_spans(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), s, s + rng.randrange(0, 9), i) for i, s in enumerate(rng.choices(range(40), k=150))] + [("a", None, 3, 900), ("a", 3, None, 901), ("c", 1, 2, 902), ("c", 1, 2, 903)]
+    whole = [r for r in rows if r[1] is not None and r[2] is not None]
+    inside = {r[3] for r in whole if any(o[0] == r[0] and o[1] <= r[1] and r[2] <= o[2] and o[2] - o[1] > r[2] - r[1] for o in whole)}
+    got = spans.outermost(spark.createDataFrame(rows, "k string, start int, end int, i int"), ["k"]).collect()
+    assert sorted(r.i for r in got) == sorted(r[3] for r in rows if r[3] not in inside)
+
+
+def test_confusable_names(spark):
+    names = ["Damla Akın", "Deniz  akın", "Ada Çelik", "ada çelik", "Tek", "Bir Tek", None, " ", "Yalnız"]
+    got = spans.confusable(spark.createDataFrame([(n,) for n in names], "name string"), F.col("name")).collect()
+    assert {r.name: r.confusable for r in got} == {"Damla Akın": True, "Deniz  akın": True, "Ada Çelik": False, "ada çelik": False, "Tek": True, "Bir Tek": True, None: False, " ": False, "Yalnız": False}
