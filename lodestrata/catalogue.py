@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import metrics, numeric, stemming, text
 from .operators import aggregates as agg
-from .operators import chunking, evaluation, fusion, lexical, search, spans
+from .operators import chunking, evaluation, fusion, lexical, pages, search, spans
 from .operators.shared import shared_root, spread, written
 from .plans import algebra, routing, rules
 from .sources.json_tree import json_leaves
@@ -257,6 +257,23 @@ def confusable_names(spark, d):
     return spans.confusable(read(spark, d, "part").select("p_partkey", "p_name"), F.col("p_name")).select("p_partkey", "last", "confusable")
 
 
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM w), p AS (SELECT doc_id, i // 200 + 1 AS page, word, i % 200 // 100 AS col, i % 100 // 4 AS line, i % 4 AS k FROM i),
+r AS (SELECT *, max(CASE WHEN col = 1 THEN line + 1 ELSE 0 END) OVER (PARTITION BY doc_id, page) AS right_rows FROM p)
+SELECT doc_id, page::INTEGER AS page, md5(string_agg(word, ' ' ORDER BY CASE WHEN right_rows IN (1, 2) THEN line ELSE 100 * col + line END, col, k)) AS digest FROM r GROUP BY 1, 2""")
+def page_reading_order(spark, d):
+    """All words of the documents, printed in two columns of 25 lines of four words a page, and read back. A page with
+    one or two rows in its right column fails a gate and is read straight through."""
+    docs = spread(read(spark, d, "documents").select("doc_id", "text"))
+    words = docs.select("doc_id", F.posexplode(F.filter(F.split("text", "[^\\p{L}\\p{N}_]+"), lambda w: w != "")).alias("i", "text"))
+    place = F.col("i") % 200
+    column, line, at = F.floor(place / 100), F.floor(place % 100 / 4), place % 4
+    x0 = 40.0 + 280.0 * column + 55.0 * at
+    glyphs = words.select("doc_id", (F.floor(F.col("i") / 200) + 1).cast("int").alias("page"), x0.alias("x0"), (x0 + 50.0).alias("x1"), (50.0 + 20.0 * line).alias("top"), F.lit(10.0).alias("size"), "text", F.lit(600.0).alias("width"), F.lit(0).alias("images"))
+    read_back = pages.page_texts(glyphs, ["doc_id", "page"])
+    return read_back.select("doc_id", "page", F.md5(F.translate("text", "\n", " ")).alias("digest"))
+
+
 # Catalogue and ingestion
 
 

@@ -262,7 +262,7 @@ class LexicalStore:
     def refresh(self, store, tokens=stemming.surface_tokens) -> list[str]:
         """Bring the index up to a chunk store's state; the sources that were indexed or removed."""
         files = store.read().select("source", F.col("_metadata.file_path").alias("file")).distinct()
-        now = files.groupBy("source").agg(F.sum(F.xxhash64("file") / 1024).cast("long").alias("state"))
+        now = files.groupBy("source").agg(F.sum(F.call_function("shiftright", F.xxhash64("file"), F.lit(24))).alias("state"))
         known = self._read("sizes").select("source", F.col("state").alias("known"))
         changed = written(now.join(known, "source", "full").where("not (state <=> known)"), "changed")
         names = sorted((r["source"], r["state"]) for r in changed.collect())
